@@ -8,7 +8,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, content_sort, mixing
+from . import byte_bpe, chat, content_sort, langid, mixing, toxicity, warc
+from .workspace import crc_fold, new_path
 
 #: Where the tokenizer files lie, unless ``public_tokenizers`` can be imported.
 TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
@@ -27,11 +28,40 @@ def tokenizer(name: str) -> tuple[str, str]:
     return module.path(name), module.PATTERN
 
 
+def op1_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "archives")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.resolve(warc.read(spark, path)).select(F.col("id").alias("page_id"), F.col("n").alias("payload_bytes"), F.col("sha").alias("payload_digest"), F.col("kind").alias("record_type"), F.col("refers").alias("refers_to"))
+
+
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+g AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM g
+"""
+
+
+def op2_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs.select("doc_id", "text"), model, keep=["doc_id"])
+    return out.select("doc_id", (crc_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer("byte_bpe_50k.tiktoken")
     return byte_bpe.digests(table(spark, sf_dir, "documents"), path, pattern)
 
 
+def op7_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.predict(docs.select("doc_id", "text"), langid.fit(docs), keep=["doc_id"])
+    return out.select("doc_id", (crc_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op8_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.mark_copies(table(spark, sf_dir, "documents"), keep="largest").withColumnRenamed("id", "doc_id")
 
@@ -101,8 +131,16 @@ SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(k.taken, 0) AS taken
 
 
 def queries() -> dict:
-    return {"op6_byte_bpe": op6_byte_bpe, "op8_content_sort": op8_content_sort, "op9_chat_format": op9_chat_format, "op10_fair_queue": op10_fair_queue}
+    return {
+        "op1_warc_chain": op1_warc_chain,
+        "op2_subword_toxicity": op2_subword_toxicity,
+        "op6_byte_bpe": op6_byte_bpe,
+        "op7_byte_cnn": op7_byte_cnn,
+        "op8_content_sort": op8_content_sort,
+        "op9_chat_format": op9_chat_format,
+        "op10_fair_queue": op10_fair_queue,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_content_sort": OP8_SQL, "op9_chat_format": OP9_SQL, "op10_fair_queue": OP10_SQL}
+    return {"op1_warc_chain": OP1_SQL, "op8_content_sort": OP8_SQL, "op9_chat_format": OP9_SQL, "op10_fair_queue": OP10_SQL}

@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, content_sort, langid, mixing, toxicity, warc
+from . import byte_bpe, chat, content_sort, hmm, langid, mixing, near_vectors, toxicity, warc
 from .workspace import crc_fold, new_path
 
 #: Where the tokenizer files lie, unless ``public_tokenizers`` can be imported.
@@ -51,6 +51,30 @@ def op2_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op4_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op5_int8_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+OP5_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL),
+n AS (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE a.norm > 0 AND b.norm > 0 AND list_inner_product(a.e, b.e) / (a.norm * b.norm) >= CAST(0.93 AS DOUBLE)),
+r AS (SELECT vec_id AS node, vec_id AS reached FROM embeddings UNION SELECT r.node, l.b FROM r JOIN l ON r.reached = l.a),
+c AS (SELECT node, min(reached) AS component_id FROM r GROUP BY node),
+k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM c JOIN embeddings ON node = vec_id LEFT JOIN k ON k.a = vec_id
+"""
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = tokenizer("byte_bpe_50k.tiktoken")
     return byte_bpe.digests(table(spark, sf_dir, "documents"), path, pattern)
@@ -134,6 +158,8 @@ def queries() -> dict:
     return {
         "op1_warc_chain": op1_warc_chain,
         "op2_subword_toxicity": op2_subword_toxicity,
+        "op4_hidden_markov": op4_hidden_markov,
+        "op5_int8_tiles": op5_int8_tiles,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_byte_cnn": op7_byte_cnn,
         "op8_content_sort": op8_content_sort,
@@ -143,4 +169,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_chain": OP1_SQL, "op8_content_sort": OP8_SQL, "op9_chat_format": OP9_SQL, "op10_fair_queue": OP10_SQL}
+    return {"op1_warc_chain": OP1_SQL, "op5_int8_tiles": OP5_SQL, "op8_content_sort": OP8_SQL, "op9_chat_format": OP9_SQL, "op10_fair_queue": OP10_SQL}

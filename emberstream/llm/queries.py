@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, content_sort, hmm, langid, mixing, near_vectors, toxicity, warc
+from . import byte_bpe, chat, content_sort, hmm, langid, mixing, near_vectors, shingle_join, toxicity, warc
 from .workspace import crc_fold, new_path
 
 #: Where the tokenizer files lie, unless ``public_tokenizers`` can be imported.
@@ -51,6 +51,27 @@ def op2_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op3_parity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rule = shingle_join.Rule(words=4, num=85, den=100)
+    return shingle_join.components(table(spark, sf_dir, "documents"), rule).withColumnRenamed("id", "doc_id")
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(t[i : i + 3], ' ') AS g
+  FROM (SELECT doc_id, t, unnest(range(1, greatest(len(t) - 3, 1) + 1)) AS i FROM w WHERE len(t) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT c.a, c.b FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE 100 * c.k >= 85 * (x.n + y.n - c.k)),
+r AS (SELECT doc_id AS node, doc_id AS reached FROM documents UNION SELECT r.node, l.b FROM r JOIN l ON r.reached = l.a),
+m AS (SELECT node, min(reached) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
+FROM documents d JOIN m ON m.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+
 def op4_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -158,6 +179,7 @@ def queries() -> dict:
     return {
         "op1_warc_chain": op1_warc_chain,
         "op2_subword_toxicity": op2_subword_toxicity,
+        "op3_parity_join": op3_parity_join,
         "op4_hidden_markov": op4_hidden_markov,
         "op5_int8_tiles": op5_int8_tiles,
         "op6_byte_bpe": op6_byte_bpe,
@@ -169,4 +191,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_chain": OP1_SQL, "op5_int8_tiles": OP5_SQL, "op8_content_sort": OP8_SQL, "op9_chat_format": OP9_SQL, "op10_fair_queue": OP10_SQL}
+    return {"op1_warc_chain": OP1_SQL, "op3_parity_join": OP3_SQL, "op5_int8_tiles": OP5_SQL, "op8_content_sort": OP8_SQL, "op9_chat_format": OP9_SQL, "op10_fair_queue": OP10_SQL}

@@ -1,11 +1,400 @@
-"""Queries of the engine and their SQL."""
+"""Queries of the engine over whole tables, and the SQL that DuckDB runs beside them.
+
+Most queries share one model: the points of ``embeddings``, their first K observers by rank, and
+the X nearest observers of each point. Results are rounded, ties are ordered by id.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import codec, decay, distance, metrics
+from ..operators import graph, neighbours, sampling, scoring
+from ..operators.model import StreamClusterer, TemporalStreamClusterer
+from ..sources import points as sources
+from ..streaming import runner
+from .scratch import scratch_root
+
+K, X, CHI, ZETA, MIN_SIZE, HORIZON, IDLE, BLOCK, BUFFER = 100, 5, 3, 0.6, 2, 400.0, 0.3, 64, 10
+BINS, MAX_FREQ = 4, 0.1
+
+
+class _Plan:
+    """The shared steps, each a lazy frame."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.points = sources.valid(sources.from_embeddings(spark, sf_dir))
+        self.observers = sampling.first_observers(self.points, K)
+        self.now = self.points.agg(F.max("t").alias("now"))
+
+    def near(self, observers: DataFrame | None = None) -> DataFrame:
+        return neighbours.nearest(self.points, self.observers if observers is None else observers, X)
+
+    def faded(self) -> DataFrame:
+        return scoring.faded_observations(self.near(), self.now, HORIZON)
+
+    def averaged(self) -> DataFrame:
+        return scoring.averaged(self.observers, self.faded(), self.now, HORIZON)
+
+    def pairs(self) -> DataFrame:
+        return neighbours.pair_distances(self.observers)
+
+    def edges(self) -> DataFrame:
+        pairs = self.pairs()
+        return neighbours.edges(pairs, neighbours.cutoffs(pairs, CHI), ZETA)
+
+    def components(self) -> DataFrame:
+        return graph.components(self.observers, self.edges())
+
+    def labels(self) -> DataFrame:
+        return graph.clusters(self.components(), MIN_SIZE)
+
+    def votes(self) -> DataFrame:
+        return scoring.votes(self.near(), self.labels())
+
+    def scored(self) -> DataFrame:
+        near = self.near()
+        return scoring.outlier_scores(near).join(scoring.votes(near, self.labels()), "idx")
+
+
+def _distance(which, p=None):
+    def query(spark, sf_dir):
+        plan = _Plan(spark, sf_dir)
+        f = distance.metric(which, p)
+        model = F.broadcast(plan.observers.select("oid", F.col("features").alias("other")))
+        return plan.points.crossJoin(model).select("idx", "oid", F.round(f(F.col("features"), F.col("other")), 6).alias("d"))
+
+    return query
+
+
+def observer_sample(spark, sf_dir):
+    return _Plan(spark, sf_dir).observers.select("oid", "time_added", F.round(F.aggregate("features", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+def sampled_rows(spark, sf_dir):
+    return sampling.sampled(_Plan(spark, sf_dir).points, 0.25).select("idx", "t")
+
+
+def sampled_membership(spark, sf_dir):
+    plan = _Plan(spark, sf_dir)
+    chosen = plan.observers.select(F.col("oid").alias("idx")).distinct()
+    return plan.points.join(F.broadcast(chosen), "idx", "left_semi").select("idx", "t")
+
+
+def unsampled_rows(spark, sf_dir):
+    plan = _Plan(spark, sf_dir)
+    return plan.points.join(F.broadcast(plan.observers.select(F.col("oid").alias("idx"))), "idx", "left_anti").select("idx", "t")
+
+
+def knn_top5(spark, sf_dir):
+    return _Plan(spark, sf_dir).near().select("idx", "oid", "rk", F.round("d", 6).alias("d"))
+
+
+def observation_counts(spark, sf_dir):
+    return scoring.observations(_Plan(spark, sf_dir).near())
+
+
+def faded_observations(spark, sf_dir):
+    return _Plan(spark, sf_dir).faded().select("oid", F.round("observations", 6).alias("observations"), "touched")
+
+
+def av_observations(spark, sf_dir):
+    return _Plan(spark, sf_dir).averaged().select("oid", F.round("observations", 6).alias("observations"), F.round("av_observations", 6).alias("av_observations"))
+
+
+def active_observers(spark, sf_dir):
+    return scoring.active(_Plan(spark, sf_dir).averaged(), IDLE)
+
+
+def replaced_observers(spark, sf_dir):
+    return sampling.replaceable(_Plan(spark, sf_dir).averaged().withColumn("av_observations", F.round("av_observations", 9)), 10).select("oid")
+
+
+def outlier_score_median(spark, sf_dir):
+    return scoring.outlier_scores(_Plan(spark, sf_dir).near()).select("idx", F.round("score", 6).alias("score"))
+
+
+def outlier_score_relative(spark, sf_dir):
+    plan = _Plan(spark, sf_dir)
+    return scoring.relative_scores(plan.near(), neighbours.cutoffs(plan.pairs(), CHI)).select("idx", F.round("score", 6).alias("score"))
+
+
+def chi_cutoff(spark, sf_dir):
+    return neighbours.cutoffs(_Plan(spark, sf_dir).pairs(), CHI).select("oid", F.round("h", 6).alias("h"))
+
+
+def zeta_edges(spark, sf_dir):
+    return _Plan(spark, sf_dir).edges().select("src", "dst", F.round("d", 6).alias("d"))
+
+
+def components(spark, sf_dir):
+    return _Plan(spark, sf_dir).components()
+
+
+def min_cluster_size(spark, sf_dir):
+    return _Plan(spark, sf_dir).labels()
+
+
+def vote_label(spark, sf_dir):
+    return _Plan(spark, sf_dir).votes()
+
+
+def color_observations(spark, sf_dir):
+    plan = _Plan(spark, sf_dir)
+    return scoring.color_observations(plan.near(), plan.votes(), plan.now, HORIZON).select("oid", "color", F.round("weight", 6).alias("weight"))
+
+
+def color_distribution(spark, sf_dir):
+    plan = _Plan(spark, sf_dir)
+    shares = scoring.color_distribution(scoring.color_observations(plan.near(), plan.votes(), plan.now, HORIZON))
+    return shares.select("oid", "color", F.round("share", 6).alias("share"))
+
+
+def cluster_listing(spark, sf_dir):
+    labels = _Plan(spark, sf_dir).labels()
+    return labels.groupBy("label").agg(F.count("*").alias("observers"), F.min("oid").alias("first"), F.max("oid").alias("last"))
+
+
+def handled_labels(spark, sf_dir):
+    rows = scoring.handle_outliers(_Plan(spark, sf_dir).scored(), 1.3, True)
+    return rows.select("idx", "label", F.round("score", 6).alias("score"))
+
+
+def outlier_overwrite_3sigma(spark, sf_dir):
+    rows = metrics.overwrite_outliers(_Plan(spark, sf_dir).scored())
+    return rows.select("idx", "label", F.round("score", 6).alias("score"))
+
+
+def label_dense_code(spark, sf_dir):
+    return metrics.dense_code(_Plan(spark, sf_dir).votes()).select("idx", "label", "code")
+
+
+def distinct_labels(spark, sf_dir):
+    return _Plan(spark, sf_dir).votes().select("label").distinct()
+
+
+def inlier_counts(spark, sf_dir):
+    votes = _Plan(spark, sf_dir).votes()
+    return votes.agg(F.count_if(F.col("label") > -1).alias("inliers"), F.count_if(F.col("label") == -1).alias("outliers"))
+
+
+def ari(spark, sf_dir):
+    plan = _Plan(spark, sf_dir)
+    both = plan.points.select("idx", F.col("label").alias("truth")).join(plan.votes(), "idx")
+    return metrics.adjusted_rand_index(both, "truth", "label").select(F.round("ari", 9).alias("ari"))
+
+
+def roc_auc(spark, sf_dir):
+    plan = _Plan(spark, sf_dir)
+    both = plan.points.select("idx", "label").join(scoring.outlier_scores(plan.near()), "idx")
+    return metrics.roc_auc(both, F.col("label") == 0).select(F.round("auc", 9).alias("auc"))
+
+
+def block_ids(spark, sf_dir):
+    rows = sources.blocks(sources.from_events(spark, sf_dir), BLOCK)
+    return rows.groupBy("block").agg(F.count("*").alias("n"), F.min("idx").alias("first"), F.max("idx").alias("last"))
+
+
+def buffer_batches(spark, sf_dir):
+    rows = runner.buffered(_Plan(spark, sf_dir).points, BUFFER)
+    return rows.groupBy("buffer").agg(F.count("*").alias("n"), F.max("t").alias("t"))
+
+
+def block_union(spark, sf_dir):
+    pts = _Plan(spark, sf_dir).points
+    low, high = pts.where(F.col("idx") % 2 == 0), pts.where(F.col("idx") % 2 == 1)
+    return low.select("idx", "t").unionByName(high.select("idx", "t"))
+
+
+def event_points(spark, sf_dir):
+    rows = sources.from_events(spark, sf_dir)
+    return rows.select("idx", F.round("t", 3).alias("t"), F.round(F.col("features")[0], 6).alias("f0"), F.round(F.col("features")[1], 6).alias("f1"))
+
+
+def lineitem_points(spark, sf_dir):
+    rows = sources.valid(sources.from_lineitem(spark, sf_dir), 4)
+    return rows.select("idx", "t", *[F.round(F.col("features")[i], 8).alias(f"f{i}") for i in range(4)])
+
+
+def perturbed_ties(spark, sf_dir):
+    return _Plan(spark, sf_dir).points.select("idx", F.round(distance.perturbation(F.col("idx"), 1e-3, 5), 12).alias("eps"))
+
+
+def codec_round_trip(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.col("event_id") * -3 + 1000).alias("n"), "value")
+    rows = rows.withColumn("b", codec.encode_int(F.col("n"), 4))
+    return rows.select("event_id", F.lower(F.hex("b")).alias("bytes"), codec.decode_int(F.col("b"), 4).alias("n"), codec.decode_double(codec.encode_double(F.col("value"))).alias("value"))
+
+
+def fading_factors(spark, sf_dir):
+    plan = _Plan(spark, sf_dir)
+    return plan.points.crossJoin(F.broadcast(plan.now)).select("idx", F.round(decay.weight(F.col("now"), F.col("t"), HORIZON), 9).alias("weight"), F.round(decay.age(F.col("now"), F.col("t"), HORIZON), 9).alias("age"))
+
+
+def temporal_fourier_sums(spark, sf_dir):
+    plan = _Plan(spark, sf_dir)
+    sums = scoring.fourier_sums(plan.near(), plan.now, HORIZON, BINS, MAX_FREQ)
+    return sums.select("oid", "bin", F.round("re", 6).alias("re"), F.round("im", 6).alias("im"))
+
+
+def fit_predict_flagship(spark, sf_dir):
+    """Observers, faded counts, the idle cut, nearest active observers, score, label, 3 sigma."""
+    plan = _Plan(spark, sf_dir)
+    awake = plan.observers.join(F.broadcast(scoring.active(plan.averaged(), IDLE)), "oid", "left_semi")
+    near = plan.near(awake)
+    rows = scoring.outlier_scores(near).join(scoring.votes(near, plan.labels()), "idx")
+    return metrics.overwrite_outliers(rows).select("idx", "label", F.round("score", 6).alias("score"))
+
+
+def get_observers(spark, sf_dir):
+    plan = _Plan(spark, sf_dir)
+    rows = plan.averaged().join(plan.labels(), "oid")
+    return rows.select("oid", "label", F.round("observations", 6).alias("observations"), F.round("av_observations", 6).alias("av_observations"))
+
+
+def observer_count(spark, sf_dir):
+    return _Plan(spark, sf_dir).observers.agg(F.count("*").alias("n"))
+
+
+def _model(cls):
+    def query(spark, sf_dir):
+        pts = sources.valid(sources.from_embeddings(spark, sf_dir))
+        model = cls(spark, k=K, T=HORIZON, x=X, chi_min=CHI, zeta=ZETA, e=MIN_SIZE, idle_observers=IDLE, freq_bins=BINS, max_freq=MAX_FREQ)
+        return model.fit_predict(pts).select("idx", "label", F.round("score", 6).alias("score"))
+
+    return query
+
+
+def predict_only(spark, sf_dir):
+    """A model of one half of the points scores the other, unchanged."""
+    pts = sources.valid(sources.from_lineitem(spark, sf_dir), 4)
+    odd = F.col("idx") % 2 == 1
+    model = StreamClusterer(spark, k=K, T=HORIZON, x=X, chi_min=CHI, zeta=ZETA, e=MIN_SIZE).fit(pts.where(~odd))
+    return model.predict(pts.where(odd)).select("idx", "label", F.round("score", 6).alias("score"))
+
+
+def model_observers(spark, sf_dir):
+    """The read-out of a model that was fitted on events."""
+    pts = sources.valid(sources.from_events(spark, sf_dir))
+    model = StreamClusterer(spark, k=K, T=86400.0, x=X, chi_min=CHI, zeta=ZETA, e=MIN_SIZE).fit(pts)
+    return model.get_observers(model._now).select("oid", "label", F.round("observations", 6).alias("observations"))
+
+
+def streaming_fit_predict(spark, sf_dir):
+    """Embeddings as a stream of files through one model; all scores of all micro-batches."""
+    schema = spark.read.parquet(f"{sf_dir}/embeddings.parquet").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/embeddings.parque[t]")  # a pattern may name a file or a folder
+    pts = sources.valid(sources.from_columns(stream, F.col("vec_id"), F.col("vec_id"), F.col("embedding")))
+    place = f"{scratch_root(spark)}/stream-{uuid.uuid4().hex}"
+    model = StreamClusterer(spark, k=K, T=HORIZON, x=X, chi_min=CHI, zeta=ZETA, e=MIN_SIZE)
+    runner.run(pts, model, f"{place}/scores", f"{place}/checkpoint").awaitTermination()
+    return spark.read.schema("idx bigint, label int, score double, batch int").parquet(f"{place}/scores").select("idx", "label", F.round("score", 6).alias("score"))
+
+
+_PTS = "pts AS (SELECT vec_id AS idx, CAST(vec_id AS DOUBLE) AS t, CAST(embedding AS DOUBLE[]) AS f, label AS truth FROM embeddings)"
+_OBS = f"obs AS (SELECT idx AS oid, t AS time_added, f FROM pts ORDER BY (idx * 7919 + 13) % 1000003, idx LIMIT {K})"
+_NOW = "now AS (SELECT max(t) AS now FROM pts)"
+_NEAR = f"""near AS (SELECT idx, t, oid, d, rk FROM (
+  SELECT *, row_number() OVER (PARTITION BY idx ORDER BY d, oid) AS rk
+  FROM (SELECT p.idx, p.t, o.oid, round(list_distance(p.f, o.f), 9) AS d FROM pts p JOIN obs o ON p.idx <> o.oid)) WHERE rk <= {X})"""
+_FADED = f"faded AS (SELECT oid, sum(exp(-(now - t) / CAST({HORIZON} AS DOUBLE))) AS observations, max(t) AS touched FROM near, now GROUP BY oid)"
+_AV = f"""av AS (SELECT o.oid, coalesce(observations, 0) AS observations,
+  coalesce(observations, 0) / nullif(1 - exp(-(now - time_added) / CAST({HORIZON} AS DOUBLE)), 0) AS av_observations
+  FROM obs o LEFT JOIN faded USING (oid), now)"""
+_ACTIVE = f"""act AS (SELECT oid FROM (SELECT oid, row_number() OVER (ORDER BY round(av_observations, 9) DESC NULLS FIRST, oid) AS rk, count(*) OVER () AS n FROM av)
+  WHERE rk <= ceil(CAST(1 - {IDLE} AS DOUBLE) * n))"""
+_PAIRS = "pairs AS (SELECT a.oid AS a, b.oid AS b, round(list_distance(a.f, b.f), 9) AS d FROM obs a JOIN obs b ON a.oid <> b.oid)"
+_H = f"h AS (SELECT a AS oid, d AS h FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, b) AS rk FROM pairs) WHERE rk = {CHI})"
+_EDGES = f"""cut AS (SELECT oid, round(CAST({ZETA} AS DOUBLE) * h + CAST(1 - {ZETA} AS DOUBLE) * avg(h) OVER (), 9) AS c FROM h),
+edges AS (SELECT a AS src, b AS dst, d FROM pairs JOIN cut x ON x.oid = a JOIN cut y ON y.oid = b WHERE a < b AND d < x.c AND d < y.c)"""
+_COMP = """reach AS (SELECT oid AS node, oid AS got FROM obs UNION
+  SELECT r.node, CASE WHEN r.got = e.src THEN e.dst ELSE e.src END FROM reach r JOIN edges e ON r.got IN (e.src, e.dst)),
+comp AS (SELECT node AS oid, min(got) AS component FROM reach GROUP BY node)"""
+_LABELS = f"""named AS (SELECT component, CAST(row_number() OVER (ORDER BY component) - 1 AS INTEGER) AS label FROM comp GROUP BY component HAVING count(*) >= {MIN_SIZE}),
+labels AS (SELECT oid, coalesce(label, -1) AS label FROM comp LEFT JOIN named USING (component))"""
+_VOTES = """cast_votes AS (SELECT idx, label, count(*) AS n FROM near JOIN labels USING (oid) WHERE label >= 0 GROUP BY idx, label),
+best AS (SELECT idx, label FROM (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY n DESC, label) AS rk FROM cast_votes) WHERE rk = 1),
+votes AS (SELECT idx, coalesce(label, -1) AS label FROM (SELECT DISTINCT idx FROM near) LEFT JOIN best USING (idx))"""
+_SCORES = "scores AS (SELECT idx, median(d) AS score FROM near GROUP BY idx)"
+_GRAPH = (_PAIRS, _H, _EDGES, _COMP, _LABELS)
+
+
+def _sql(*parts: str) -> str:
+    *tables, last = parts
+    return "WITH RECURSIVE " + ",\n".join([_PTS, _OBS, _NOW, *tables]) + "\n" + last
+
+
+def _distance_sql(d: str) -> str:
+    return _sql(f"SELECT idx, oid, round({d}, 6) AS d FROM pts p, obs o")
+
+
+_GAPS = "list_transform(range(1, len(p.f) + 1), lambda i: {})"
+_COLORS = f"colors AS (SELECT oid, label AS color, sum(exp(-(now - t) / CAST({HORIZON} AS DOUBLE))) AS weight FROM near JOIN votes USING (idx), now GROUP BY oid, label)"
+_OVERWRITE = "SELECT idx, CASE WHEN score > (SELECT avg(score) + 3 * stddev_pop(score) FROM scores) THEN -1 ELSE label END AS label, round(score, 6) AS score FROM scores JOIN votes USING (idx)"
+
+_TABLE: dict = {
+    "dist_euclidean": (_distance("euclidean"), _distance_sql("list_distance(p.f, o.f)")),
+    "dist_manhattan": (_distance("manhattan"), _distance_sql(f"list_sum({_GAPS.format('abs(p.f[i] - o.f[i])')})")),
+    "dist_chebyshev": (_distance("chebyshev"), _distance_sql(f"list_max({_GAPS.format('abs(p.f[i] - o.f[i])')})")),
+    "dist_minkowski3": (_distance("minkowski", 3), _distance_sql(f"pow(list_sum({_GAPS.format('pow(abs(p.f[i] - o.f[i]), 3)')}), CAST(1 AS DOUBLE) / 3)")),
+    "observer_sample": (observer_sample, _sql("SELECT oid, time_added, round(list_sum(f), 6) AS total FROM obs")),
+    "sampled_rows": (sampled_rows, _sql("SELECT idx, t FROM pts WHERE (idx * 7919 + 13) % 1000003 < 250000")),
+    "sampled_membership": (sampled_membership, _sql("SELECT idx, t FROM pts WHERE idx IN (SELECT oid FROM obs)")),
+    "unsampled_rows": (unsampled_rows, _sql("SELECT idx, t FROM pts WHERE idx NOT IN (SELECT oid FROM obs)")),
+    "knn_top5": (knn_top5, _sql(_NEAR, "SELECT idx, oid, CAST(rk AS INTEGER) AS rk, round(d, 6) AS d FROM near")),
+    "observation_counts": (observation_counts, _sql(_NEAR, "SELECT oid, count(*) AS n FROM near GROUP BY oid")),
+    "faded_observations": (faded_observations, _sql(_NEAR, _FADED, "SELECT oid, round(observations, 6) AS observations, touched FROM faded")),
+    "av_observations": (av_observations, _sql(_NEAR, _FADED, _AV, "SELECT oid, round(observations, 6) AS observations, round(av_observations, 6) AS av_observations FROM av")),
+    "active_observers": (active_observers, _sql(_NEAR, _FADED, _AV, _ACTIVE, "SELECT oid FROM act")),
+    "replaced_observers": (replaced_observers, _sql(_NEAR, _FADED, _AV, "SELECT oid FROM av ORDER BY round(av_observations, 9) ASC NULLS LAST, oid LIMIT 10")),
+    "outlier_score_median": (outlier_score_median, _sql(_NEAR, _SCORES, "SELECT idx, round(score, 6) AS score FROM scores")),
+    "outlier_score_relative": (outlier_score_relative, _sql(_NEAR, _PAIRS, _H, "SELECT idx, round(median(d / nullif(h, 0)), 6) AS score FROM near JOIN h USING (oid) GROUP BY idx")),
+    "chi_cutoff": (chi_cutoff, _sql(_PAIRS, _H, "SELECT oid, round(h, 6) AS h FROM h")),
+    "zeta_edges": (zeta_edges, _sql(_PAIRS, _H, _EDGES, "SELECT src, dst, round(d, 6) AS d FROM edges")),
+    "components": (components, _sql(_PAIRS, _H, _EDGES, _COMP, "SELECT oid, component FROM comp")),
+    "min_cluster_size": (min_cluster_size, _sql(*_GRAPH, "SELECT oid, label FROM labels")),
+    "vote_label": (vote_label, _sql(_NEAR, *_GRAPH, _VOTES, "SELECT idx, label FROM votes")),
+    "color_observations": (color_observations, _sql(_NEAR, *_GRAPH, _VOTES, _COLORS, "SELECT oid, color, round(weight, 6) AS weight FROM colors")),
+    "color_distribution": (color_distribution, _sql(_NEAR, *_GRAPH, _VOTES, _COLORS, "SELECT oid, color, round(weight / sum(weight) OVER (PARTITION BY oid), 6) AS share FROM colors")),
+    "cluster_listing": (cluster_listing, _sql(*_GRAPH, "SELECT label, count(*) AS observers, min(oid) AS first, max(oid) AS last FROM labels GROUP BY label")),
+    "handled_labels": (handled_labels, _sql(_NEAR, *_GRAPH, _VOTES, _SCORES, "SELECT idx, CASE WHEN score > CAST(1.3 AS DOUBLE) THEN -1 ELSE label END AS label, round(score, 6) AS score FROM scores JOIN votes USING (idx)")),
+    "outlier_overwrite_3sigma": (outlier_overwrite_3sigma, _sql(_NEAR, *_GRAPH, _VOTES, _SCORES, _OVERWRITE)),
+    "label_dense_code": (label_dense_code, _sql(_NEAR, *_GRAPH, _VOTES, "SELECT idx, label, CAST(dense_rank() OVER (ORDER BY label) - 2 AS INTEGER) AS code FROM votes")),
+    "distinct_labels": (distinct_labels, _sql(_NEAR, *_GRAPH, _VOTES, "SELECT DISTINCT label FROM votes")),
+    "inlier_counts": (inlier_counts, _sql(_NEAR, *_GRAPH, _VOTES, "SELECT count(*) FILTER (label > -1) AS inliers, count(*) FILTER (label = -1) AS outliers FROM votes")),
+    "ari": (ari, _sql(_NEAR, *_GRAPH, _VOTES, """cells AS (SELECT truth AS y, label AS p, CAST(count(*) AS DOUBLE) AS n FROM pts JOIN votes USING (idx) GROUP BY ALL),
+s AS (SELECT sum(n * (n - 1) / 2) AS s, sum(n) AS total FROM cells),
+a AS (SELECT sum(n * (n - 1) / 2) AS a FROM (SELECT sum(n) AS n FROM cells GROUP BY y)),
+b AS (SELECT sum(n * (n - 1) / 2) AS b FROM (SELECT sum(n) AS n FROM cells GROUP BY p)),
+e AS (SELECT *, a * b / (total * (total - 1) / 2) AS e FROM s, a, b)""", "SELECT round((s - e) / ((a + b) / 2 - e), 9) AS ari FROM e")),
+    "roc_auc": (roc_auc, _sql(_NEAR, _SCORES, """r AS (SELECT truth = 0 AS pos, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / CAST(2 AS DOUBLE) AS rk FROM scores JOIN pts USING (idx)),
+g AS (SELECT sum(rk) FILTER (pos) AS r, CAST(count(*) FILTER (pos) AS DOUBLE) AS p, CAST(count(*) AS DOUBLE) AS n FROM r)""", "SELECT round((r - p * (p + 1) / 2) / (p * (n - p)), 9) AS auc FROM g")),
+    "block_ids": (block_ids, f"SELECT event_id // {BLOCK} AS block, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM events GROUP BY ALL"),
+    "buffer_batches": (buffer_batches, _sql(f"SELECT idx // {BUFFER} AS buffer, count(*) AS n, max(t) AS t FROM pts GROUP BY ALL")),
+    "block_union": (block_union, _sql("SELECT idx, t FROM pts")),
+    "event_points": (event_points, "SELECT event_id AS idx, round(epoch_us(ts) / CAST(1000000 AS DOUBLE), 3) AS t, round(value / 100, 6) AS f0, round((epoch_us(ts) / CAST(1000000 AS DOUBLE)) % 86400 / 86400, 6) AS f1 FROM events"),
+    "lineitem_points": (lineitem_points, "SELECT l_orderkey * 8 + l_linenumber AS idx, epoch_us(l_shipdate) / CAST(1000000 AS DOUBLE) / 86400 AS t, round(l_quantity / 50, 8) AS f0, round(l_extendedprice / 100000, 8) AS f1, round(l_discount * 10, 8) AS f2, round(l_tax * 10, 8) AS f3 FROM lineitem"),
+    "perturbed_ties": (perturbed_ties, _sql("SELECT idx, round(CAST(0.001 AS DOUBLE) * ((idx * 7919 + 5) % 1000003) / CAST(1000003 AS DOUBLE), 12) AS eps FROM pts")),
+    "codec_round_trip": (codec_round_trip, "SELECT event_id, right(lpad(lower(hex(event_id * -3 + 1000)), 16, CASE WHEN event_id * -3 + 1000 < 0 THEN 'f' ELSE '0' END), 8) AS bytes, event_id * -3 + 1000 AS n, value FROM events"),
+    "fading_factors": (fading_factors, _sql(f"SELECT idx, round(exp(-(now - t) / CAST({HORIZON} AS DOUBLE)), 9) AS weight, round(nullif(1 - exp(-(now - t) / CAST({HORIZON} AS DOUBLE)), 0), 9) AS age FROM pts, now")),
+    "temporal_fourier_sums": (temporal_fourier_sums, _sql(_NEAR, f"""x AS (SELECT oid, CAST(bin AS INTEGER) AS bin, exp(-(now - t) / CAST({HORIZON} AS DOUBLE)) AS w, CAST({MAX_FREQ} AS DOUBLE) * bin / CAST({BINS - 1} AS DOUBLE) * t AS ph FROM near, now, range({BINS}) AS b(bin))""", "SELECT oid, bin, round(sum(w * cos(ph)), 6) AS re, round(sum(w * sin(ph)), 6) AS im FROM x GROUP BY oid, bin")),
+    "fit_predict_flagship": (fit_predict_flagship, _sql(_NEAR, _FADED, _AV, _ACTIVE, *_GRAPH, _NEAR.replace("near AS", "awake AS", 1).replace("JOIN obs o", "JOIN (SELECT * FROM obs WHERE oid IN (SELECT oid FROM act)) o"), _VOTES.replace("near", "awake"), _SCORES.replace("near", "awake"), _OVERWRITE)),
+    "get_observers": (get_observers, _sql(_NEAR, _FADED, _AV, *_GRAPH, "SELECT oid, label, round(observations, 6) AS observations, round(av_observations, 6) AS av_observations FROM av JOIN labels USING (oid)")),
+    "observer_count": (observer_count, _sql("SELECT count(*) AS n FROM obs")),
+    "model_fit_predict": (_model(StreamClusterer), None),
+    "model_temporal_fit_predict": (_model(TemporalStreamClusterer), None),
+    "model_predict_only": (predict_only, None),
+    "model_get_observers": (model_observers, None),
+    "streaming_fit_predict": (streaming_fit_predict, None),
+}
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for name, (query, _) in _TABLE.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _TABLE.items() if sql}

@@ -36,7 +36,7 @@ def from_arrays(spark: SparkSession, data: np.ndarray, times: np.ndarray, first_
     data, times = np.asarray(data, float), np.asarray(times, float)
     if data.ndim != 2 or times.ndim != 1 or len(data) != len(times):
         raise ValueError("data must be a matrix with one row for each time")
-    frame = pd.DataFrame({"idx": np.arange(first_index, first_index + len(data)), "t": times, "features": list(data)})
+    frame = pd.DataFrame({"idx": np.arange(first_index, first_index + len(data)), "t": times, "features": data.tolist()})
     return spark.createDataFrame(frame, "idx bigint, t double, features array<double>")
 
 

@@ -79,7 +79,7 @@ class KeyedClusterer(StatefulProcessor):
                     o, n, then = model[j]
                     model[j] = (o, n * self.fade ** (t - then) + 1, t)
                 if len(model) >= self.k and (idx * 7919) % self.k == 0:
-                    model.remove(min(model, key=lambda m: (m[1], m[2])))
+                    model.pop(min(range(len(model)), key=lambda j: model[j][1:]))
                 if len(model) < self.k:
                     model.append((f, 1.0, t))
             yield pd.DataFrame(out, columns=["key", "idx", "score"])

@@ -2,8 +2,8 @@
 
 A visitor flattens the parts of a turn - text, image, audio, document - into one string, in
 order. What is not text becomes a placeholder and an attachment reference with the tokens that
-it expands to. A template marks the turns; a backslash before ``\\``, ``#`` and ``<`` inside
-texts and roles keeps every control string out of them, reversibly.
+it expands to. A template marks the turns; inside texts and roles ``\\``, ``#`` and ``<`` become a backslash
+and a letter, reversibly, so that no control string occurs in them.
 
 ``format_turns`` works row by row. ``read_back`` parses the formatted turns of a conversation in
 order; it streams through a sorted partition and keeps running digests and counts only, so a
@@ -24,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import column
+from .workspace import bounded_batches, column
 
 #: The template: marker, role, marker, text, marker. Control strings start with "#" or "<".
 TURN_OPEN, ROLE_END, TURN_CLOSE = "### ", ": ", " </turn>\n"
 ASSISTANT = "assistant"
+#: What a special sign becomes after a backslash.
+_LETTERS = {"\\": "\\", "#": "h", "<": "l", ":": "c"}
+_SIGNS = {v: k for k, v in _LETTERS.items()}
 _ESCAPED = re.compile(r"[\\#<]")
 _ESCAPED_ROLE = re.compile(r"[\\#<:]")
 _ROLE = re.compile(r"((?:[^\\:]|\\.)*): ", re.S)
@@ -36,16 +39,16 @@ _UNESCAPED = re.compile(r"\\(.)", re.S)
 
 
 def escape(text: str) -> str:
-    return _ESCAPED.sub(lambda m: "\\" + m[0], text)
+    return _ESCAPED.sub(lambda m: "\\" + _LETTERS[m[0]], text)
 
 
 def escape_role(role: str) -> str:
     """Also before a colon, which ends the role."""
-    return _ESCAPED_ROLE.sub(lambda m: "\\" + m[0], role)
+    return _ESCAPED_ROLE.sub(lambda m: "\\" + _LETTERS[m[0]], role)
 
 
 def unescape(text: str) -> str:
-    return _UNESCAPED.sub(lambda m: m[1], text)
+    return _UNESCAPED.sub(lambda m: _SIGNS[m[1]], text)
 
 
 @dataclass
@@ -108,6 +111,7 @@ def text_part(text: Column) -> Column:
 def format_turns(turns: DataFrame, visitor: PartVisitor | None = None) -> DataFrame:
     """From (conv_id, turn, role, parts): one row per turn with its formatted string."""
     visitor = visitor or PartVisitor()
+    bounded_batches(turns.sparkSession)
 
     def run(batches):
         for batch in batches:

@@ -135,8 +135,8 @@ WITH t AS (
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 f AS (
-  SELECT *, length('### ' || replace(replace(replace(replace(role, '\', '\\'), '#', '\#'), '<', '\<'), ':', '\:') || ': '
-    || replace(replace(replace(text, '\', '\\'), '#', '\#'), '<', '\<') || ' </turn>' || chr(10)) AS chars FROM t)
+  SELECT *, length('### ' || replace(replace(replace(replace(role, '\', '\\'), '#', '\h'), '<', '\l'), ':', '\c') || ': '
+    || replace(replace(replace(text, '\', '\\'), '#', '\h'), '<', '\l') || ' </turn>' || chr(10)) AS chars FROM t)
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,

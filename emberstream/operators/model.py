@@ -2,13 +2,13 @@
 
 State is at most ``k`` observers and small tables over them, written under a version number; a
 batch is sampled, counted, clustered and scored by joins with that bounded state. Distances are a
-matrix product per Arrow batch for the built-in metrics (``nearest_arrays``), or expressions for
-any other. Formulas that the reference only declares are this engine's own; see the README.
+matrix per Arrow batch, of a built-in metric or of a function of one's own over arrays. Formulas that the reference only declares are this engine's own; see the README.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.decay import fading
-from ..functions.distance import Metric
+from ..functions.distance import METRICS
+from ..plans.scratch import materialize
 
 
 @dataclass(frozen=True)
@@ -40,7 +41,7 @@ class Parameters:
     perturb: float = 0.0
     random_sampling: bool = False
     input_buffer: int = 0
-    distance: str | Metric = "euclidean"
+    distance: str | Callable = "euclidean"
     p: float = 2.0
     seed: int = 0
 
@@ -51,6 +52,8 @@ class Parameters:
             raise ValueError("idle_observers, zeta and chi_prop are shares")
         if self.distance == "minkowski" and self.p < 1:
             raise ValueError("p must be at least 1")
+        if not callable(self.distance) and self.distance not in (*METRICS, "minkowski"):
+            raise ValueError(f"no metric {self.distance!r}")
 
 
 @dataclass
@@ -76,8 +79,10 @@ class State:
         return cls(np.zeros(0, np.int64), np.zeros((0, dim)), z, z, z, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, bins), complex))
 
 
-def distances(a: np.ndarray, b: np.ndarray, which: str, p: float = 2.0) -> np.ndarray:
-    """All distances between rows of a and of b."""
+def distances(a: np.ndarray, b: np.ndarray, which, p: float = 2.0) -> np.ndarray:
+    """All distances between rows of a and of b; ``which`` is a name or does just that."""
+    if callable(which):
+        return np.asarray(which(a, b), float)
     if which == "euclidean":
         gap = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T
         out = np.sqrt(np.maximum(gap, 0))
@@ -101,11 +106,26 @@ class StreamClusterer:
     def __init__(self, spark: SparkSession, **parameters):
         self.spark, self.params, self.state = spark, Parameters(**parameters), None
         self.fade = fading(self.params.T)
+        self._waiting, self._waiting_rows = [], 0
 
     # --- what a batch does: sample, fit, update, predict
 
     def fit(self, points: DataFrame) -> StreamClusterer:
-        """Sample new observers, count hits, rebuild the graph."""
+        """Sample new observers, count hits, rebuild the graph.
+
+        With ``input_buffer`` = n a model that exists waits until n rows have come together; rows
+        are always scored by the newest model.
+        """
+        if self.params.input_buffer > 1 and self.state is not None:
+            kept = materialize(points.select("idx", "t", "features"), "buffer")
+            self._waiting.append(kept)
+            self._waiting_rows += kept.count()
+            if self._waiting_rows < self.params.input_buffer:
+                return self
+            points = self._waiting[0]
+            for more in self._waiting[1:]:
+                points = points.unionByName(more)
+            self._waiting, self._waiting_rows = [], 0
         self._sample(points)
         self._count(points)
         self._update()
@@ -117,13 +137,14 @@ class StreamClusterer:
         s, p = self.state, self.params
         if s is None or not len(s.oid):
             return points.select("idx", F.lit(-1).alias("label"), F.lit(None).cast("double").alias("score"))
-        shared = self.spark.sparkContext.broadcast((s, p, self._active(self._now), self.temporal))
+        shared = self.spark.sparkContext.broadcast((s, _plain(p), self._active(self._now), self.temporal))
+        named = _named(p)
 
         def run(batches):
             state, params, act, temporal = shared.value
             for batch in batches:
                 if len(batch):
-                    d, order = _nearest(batch, state, params, act, temporal)
+                    d, order = _nearest(batch, state, params, act, temporal, named)
                     near = np.take_along_axis(d, order, 1)
                     ratio = near / np.maximum(state.cutoff[act][order], 1e-12) if params.rel_outlier_score else near
                     score = np.median(ratio, axis=1)
@@ -203,7 +224,8 @@ class StreamClusterer:
             return
         now = max(float(edge["now"]), self._now)
         act = self._active(now)
-        shared = self.spark.sparkContext.broadcast((s, p, act, self.temporal))
+        shared = self.spark.sparkContext.broadcast((s, _plain(p), act, self.temporal))
+        named = _named(p)
         fade, bins = self.fade, p.freq_bins
 
         def run(batches):
@@ -212,7 +234,7 @@ class StreamClusterer:
             hits, waves = np.zeros(k), np.zeros((k, bins), complex)
             for batch in batches:
                 if len(batch):
-                    _, order = _nearest(batch, state, params, a, temporal)
+                    _, order = _nearest(batch, state, params, a, temporal, named)
                     t = batch["t"].to_numpy(float)
                     w = np.repeat(fade ** (now - t), order.shape[1])
                     o = a[order.ravel()]
@@ -285,18 +307,21 @@ class TemporalStreamClusterer(StreamClusterer):
 
 
 def _named(p: Parameters) -> tuple[str, float]:
-    if callable(p.distance):
-        raise ValueError("a model takes euclidean, manhattan, chebyshev or minkowski; metrics of one's own work with operators.neighbours")
     return p.distance, p.p
 
 
+def _plain(p: Parameters) -> Parameters:
+    """Without a function of one's own, which travels in the closure of a task instead."""
+    return replace(p, distance="euclidean") if callable(p.distance) else p
+
+
 def _frequencies(p: Parameters) -> np.ndarray:
     return p.max_freq * np.arange(p.freq_bins) / max(1, p.freq_bins - 1)
 
 
-def _nearest(batch: pd.DataFrame, s: State, p: Parameters, act: np.ndarray, temporal: bool) -> tuple[np.ndarray, np.ndarray]:
+def _nearest(batch: pd.DataFrame, s: State, p: Parameters, act: np.ndarray, temporal: bool, named: tuple) -> tuple[np.ndarray, np.ndarray]:
     """Distances of a batch to the active observers, and the places of the nearest ``x``."""
-    d = distances(np.stack(batch["features"].to_numpy()).astype(float), s.data[act], *_named(p))
+    d = distances(np.stack(batch["features"].to_numpy()).astype(float), s.data[act], *named)
     if p.perturb:
         d = d + p.perturb * ((s.oid[act] * 7919 + p.seed) % 1_000_003 / 1_000_003)[None]
     d[batch["idx"].to_numpy()[:, None] == s.oid[act][None]] = np.inf

@@ -7,14 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.distance import Metric, euclidean
 
-#: Observers that may be broadcast: a model's capacity is checked against this.
-MAX_OBSERVERS = 20_000
-
 
 def nearest(points: DataFrame, observers: DataFrame, x: int, metric: Metric = euclidean, exclude_self: bool = True, eps: str | None = None) -> DataFrame:
     """(idx, t, oid, d, rk): the ``x`` nearest observers of each point.
 
-    Observers are a bounded model and are broadcast; each point sorts its own distances in an
+    Observers are a model of bounded capacity, gathered into one row and broadcast; each point sorts its own distances in an
     array, so there is no shuffle. Ties are ordered by ``eps`` (if given) and the observer's id.
     """
     model = observers.agg(F.collect_list(F.struct("oid", "features", *([eps] if eps else []))).alias("model"))

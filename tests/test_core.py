@@ -139,6 +139,19 @@ def test_options(spark):
     assert StreamClusterer(spark).predict(pts.limit(0)).count() == 0
 
 
+def test_own_metric_and_input_buffer(spark):
+    pts, _, odd = blobs(spark)
+    own = StreamClusterer(spark, k=60, T=1000, chi_min=12, e=3, distance=lambda a, b: np.abs(a[:, None] - b[None]).sum(2), input_buffer=200)
+    named = StreamClusterer(spark, k=60, T=1000, chi_min=12, e=3, distance="manhattan")
+    assert [tuple(r)[:2] for r in own.fit_predict(pts).orderBy("idx").collect()] == [tuple(r)[:2] for r in named.fit_predict(pts).orderBy("idx").collect()]
+    later, _, _ = blobs(spark, first=1000)
+    assert own.fit_predict(later).count() == 121 and own.state.version == 1  # 121 of 200 rows wait
+    last, _, _ = blobs(spark, first=2000)
+    assert own.fit_predict(last).count() == 121 and own.state.version == 2 and own.state.rows == 363
+    with pytest.raises(ValueError):
+        Parameters(distance="none")
+
+
 def test_buffer():
     b = runner.DataBuffer(3)
     assert not b.add(np.ones((2, 2)), np.ones(2)) and b.add(np.ones((2, 2)), np.ones(2))

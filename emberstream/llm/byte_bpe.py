@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .workspace import column
+from .workspace import bounded_batches, column
 
 #: Characters up to which a stretch is handed over in one call.
 STRETCH = 4096
@@ -90,34 +90,53 @@ def _codec(ranks: bytes, pattern: str) -> ByteBPE:
     return _CODECS[key]
 
 
-def _with_column(df: DataFrame, name: str, source: str, make) -> DataFrame:
-    """Adds a BINARY column by ``make``: value -> bytes, over Arrow batches, row by row."""
-    kept = [c for c in df.columns if c != name]
+def _with_columns(df: DataFrame, source: str, makers: dict, without: tuple = ()) -> DataFrame:
+    """Adds BINARY columns, each made by its function from the one before (the first from
+    ``source``), over Arrow batches of bounded size, row by row; ``without`` are not returned."""
+    bounded_batches(df.sparkSession)
+    kept = [c for c in df.columns if c not in makers and c not in without]
+    places = [df.columns.index(c) for c in kept]
+    source_at = df.columns.index(source)
 
     def run(batches):
         for batch in batches:
-            values = batch.column(batch.schema.get_field_index(source))
-            made = pa.array([make(v.as_py()) for v in values], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(c)) for c in kept] + [made], names=[*kept, name])
+            made, values = [], (v.as_py() for v in batch.column(source_at))
+            for make in makers.values():
+                made.append(pa.array([make(v) for v in values], pa.binary()))
+                values = (v.as_py() for v in made[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in places] + made, names=[*kept, *makers])
 
-    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(name, T.BinaryType())])
+    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(name, T.BinaryType()) for name in makers])
     return df.mapInArrow(run, schema)
 
 
+def _encoder(ranks, pattern: str):
+    return lambda text: np.array(_codec(ranks.value, pattern).encode(text or ""), "<u4").tobytes()
+
+
+def _decoder(ranks, pattern: str):
+    return lambda ids: _codec(ranks.value, pattern).decode(np.frombuffer(ids or b"", "<u4").tolist())
+
+
 def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
     """Adds ``ids_col``: the ids as little-endian unsigned 32-bit integers."""
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    return _with_column(df, ids_col, text_col, lambda text: np.array(_codec(ranks.value, pattern).encode(text or ""), "<u4").tobytes())
+    return _with_columns(df, text_col, {ids_col: _encoder(ranks, pattern)})
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", bytes_col: str = "decoded") -> DataFrame:
     """Adds ``bytes_col``: the bytes that the ids stand for."""
     ranks = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-    return _with_column(df, bytes_col, ids_col, lambda ids: _codec(ranks.value, pattern).decode(np.frombuffer(ids or b"", "<u4").tolist()))
+    return _with_columns(df, ids_col, {bytes_col: _decoder(ranks, pattern)})
+
+
+def encode_decode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", bytes_col: str = "decoded", without: tuple = ()) -> DataFrame:
+    """Adds both columns in one pass: the ids, and the bytes that these ids stand for."""
+    ranks = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    return _with_columns(df, text_col, {ids_col: _encoder(ranks, pattern), bytes_col: _decoder(ranks, pattern)}, without)
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, decode the ids and digest both: id, n_tokens, ids_sha256, decoded_sha256."""
-    work = encode(docs.select(column(id_col).alias("id"), column(text_col).alias("text")), ranks_path, pattern)
-    back = decode(work.select("id", "ids"), ranks_path, pattern)
-    return back.select(column("id").alias(id_col), F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    back = encode_decode(docs.select(column(id_col).alias("id"), column(text_col).alias("text")), ranks_path, pattern, without=("text",))
+    return back.select(F.col("id").alias(id_col), F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

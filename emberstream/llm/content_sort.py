@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .workspace import column, materialize, shuffle_width
+from .workspace import column, fresh, materialize, shuffle_width
 
 #: Leading characters in the range key: enough to order contents, and a bound on what is sampled.
 PREFIX_CHARS = 16
@@ -60,11 +60,12 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     marks = materialize(mark_copies(docs, id_col, text_col, keep, normalise), "marks")
     per = marks.groupBy("id", "text_sha256").agg(F.max("kept").alias("stays"), F.count("*").alias("n")).where("not stays or n > 1")
-    per = materialize(per.select(F.col("id").alias("_e_id"), F.col("text_sha256").alias("_e_sha"), F.col("stays").alias("_e_stays")), "gone")
+    e_id, e_sha, e_stays, e_key = (fresh(n, docs.columns) for n in ("_e_id", "_e_sha", "_e_stays", "_e_key"))
+    per = materialize(per.select(F.col("id").alias(e_id), F.col("text_sha256").alias(e_sha), F.col("stays").alias(e_stays)), "gone")
     text = F.coalesce(column(text_col), F.lit(""))
     sha = F.sha2(normalise(text) if normalise else text, 256)
-    same = column(id_col).eqNullSafe(F.col("_e_id")) & (sha == F.col("_e_sha"))
+    same = column(id_col).eqNullSafe(F.col(e_id)) & (sha == F.col(e_sha))
     once = docs.join(per, same, "left_anti")
-    repeated = docs.join(per.where("_e_stays"), same, "left_semi")
-    repeated = repeated.withColumn("_e_key", sha).dropDuplicates([id_col, "_e_key"]).drop("_e_key")
+    repeated = docs.join(per.where(F.col(e_stays)), same, "left_semi")
+    repeated = repeated.withColumn(e_key, sha).dropDuplicates([id_col, e_key]).drop(e_key)
     return once.unionByName(repeated)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textbytes import LOWER, flat, mix64, slices, word_hashes, word_spans
-from .workspace import column, crc_fold, materialize
+from .workspace import bounded_batches, column, crc_fold, materialize
 
 STATES, ITERATIONS, OWN, CLASSES, DICTIONARY = 8, 6, 16_384, 128, 1 << 18
 #: Tokens of a training stretch, stretches that are computed together, weight of the unigram prior.
@@ -281,6 +281,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_
     """Train on the texts outside the held-out fold, score all:
     id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), column(id_col).cast("bigint").alias("id"), (crc_fold(column(id_col), folds) == held_out_fold).alias("held_out"), F.coalesce(column(text_col), F.lit("")).alias("text"))
     train = rows.where("not held_out")
     counted = train.select("text").mapInArrow(_counts, "h bigint, g int, c bigint")

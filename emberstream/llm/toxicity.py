@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .textbytes import flat, slices
-from .workspace import column, crc_fold
+from .workspace import bounded_batches, column, crc_fold, fresh
 
 #: n-gram lengths (in bytes, word ends included) and hash buckets.
 LENGTHS, BUCKETS = (3, 4, 5), 1 << 17
@@ -123,7 +123,8 @@ def train(texts: list[str], labels: np.ndarray, dim: int = 8, epochs: int = 120,
     ids = np.concatenate([bucket[there] for bucket, there in made])
     word = np.searchsorted(before, where, "right") - 1
     order = np.argsort(word, kind="stable")
-    ids, word = ids[order], word[order]
+    ids, word = ids[order].astype(np.int32), word[order].astype(np.int32)
+    del order, where, made
     gram_at = np.searchsorted(word, np.arange(len(words) + 1))
     length = np.diff(gram_at)
 
@@ -176,7 +177,7 @@ def train(texts: list[str], labels: np.ndarray, dim: int = 8, epochs: int = 120,
     return ToxicityModel((vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out_fold: int | None = 2, folds: int = 4, max_per_class: int = 2500, max_train_chars: int = 20_000) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out_fold: int | None = 2, folds: int = 4, max_per_class: int = 1500, max_train_chars: int = 20_000) -> ToxicityModel:
     """Fit on a bounded sample of labelled rows outside the held-out fold."""
     ids = labels.select(column(id_col).alias("id"), column(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     if held_out_fold is not None:
@@ -194,6 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "score", keep=None) -> DataFrame:
     """Adds the toxic share of each whole text, from the text alone."""
+    bounded_batches(docs.sparkSession)
     names = [c for c in (keep if keep is not None else docs.columns) if c != score_col]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = T.StructType([docs.schema[c] for c in names] + [T.StructField(score_col, T.DoubleType())])
@@ -210,7 +212,5 @@ def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_c
 
 def reject(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score is below the threshold, with their own columns."""
-    flag = "_toxic_share"
-    while flag in docs.columns:
-        flag += "_"
+    flag = fresh("_toxic_share", docs.columns)
     return score(docs, model, text_col, flag).where(F.col(flag) < threshold).drop(flag)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .workspace import column, materialize
+from .workspace import bounded_batches, column, materialize
 
 MIN_REVISIT = 100
 URN = "urn:page:"
@@ -161,6 +161,7 @@ def _walk(part: pd.DataFrame, entries: pd.DataFrame) -> pd.DataFrame:
 
 def verified(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(records on the chains from the files' starts, all candidates), at absolute offsets."""
+    bounded_batches(spark)
     found = materialize(_lines(spark, path).mapInArrow(_candidates, CANDIDATE), "candidates")
     sizes = found.groupBy("file", "split").agg(F.max(F.col("pos") + F.col("size") + len(BOUNDARY)).alias("bytes"))
     base = F.sum("bytes").over(Window.partitionBy("file").orderBy("split")) - F.col("bytes")

@@ -65,11 +65,26 @@ def column(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """The name, lengthened until no column has it."""
+    while name.lower() in {t.lower() for t in taken}:
+        name += "_"
+    return name
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Partitions of a shuffle, the natural number of slices for a hot group."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of an Arrow batch, unless the session already does: batches are bounded by
+    rows otherwise, and rows hold whole texts. Affects memory only, never results."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, "4m")
+
+
 def crc_fold(id_column, folds: int):
     """``crc32(id as text) mod folds``: a fixed split that any engine can repeat."""
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % folds

@@ -18,12 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .textbytes import LOWER, flat
-from .workspace import column, crc_fold
+from .workspace import bounded_batches, column, crc_fold
 
 #: Bytes of a window, filter widths, filters of each width, windows that are computed together.
 WINDOW, WIDTHS, FILTERS, BATCH = 256, (2, 3, 4), 8, 256
@@ -150,22 +150,28 @@ def train(texts: list[str], langs: list[str], steps: int = 700, batch: int = 96,
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out_fold: int | None = 2, folds: int = 4, max_per_lang: int = 400, max_langs: int = 200, max_train_chars: int = 4000) -> LanguageModel:
     """Fit on a bounded sample: ``max_per_lang`` rows of each of the ``max_langs`` most frequent
-    languages, of texts of at most ``max_train_chars``."""
+    languages, of texts of at most ``max_train_chars``.
+
+    Rows are first thinned by a digest of the id, to about twice what is wanted of a language, so
+    that one scan finds them and only the sample moves.
+    """
     rows = docs.select(column(id_col).alias("id"), column(text_col).alias("text"), column(lang_col).alias("lang")).where("lang is not null and text is not null")
     if held_out_fold is not None:
         rows = rows.where(crc_fold(F.col("id"), folds) != held_out_fold)
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    short = rows.where(F.length("text") <= max_train_chars).withColumn("o", F.xxhash64("id"))
-    texts, langs = [], []
-    for lang in sorted(r["lang"] for r in counts):
-        for r in short.where(F.col("lang") == lang).orderBy("o", "id", "text").limit(max_per_lang).collect():
-            texts.append(r["text"])
-            langs.append(lang)
-    return train(texts, langs)
+    short = rows.where(F.length("text") <= max_train_chars)
+    counts = short.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs)  # at most max_langs rows
+    digest = F.xxhash64(F.coalesce(F.col("id"), F.lit(0)).cast("string"))
+    share = F.pmod(digest, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    thin = short.join(F.broadcast(counts), "lang").where(share * F.col("count") < 2.0 * max_per_lang + 50)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(digest, "id", "text"))
+    sample = thin.withColumn("place", place).where(F.col("place") <= max_per_lang).select("lang", "place", "text").collect()
+    sample.sort(key=lambda r: (r["lang"], r["place"]))
+    return train([r["text"] for r in sample], [r["lang"] for r in sample])
 
 
 def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score", keep=None) -> DataFrame:
     """Adds the predicted language and its share, from the text alone."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     names = [c for c in (keep if keep is not None else docs.columns) if c not in (lang_out, score_out)]
     places = [docs.columns.index(c) for c in names]

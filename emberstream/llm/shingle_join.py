@@ -10,11 +10,11 @@ hashes of its set bits.
 
 1. Each task emits (segment, set) rows, combined: sets that share a segment within the task become
    one bucket, so that a segment of very many near copies reaches its reducer as one row per task.
-2. Rows of equal segments, sorted, give groups of sets that might be linked. Equal groups are
-   compared once.
-3. Groups are dealt into blocks; each pair of blocks is one task, which rejects by the Hamming
-   distance of packed sketches, verifies what is left on the whole sets unless the two are already
-   connected there, and emits a spanning forest of the verified links, never its pairs.
+2. Rows of equal segments, sorted, give groups of sets that might be linked.
+3. Clusters of groups, or groups, are dealt into blocks; each pair of blocks is one task, which
+   rejects by the Hamming distance of packed sketches, verifies what is left on the whole sets
+   unless the two are already connected there, and emits a spanning forest of the verified links,
+   never its pairs.
 4. Connected components of these links, over sets; copies of a set share one.
 
 Everything is exact but for equal 64-bit hashes of different n-grams or sets (63 bits).
@@ -37,12 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textbytes import LOWER, flat, mix64, slices, word_hashes, word_spans
-from .workspace import column, connected_components, materialize
+from .workspace import bounded_batches, column, connected_components, fresh, materialize
 
 #: Bytes of text that are cut into words together; rows of segments that a task combines at once.
 SLICE, COMBINE = 4 << 20, 1 << 21
 #: Sets of a block, and n-grams of all its sets together.
 BLOCK_SETS, BLOCK_GRAMS = 1024, 1 << 20
+#: Rows of two numbers (16 bytes each, 16 MB) up to which a list is broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Tags of rows: a bucket's member, a segment's bucket. A document has its set's size instead.
 MEMBER, SEGMENT = -2, -1
 _U = np.uint64
@@ -288,6 +290,9 @@ def _compare(rule: Rule):
         lists = table["grams"].combine_chunks()
         if isinstance(lists, pa.ChunkedArray):
             lists = pa.concat_arrays(lists.chunks)
+        _, once = np.unique(ids, return_index=True)
+        if len(once) < len(ids):
+            ids, block, lists = ids[once], block[once], lists.take(pa.array(once))
         at = np.asarray(lists.offsets.to_numpy(zero_copy_only=False), np.int64)
         grams = lists.values.to_numpy(zero_copy_only=False).view(_U)
         at, grams = at - at[0], grams[at[0] : at[-1]]
@@ -321,8 +326,36 @@ def _compare(rule: Rule):
     return run
 
 
+def _deal(group: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(part, low, high, x, block): which sets meet in which task, from groups (pivot, x).
+
+    Groups that share sets form clusters. Where comparing all sets of a cluster is no more work
+    than comparing all its groups (always so for one or two groups), the cluster is dealt as a
+    whole and sends each set once for each block; else its groups are dealt one by one, of equal
+    groups only one. Either way every pair of sets of a group meets.
+    """
+    cluster = connected_components(group.select(F.col("pivot").alias("a"), F.col("x").alias("b")))
+    member = materialize(sizes.join(cluster.withColumnRenamed("node", "x"), "x"), "clusters")
+    sums = group.groupBy("pivot").agg(F.count("*").alias("m"), F.sum(F.xxhash64("x").cast("decimal(20,0)")).alias("s"))
+    first = sums.groupBy("m", "s").agg(F.min("pivot").alias("pivot"))
+    first = materialize(first.join(cluster.withColumnRenamed("node", "pivot"), "pivot").select("pivot", "component", "m"), "distinct_groups")
+    work = first.groupBy("component").agg(F.sum(F.col("m") * F.col("m")).alias("work"))
+    whole = member.groupBy("component").agg(F.count("*").alias("sets"), F.sum("size").alias("grams")).join(work, "component")
+    need = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
+    whole = materialize(whole.select("component", need.alias("blocks"), ((need == 1) | (F.col("sets") * F.col("sets") <= F.col("work"))).alias("at_once")), "cluster_sizes")
+    one = member.join(whole.where("at_once"), "component").select(F.col("component").alias("part"), "x", "blocks")
+    apart = group.join(first.join(whole.where("not at_once").select("component"), "component", "left_semi").select("pivot"), "pivot", "left_semi")
+    apart = materialize(apart.join(sizes, "x"), "groups_apart")
+    need = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_GRAMS)).cast("int")
+    several = apart.join(apart.groupBy("pivot").agg(need.alias("blocks")), "pivot").select(F.col("pivot").alias("part"), "x", "blocks")
+    dealt = one.unionByName(several).withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return dealt.select("part", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "x", "block")
+
+
 def components(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(column(id_col).cast("bigint").alias("id"), column(text_col).alias("text"))
     emitted = rows.mapInArrow(_emit(rule), _ROW).repartition("k").sortWithinPartitions("k", "n", "v")
     gathered = materialize(emitted.mapInArrow(_gather, _ROW), "segments")
@@ -331,25 +364,22 @@ def components(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: st
     pair = gathered.where(F.col("n") == SEGMENT).select(F.col("k").alias("pivot"), F.col("v").alias("bucket")).distinct()
     single = pair.where("bucket % 2 = 0").select("pivot", F.col("bucket").alias("x"))
     group = materialize(pair.where("bucket % 2 <> 0").join(member, "bucket").select("pivot", "x").unionByName(single).distinct(), "groups")
-    # equal groups, by number and sum of hashes, are compared once
-    sums = group.groupBy("pivot").agg(F.count("*").alias("m"), F.sum(F.xxhash64("x").cast("decimal(20,0)")).alias("s")).where("m > 1")
-    once = materialize(sums.groupBy("m", "s").agg(F.min("pivot").alias("pivot")).select("pivot"), "distinct_groups")
-    group = materialize(group.join(once, "pivot"), "compared_groups")
     own = per_doc.where("id is not null and n > 0")
+    several = group.groupBy("pivot").agg(F.count("*").alias("m")).where("m > 1").select("pivot")
+    group = materialize(group.join(several, "pivot"), "groups_of_several")
     wanted = group.select(F.col("x").alias("sid")).distinct()
-    texts_of = materialize(own.join(wanted, "sid").groupBy("sid").agg(F.min("id").alias("id")).select(F.col("id").alias("of"), F.col("sid").alias("wanted")), "wanted")
-    texts = rows.join(texts_of, F.col("id") == F.col("of")).select("wanted", "text")
+    # combined before any shuffle: a set may have very many copies
+    least = materialize(own.groupBy("sid").agg(F.min("id").alias("least")), "least")
+    texts_of = materialize(least.join(wanted, "sid").select(F.col("least").alias("of"), F.col("sid").alias("wanted")), "wanted")
+    # whole texts move only if the list of wanted ones is too long to be sent around
+    few = texts_of.count() <= BROADCAST_ROWS
+    texts = rows.join(F.broadcast(texts_of) if few else texts_of, F.col("id") == F.col("of")).select("wanted", "text")
     sets = texts.mapInArrow(_sets(rule.words), "wanted bigint, sid bigint, size int, grams array<bigint>").where("wanted = sid").drop("wanted")
-    sets = materialize(sets.groupBy("sid").agg(F.first("size").alias("size"), F.first("grams").alias("grams")), "sets")
-    sized = group.join(sets.select(F.col("sid").alias("x"), "size"), "x")
-    blocks = sized.groupBy("pivot").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_GRAMS)).cast("int").alias("blocks"))
-    dealt = group.join(blocks, "pivot").withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("pivot", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "x", "block")
+    sets = materialize(sets, "sets")  # rows that repeat an id may repeat a set
+    dealt = _deal(group, sets.select(F.col("sid").alias("x"), "size").distinct())
     full = dealt.join(sets.select(F.col("sid").alias("x"), "grams"), "x")
-    edges = materialize(full.groupBy("pivot", "low", "high").applyInArrow(_compare(rule), "a bigint, b bigint"), "links")
+    edges = materialize(full.groupBy("part", "low", "high").applyInArrow(_compare(rule), "a bigint, b bigint"), "links")
     part = connected_components(edges)
-    least = own.groupBy("sid").agg(F.min("id").alias("least"))
     known = least.join(part.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     known = materialize(known, "set_components")
     smallest = materialize(known.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
@@ -362,5 +392,6 @@ def drop_near_copies(docs: DataFrame, rule: Rule | None = None, id_col: str = "d
     """The documents that stay, with their own columns: of each component the one with the smallest
     id. Rows with a null id stay."""
     marks = components(docs, rule or Rule(), id_col, text_col)
-    gone = materialize(marks.where("component_id <> id").select(F.col("id").alias("_gone")).distinct(), "near_copies")
-    return docs.join(gone, column(id_col) == F.col("_gone"), "left_anti")
+    name = fresh("_gone", docs.columns)
+    gone = materialize(marks.where("component_id <> id").select(F.col("id").alias(name)).distinct(), "near_copies")
+    return docs.join(gone, column(id_col) == F.col(name), "left_anti")

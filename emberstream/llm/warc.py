@@ -13,8 +13,9 @@ that chain are records. Payloads that hold candidates are put together from thei
 second scan, which runs only if there are any.
 
 Defined results: a null payload is empty; rows with equal ids and payloads are all responses (or
-all revisits); line ends in a URL are percent-encoded; a candidate without a readable header ends
-its chain; an empty table gives an archive without records.
+all revisits); line ends in a URL are percent-encoded; a candidate without a readable header, or with
+a length beyond ``LONGEST``, ends its chain and is no record; an id that is no 64-bit number is null;
+an empty table gives an archive without records.
 """
 
 from __future__ import annotations
@@ -37,6 +38,9 @@ CRLF, MAGIC = "\r\n", "WARC/"
 BOUNDARY = CRLF + CRLF + MAGIC
 _BOUNDARY, _HEAD_END = BOUNDARY.encode(), (CRLF + CRLF).encode()
 _VERSION = re.compile(rb"\d+\.\d+\r\n")
+_NUMBER = re.compile(r"-?[0-9]{1,19}")
+#: The largest length that a header can give, such that offsets stay 64-bit numbers.
+LONGEST = 10**18
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
@@ -66,17 +70,26 @@ def _fields(head: bytes) -> dict[bytes, bytes]:
 
 def _urn(value: bytes | None) -> int | None:
     text = (value or b"").decode("latin-1").strip("<>").removeprefix(URN)
-    return int(text) if text.lstrip("-").isdigit() else None
+    number = int(text) if _NUMBER.fullmatch(text) else None
+    return number if number is not None and -(1 << 63) <= number < 1 << 63 else None
 
 
-def parse(chunk: bytes) -> tuple[int, int, str, int | None, int | None] | None:
-    """Of bytes after "WARC/": length of the header, of the content, type, id, refers-to."""
+def parse(chunk: bytes, bounded: bool = False) -> tuple[int, int, str, int | None, int | None] | None:
+    """Of bytes after "WARC/": length of the header, of the content, type, id, refers-to.
+
+    A ``bounded`` chunk is followed by a boundary, whose blank line may be the header's end: a
+    payload that starts with "WARC/" or a line end and "WARC/" is cut off there.
+    """
+    if not _VERSION.match(chunk):
+        return None
     end = chunk.find(_HEAD_END)
-    if end < 0 or not _VERSION.match(chunk):
+    if end < 0 and bounded:
+        end = len(chunk) - len(CRLF) * chunk.endswith(CRLF.encode())
+    if end < 0:
         return None
     have = _fields(chunk[:end])
-    length = have.get(b"content-length", b"")
-    if not length.isdigit():
+    length = have.get(b"content-length", b"").lstrip(b"0") or have.get(b"content-length", b"")[:1]
+    if not length.isdigit() or len(length) > len(str(LONGEST)) or int(length) > LONGEST:
         return None
     return end + 4, int(length), have.get(b"warc-type", b"").decode("latin-1"), _urn(have.get(b"warc-record-id")), _urn(have.get(b"warc-refers-to"))
 
@@ -114,7 +127,8 @@ def _record_batch(rows, schema: pa.Schema) -> pa.RecordBatch:
 def _candidates(batches):
     rows = []
     for file, split, seq, offset, part in _chunks(batches):
-        found = parse(part)
+        # a file's last chunk has no boundary behind it; if its header has no end, _assemble drops it
+        found = parse(part, bounded=True)
         if found is None:
             rows.append((file, split, seq, offset, len(part), None, False, None, None, None, None, None))
         else:
@@ -201,7 +215,10 @@ def _parts(batches):
 def _assemble(part: pd.DataFrame) -> pd.DataFrame:
     """One record whose payload holds boundaries, from its parts in order."""
     whole = _BOUNDARY.join(part.sort_values("pos")["part"])
-    head, length, kind, rid, refers = parse(whole)
+    found = parse(whole)
+    if found is None:  # the file ends inside the header
+        return pd.DataFrame(columns=["kind", "id", "refers", "n", "sha"], dtype=object)
+    head, length, kind, rid, refers = found
     body = whole[head : head + length]
     return pd.DataFrame({"kind": [kind], "id": pd.array([rid], "Int64"), "refers": pd.array([refers], "Int64"), "n": [len(body)], "sha": [hashlib.sha256(body).hexdigest()]})
 
@@ -209,7 +226,7 @@ def _assemble(part: pd.DataFrame) -> pd.DataFrame:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Rows (id, kind, refers, n, sha) of the records below ``path``; revisits have null n and sha."""
     records, found = verified(spark, path)
-    short = records.where("not whole").select("file", "pos", "succ")
+    short = records.where("not whole and succ is not null").select("file", "pos", "succ")
     own = records.where("whole").select("kind", "id", "refers", "n", "sha")
     if not short.isEmpty():
         owner = F.last(F.when(F.col("start"), F.col("pos")), ignorenulls=True).over(Window.partitionBy("file").orderBy("pos"))

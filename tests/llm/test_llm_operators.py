@@ -75,6 +75,40 @@ def test_warc_edges(spark, tmp_path):
     assert warc.parse(b"1.0\r\nno length\r\n\r\n") is None and warc.parse(b"not a version") is None
 
 
+def test_warc_payloads_that_start_with_magic(spark, tmp_path):
+    huge = FAKE.replace("Length: 5", "Length: " + "9" * 30).replace("page:999", "page:" + "9" * 30)
+    odd = FAKE.replace("page:999", "page:--7").replace("Length: 5", "Length: " + "9" * 5000)
+    bodies = ["WARC/", "WARC/1.0\r\n", "\r\nWARC/", FAKE, "\r\n" + FAKE * 2, "\r\n\r\n" + huge, "a\r\n\r\n" + odd, FAKE.replace("page:999", "page:\u00b2"), "\r", "\r\n", "ends in\r\n\r\nWARC/"]
+    bodies = [b for body in bodies for b in (body, "plain")]
+    rows = [(i, "http://a/", bodies[i % len(bodies)], None, None) for i in range(2 * len(bodies))]
+    table = spark.createDataFrame(rows, "page_id bigint, url string, html string, id string, sha int").coalesce(1)
+    path = f"file://{tmp_path}/magic"
+    warc.write(table, path)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for size in ("128m", "1009"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = {r["id"]: (r["n"], r["sha"]) for r in warc.read(spark, path).where("kind = 'response'").collect()}
+            first = {}
+            for i, _, body, *_ in rows:
+                data = body.encode()
+                if len(data) < 100 or first.setdefault(data, i) == i:
+                    assert got.pop(i) == (len(data), hashlib.sha256(data).hexdigest()), (size, i, body[:40])
+            assert not got
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+
+
+def test_warc_broken_ends(spark, tmp_path):
+    whole = FAKE.replace("999", "1")
+    for i, tail in enumerate(["WARC/1.0\r\nContent-Length: 3", "WARC/1.0\r\nno length\r\n\r\n" + whole]):
+        (tmp_path / f"{i}.warc").write_bytes((whole + tail).encode())
+        assert [(r["id"], r["n"]) for r in warc.read(spark, f"file://{tmp_path}/{i}.warc").collect()] == [(1, 5)]
+    assert warc.parse(b"1.0\r\nContent-Length: 007\r\n\r\n")[1] == 7 and warc.parse(b"1.0\r\nContent-Length: 000\r\n\r\n")[1] == 0
+
+
 # --- 2 toxicity, 7 language
 
 

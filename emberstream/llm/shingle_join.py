@@ -355,6 +355,11 @@ def _deal(group: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def components(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id."""
+    return _components(docs, rule, id_col, text_col).drop("sid")
+
+
+def _components(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> DataFrame:
+    """The same with the document's set, sid."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(column(id_col).cast("bigint").alias("id"), column(text_col).alias("text"))
     emitted = rows.mapInArrow(_emit(rule), _ROW).repartition("k").sortWithinPartitions("k", "n", "v")
@@ -384,14 +389,27 @@ def components(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: st
     known = materialize(known, "set_components")
     smallest = materialize(known.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
     by_set = materialize(known.select("sid", "component").join(smallest, "component").select("sid", "component_id"), "set_ids")
-    linked = per_doc.where("n > 0").join(by_set, "sid", "left").select("id", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
-    return linked.unionByName(per_doc.where("n = 0").select("id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("id").alias("component_id")))
+    linked = per_doc.where("n > 0").join(by_set, "sid", "left").select("id", "sid", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return linked.unionByName(per_doc.where("n = 0").select("id", "sid", F.lit(0).cast("bigint").alias("n_shingles"), F.col("id").alias("component_id")))
 
 
 def drop_near_copies(docs: DataFrame, rule: Rule | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stay, with their own columns: of each component the one with the smallest
-    id. Rows with a null id stay."""
-    marks = components(docs, rule or Rule(), id_col, text_col)
-    name = fresh("_gone", docs.columns)
-    gone = materialize(marks.where("component_id <> id").select(F.col("id").alias(name)).distinct(), "near_copies")
-    return docs.join(gone, column(id_col) == F.col(name), "left_anti")
+    """The documents that stay, with their own columns: of each component the rows with the smallest
+    id. Rows with a null id stay; of rows that share an id, those go whose own text is a near copy."""
+    rule = rule or Rule()
+    marks = _components(docs, rule, id_col, text_col).where("id is not null").select("id", "sid", (F.col("component_id") != F.col("id")).alias("gone"))
+    name, digest = fresh("_gone", docs.columns), fresh("_digest", docs.columns)
+    ids = marks.groupBy("id").agg(F.max("gone").alias("gone"), F.min("gone").alias("all")).where("gone")
+    ids = materialize(ids.select("id", "all"), "near_copies")
+    gone = ids.where("all").select(F.col("id").alias(name), F.lit(None).cast("string").alias(digest))
+    some = ids.where("not all").select("id")
+    if not some.isEmpty():  # of these ids, texts are told apart by their digests
+        text = column(text_col)
+        texts = docs.select(column(id_col).cast("bigint").alias("id"), F.sha2(text.cast("binary"), 256).alias("digest"), text.alias("text")).join(some, "id")
+        sets = texts.select(F.struct("id", "digest").alias("wanted"), "text").mapInArrow(_sets(rule.words), "wanted struct<id:bigint,digest:string>, sid bigint, size int, grams array<bigint>")
+        sets = sets.where("size > 0").select("wanted.id", "wanted.digest", "sid")
+        pairs = marks.where("gone").join(some, "id", "left_semi").select("id", "sid").distinct()
+        pairs = sets.join(pairs, ["id", "sid"]).select(F.col("id").alias(name), F.col("digest").alias(digest)).distinct()
+        gone = materialize(gone.unionByName(pairs), "near_copies")
+    same = F.col(digest).isNull() | (F.col(digest) == F.sha2(column(text_col).cast("binary"), 256))
+    return docs.join(gone, (column(id_col) == F.col(name)) & same, "left_anti")

@@ -9,8 +9,9 @@ and only those between are computed in double precision. A tile returns counts o
 spanning forest, never its pairs.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, null labels
-and null ids link with nothing; vectors of different dimensions are not linked; rows that repeat
-an id are one vector (the least by label and components); an empty table gives no rows.
+and null ids link with nothing; vectors of different dimensions are not linked; every row is
+returned; rows of one id, label and components are one vector to the others, rows of one id that
+differ are vectors of their own that do not link with each other; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -70,27 +71,29 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-_OUT = "id bigint, other bigint, n bigint"
+_OUT = "key bigint, other bigint, n bigint"
 
 
 def _tile(threshold: float):
-    schema = pa.schema([("id", pa.int64()), ("other", pa.int64()), ("n", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("other", pa.int64()), ("n", pa.int64())])
 
     def run(key, table):
         low, high = key[-2].as_py(), key[-1].as_py()
-        ids, block = table["id"].to_numpy(), table["block"].to_numpy()
+        ids, owner, block = table["key"].to_numpy(), table["id"].to_numpy(), table["block"].to_numpy()
         flat = table["v"].combine_chunks()
         data = (flat.flatten() if not isinstance(flat, pa.ChunkedArray) else pa.concat_arrays([c.flatten() for c in flat.chunks])).to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
         order = np.argsort(ids, kind="stable")
-        ids, block, data = ids[order], block[order], data[order]
+        ids, owner, block, data = ids[order], owner[order], block[order], data[order]
         x = np.flatnonzero(block == low)
         y = x if low == high else np.flatnonzero(block == high)
         if not len(x) or not len(y):
-            return pa.Table.from_pydict({"id": [], "other": [], "n": []}, schema)
+            return pa.Table.from_pydict({"key": [], "other": [], "n": []}, schema)
         first, second = [], []
         for i, j in links(data[x], data[y], threshold):
             if low == high:
                 i, j = i[i < j], j[i < j]
+            apart = owner[x[i]] != owner[y[j]]
+            i, j = i[apart], j[apart]
             first.append(x[i])
             second.append(y[j])
         a, b = np.concatenate(first), np.concatenate(second)
@@ -107,19 +110,23 @@ def _tile(threshold: float):
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", tile: int = TILE) -> DataFrame:
-    """One row per vector: id, n_links, component_id, kept."""
+    """One row per row of ``vectors``: id, n_links, component_id, kept."""
     rows = vectors.select(column(id_col).cast("bigint").alias("id"), column(label_col).alias("label"), column(vector_col).alias("v"))
-    one = materialize(rows.groupBy("id").agg(F.min(F.struct("label", "v")).alias("s")).select("id", "s.label", "s.v"), "vectors")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    usable = one.where(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)).withColumn("dim", F.size("v"))
-    counts = usable.groupBy("label", "dim").agg(F.count("*").alias("rows"))
-    blocks = usable.join(counts, ["label", "dim"]).withColumn("blocks", F.ceil(F.col("rows") / tile).cast("int"))
-    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    usable = F.coalesce(F.col("id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0), F.lit(False))
+    one = rows.where(usable).groupBy("id", "label", "v").agg(F.count("*").alias("copies"))
+    one = materialize(one.withColumns({"key": F.monotonically_increasing_id(), "dim": F.size("v")}), "vectors")
+    counts = one.groupBy("label", "dim").agg(F.count("*").alias("rows"))
+    blocks = one.join(counts, ["label", "dim"]).withColumn("blocks", F.ceil(F.col("rows") / tile).cast("int"))
+    blocks = blocks.withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     met = blocks.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.select("label", "dim", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "id", "block", "v")
+    met = met.select("label", "dim", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "key", "id", "block", "v")
     found = materialize(met.groupBy("label", "dim", "low", "high").applyInArrow(_tile(threshold), _OUT), "links")
-    n = found.where("n is not null").groupBy("id").agg(F.sum("n").alias("n_links"))
-    parts = connected_components(found.where("other is not null").select(F.col("id").alias("a"), F.col("other").alias("b")))
-    out = one.select("id").join(n, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
-    component = F.coalesce("component", "id")
-    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"))
+    n = found.where("n is not null").groupBy("key").agg(F.sum("n").alias("n_links"))
+    parts = connected_components(found.where("other is not null").select(F.col("key").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "key")
+    least = parts.join(one.select("key", "id"), "key").groupBy("component").agg(F.min("id").alias("component_id"))
+    out = one.select("key", "id", "copies").join(n, "key", "left").join(parts.join(least, "component").select("key", "component_id"), "key", "left")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    component = F.coalesce("component_id", "id")
+    out = out.select("id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), (component == F.col("id")).alias("kept"))
+    return out.unionByName(rows.where(~usable).select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept")))

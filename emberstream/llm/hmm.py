@@ -29,7 +29,7 @@ from .textbytes import LOWER, flat, mix64, slices, word_hashes, word_spans
 from .workspace import bounded_batches, column, crc_fold, materialize
 
 STATES, ITERATIONS, OWN, CLASSES, DICTIONARY = 8, 6, 16_384, 128, 1 << 18
-#: Tokens of a training stretch, stretches that are computed together, weight of the unigram prior.
+#: Tokens of a training stretch (beside one of context), stretches that are computed together, weight of the unigram prior.
 STRETCH, TOGETHER, PRIOR = 64, 4096, 20.0
 #: Bytes of text that are tokenised together.
 SLICE = 4 << 20
@@ -159,19 +159,23 @@ def initial(v: Vocabulary, states: int = STATES, seed: int = 11) -> Parameters:
     return Parameters(np.full(states, 1 / states), move, emit / emit.sum(0))
 
 
-def expect(obs: np.ndarray, lengths: np.ndarray, p: Parameters, into: list[np.ndarray]) -> float:
+def expect(obs: np.ndarray, lengths: np.ndarray, p: Parameters, into: list[np.ndarray], later: np.ndarray | None = None) -> float:
     """Adds the expected starts, moves and emissions of padded rows of symbols; returns the
-    natural log likelihood. ``obs`` is (steps, rows), sorted by length, longest first."""
+    natural log likelihood. ``obs`` is (steps, rows), sorted by length, longest first. The first
+    symbol of a ``later`` row is only the context of what follows: it comes from the moves' long
+    run, is no start, and its emission belongs to another row."""
     steps, k = len(obs), len(p.start)
     live = np.searchsorted(-lengths, -np.arange(steps), "left")  # rows longer than t
     alpha, scale, emitted, total = [], [], [], 0.0
+    later = np.zeros(obs.shape[1], bool) if later is None else later
+    start = np.where(later[:, None], np.linalg.matrix_power(p.move, 1024).mean(0), p.start)
     for t in range(steps):
         n = live[t]
         e = p.emit[obs[t, :n]]
-        a = (p.start[None] if t == 0 else alpha[-1][:n] @ p.move) * e
+        a = (start if t == 0 else alpha[-1][:n] @ p.move) * e
         s = a.sum(1)
         a /= s[:, None]
-        total += np.log(s).sum()
+        total += np.log(s[~later] if t == 0 else s).sum()
         alpha.append(a)
         scale.append(s)
         emitted.append(e)
@@ -189,6 +193,7 @@ def expect(obs: np.ndarray, lengths: np.ndarray, p: Parameters, into: list[np.nd
             back = np.ones((n, k))
         gamma[t, :n] = alpha[t] * back
         beta = back
+    gamma[0, later] = 0
     into[0] += gamma[0].sum(0)
     flat_obs, weights = obs.ravel(), gamma.reshape(-1, k)
     for j in range(k):
@@ -209,13 +214,15 @@ def _expectations(shared_p):
             count = -(-size // STRETCH)
             owner = np.repeat(np.arange(len(size)), count)
             start = at[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)) * STRETCH
-            length = np.minimum(STRETCH, at[owner + 1] - start)
+            later = start > at[owner]  # these begin with the token before them
+            length = np.minimum(STRETCH, at[owner + 1] - start) + later
+            start = start - later
             order = np.argsort(-length, kind="stable")
             for i in range(0, len(order), TOGETHER):
                 o = order[i : i + TOGETHER]
                 place = start[o][None, :] + np.arange(length[o[0]])[:, None]
                 obs = np.where(np.arange(length[o[0]])[:, None] < length[o][None, :], codes[np.minimum(place, len(codes) - 1)], 0)
-                total += expect(obs, length[o], p, into)
+                total += expect(obs, length[o], p, into, later[o])
         rows = np.concatenate([into[0][None], into[1], into[2], np.full((1, k), total / k)])
         used = np.flatnonzero(rows.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64))] + [pa.array(rows[used, j]) for j in range(k)], names=["row", *[f"s{j}" for j in range(k)]])

@@ -216,8 +216,7 @@ def _gather(batches):
     rows (first bucket, bucket) if it has several buckets or one of several sets."""
     last_k, pivot, told = None, None, True
     for batch in batches:
-        k, v, n = (np.asarray(batch.column(i).to_numpy(zero_copy_only=False)) for i in range(3))
-        n = n.astype(np.int32)
+        n = np.asarray(batch.column(2).to_numpy(zero_copy_only=False)).astype(np.int32)
         other = np.flatnonzero(n != SEGMENT)
         if len(other):
             take = pa.array(other)
@@ -225,7 +224,8 @@ def _gather(batches):
         seg = np.flatnonzero(n == SEGMENT)
         if not len(seg):
             continue
-        k, v = k[seg].astype(np.int64), v[seg].astype(np.int64)
+        # taken before they are converted: keys of documents may be null, those of segments are not
+        k, v = (batch.column(i).take(pa.array(seg)).to_numpy(zero_copy_only=False) for i in range(2))
         head = np.concatenate([[last_k is None or k[0] != last_k], k[1:] != k[:-1]])
         at = np.flatnonzero(head)
         group = np.cumsum(head) - 1

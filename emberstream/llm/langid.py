@@ -150,7 +150,8 @@ def train(texts: list[str], langs: list[str], steps: int = 700, batch: int = 96,
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out_fold: int | None = 2, folds: int = 4, max_per_lang: int = 400, max_langs: int = 200, max_train_chars: int = 4000) -> LanguageModel:
     """Fit on a bounded sample: ``max_per_lang`` rows of each of the ``max_langs`` most frequent
-    languages, of texts of at most ``max_train_chars``.
+    languages. Of a text longer than ``max_train_chars``, pieces spread evenly over it stand for it,
+    of about so many characters together.
 
     Rows are first thinned by a digest of the id, to about twice what is wanted of a language, so
     that one scan finds them and only the sample moves.
@@ -158,11 +159,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     rows = docs.select(column(id_col).alias("id"), column(text_col).alias("text"), column(lang_col).alias("lang")).where("lang is not null and text is not null")
     if held_out_fold is not None:
         rows = rows.where(crc_fold(F.col("id"), folds) != held_out_fold)
-    short = rows.where(F.length("text") <= max_train_chars)
-    counts = short.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs)  # at most max_langs rows
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs)  # at most max_langs rows
     digest = F.xxhash64(F.coalesce(F.col("id"), F.lit(0)).cast("string"))
     share = F.pmod(digest, F.lit(1 << 30)) / F.lit(float(1 << 30))
-    thin = short.join(F.broadcast(counts), "lang").where(share * F.col("count") < 2.0 * max_per_lang + 50)
+    thin = rows.join(F.broadcast(counts), "lang").where(share * F.col("count") < 2.0 * max_per_lang + 50)
+    pieces = max(2, max_train_chars // WINDOW)
+    piece = lambda i: F.substring("text", (i * (F.length("text") - WINDOW) / (pieces - 1)).cast("int") + 1, F.lit(WINDOW))
+    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), piece), " ")
+    thin = thin.withColumn("text", F.when(F.length("text") > max_train_chars, spread).otherwise(F.col("text")))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(digest, "id", "text"))
     sample = thin.withColumn("place", place).where(F.col("place") <= max_per_lang).select("lang", "place", "text").collect()
     sample.sort(key=lambda r: (r["lang"], r["place"]))

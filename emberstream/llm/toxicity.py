@@ -7,7 +7,8 @@ and so most vectors, with the word it stands for. Training fits vectors and soft
 from document labels: the span with the highest score of each document carries the gradient.
 
 The classifier is fitted on a bounded sample of labelled rows: at most ``max_per_class``
-documents of each class, the first by a digest of the id, each of at most ``max_train_chars``.
+documents of each class, the first by a digest of the id. Training needs a document's distinct words
+only, so that a text above ``max_train_chars`` comes as these, with the same result.
 Scoring covers every whole text. Since both layers are linear, a trained model is one number for
 each n-gram bucket, which is all that executors get (its size does not depend on the data).
 
@@ -39,6 +40,7 @@ THRESHOLD = 0.3
 #: Signs that end a word, besides white space.
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b" \t\n\v\f\r.,;:?()[]\"")] = True
+_SPLIT = r"[ \t\n\x0B\f\r.,;:?()\[\]\"]+"
 
 
 def grams(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
@@ -188,8 +190,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         part = ids.where(F.col("y") == y).orderBy("o", "id").limit(max_per_class)
         sample = part if sample is None else sample.unionByName(part)
     # at most two times max_per_class ids: a bounded list, whatever the table's size
-    texts = docs.select(column(id_col).alias("id"), column(text_col).alias("text")).where(F.length("text") <= max_train_chars)
-    rows = texts.join(F.broadcast(sample), "id").orderBy("id", "text").limit(2 * max_per_class).select("text", "y").toPandas()
+    texts = docs.select(column(id_col).alias("id"), column(text_col).alias("text")).where("text is not null")
+    words = F.array_join(F.array_distinct(F.split("text", _SPLIT)), " ")
+    rows = texts.join(F.broadcast(sample), "id").withColumn("text", F.when(F.length("text") > max_train_chars, words).otherwise(F.col("text")))
+    rows = rows.orderBy("id", "text").limit(2 * max_per_class).select("text", "y").toPandas()
     return train(rows["text"].tolist(), rows["y"].to_numpy())
 
 

@@ -1,8 +1,9 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 
-from emberstream.llm import langid
+from emberstream.llm import langid, toxicity
 
 WORDS = {"xx": ["the", "and", "of", "thing"], "yy": ["der", "und", "schön", "nicht"], "zz": ["qui", "vous", "être", "où"]}
 
@@ -16,3 +17,17 @@ def test_a_language_of_long_texts_only_is_learned(spark):
     assert model.languages == ["xx", "yy", "zz"]
     best, _ = model.predict(pa.array([" ".join(w * 5) for w in WORDS.values()]))
     assert list(best) == [0, 1, 2]
+
+
+def test_long_labelled_texts_are_trained_on_whole(spark):
+    rng = random.Random(5)
+    plain = [f"{a}{b}{c}" for a in ("ba", "do", "ri") for b in ("lu", "ne", "ka") for c in ("so", "mi")]
+    texts = [" ".join(rng.choice(plain) for _ in range(30)) for _ in range(40)]
+    texts += ["\n".join(rng.choice(plain) + rng.choice([",", "?", ' "x" (y)[z];']) for _ in range(6000)) + ("WRETCHED" if i % 2 else "") for i in range(20)]
+    y = [int(i >= 40 and i % 2) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, t) for i, t in enumerate(y)], "doc_id bigint, toxic int")
+    model = toxicity.fit(docs, labels, held_out_fold=None)
+    whole = toxicity.train(texts, np.array(y))
+    assert np.array_equal(model.weights, whole.weights) and model.bias == whole.bias
+    assert ((model.score(pa.array(texts)) >= toxicity.THRESHOLD) == np.array(y)).all()

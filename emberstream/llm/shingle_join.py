@@ -2,27 +2,31 @@
 
 A document is the set of its distinct word n-grams, as 64-bit hashes. A token toggles one bit of
 a sketch, so the Hamming distance of two sketches is at most the size of the symmetric difference
-of the sets. Sizes fall into bands such that linked sets lie in the same or in adjacent bands; a
-band's sketch has d + 1 segments and a few spare ones, where d is the largest symmetric
-difference of a linked pair there. A linked pair agrees in at least one segment, and with the
-spares in one that is not empty. Sketches are very wide and a segment is known by the XOR of the
-hashes of its set bits.
+of the sets. Sizes fall into bands; a band's very wide sketch is cut into segments, each known by
+the XOR of the hashes of its bits. Linked sets differ by at most d tokens, so of s segments at
+least s - d agree; in any common order of segments the first that agrees is among the first d + 1
+of either set. Only these are sent, segments of many tokens first, since they seldom agree by chance.
 
 1. Each task emits (segment, set) rows, combined: sets that share a segment within the task become
    one bucket, so that a segment of very many near copies reaches its reducer as one row per task.
+   A packed sketch of two to four bits a token goes along with each document.
 2. Rows of equal segments, sorted, give groups of sets that might be linked.
-3. Clusters of groups, or groups, are dealt into blocks; each pair of blocks is one task, which
-   rejects by the Hamming distance of packed sketches, verifies what is left on the whole sets
-   unless the two are already connected there, and emits a spanning forest of the verified links,
-   never its pairs.
-4. Connected components of these links, over sets; copies of a set share one.
+3. Groups are joined up by packed sketches alone, which rejects nearly all chance meetings. What is
+   left are clusters of suspects; texts of these, and of no other documents, are compared next.
+4. Clusters are joined up by comparing whole sets. Components of these links are the result;
+   copies of a set share one.
+
+Steps 3 and 4 work alike: every member is first compared with its group's least one, in salted
+slices, so that a group of very many copies of one text costs as much as its size. Only members
+that this leaves in different components are compared further, block by block; a task returns
+links between components, at most one for each, and never its pairs.
 
 Everything is exact but for equal 64-bit hashes of different n-grams or sets (63 bits).
 
 Defined results: a null or empty text has no set and is linked with nothing; fewer words than n
 are one n-gram; copies are linked; a null id is linked with nothing and has no component; rows
 with equal ids each get the component of their own text (the smallest of both where ids repeat);
-an empty table gives no rows.
+an empty table gives no rows; further columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -43,8 +47,10 @@ from .workspace import bounded_batches, column, connected_components, fresh, mat
 SLICE, COMBINE = 4 << 20, 1 << 21
 #: Sets of a block, and n-grams of all its sets together.
 BLOCK_SETS, BLOCK_GRAMS = 1024, 1 << 20
-#: Rows of two numbers (16 bytes each, 16 MB) up to which a list is broadcast.
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes of whole tasks that are worked on at once; pairs of numbers compared at once.
+CHUNK_ROWS, CHUNK_BYTES, PAIRS = 8192, 8 << 20, 1 << 17
+#: Sets below this size have a sketch so wide that each segment is one token.
+SMALL, WIDE = 64, 1024
 #: Tags of rows: a bucket's member, a segment's bucket. A document has its set's size instead.
 MEMBER, SEGMENT = -2, -1
 _U = np.uint64
@@ -65,24 +71,25 @@ class Rule:
         """The largest symmetric difference of linked sets whose sizes sum up to ``total``."""
         return (self.den - self.num) * total // (self.den + self.num)
 
+    def largest_partner(self, size):
+        return size * self.den // self.num
+
 
 @lru_cache(maxsize=8)
-def bands(rule: Rule, largest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First size of each band, segments and spare segments of each band's sketch.
+def bands(rule: Rule, largest: int) -> tuple[np.ndarray, np.ndarray]:
+    """First size of each band (and of the one after the last), segments of each band's sketch.
 
-    Covers sizes up to ``largest``; the tables are the same for any larger one, as far as they go.
+    Linked sets lie in the same or in adjacent bands. Covers sizes up to ``largest``; the tables
+    are the same for any larger one, as far as they go.
     """
-    first, segments, spare = [1], [], []
-    while first[-1] <= largest * rule.den // rule.num + 1:
-        first.append(first[-1] * rule.den // rule.num + 1)
-    for low, after in zip(first, first[1:], strict=False):
-        most = after - 1
-        d = rule.largest_difference(most + most * rule.den // rule.num)
-        mean = (d + 2) * math.exp(-low / (d + 2))
-        more = 1 + (math.ceil(mean + 2 * math.sqrt(mean)) if d > 8 else 0)
-        segments.append(d + 1 + more if d else 0)  # 0: only equal sets are linked
-        spare.append(more)
-    return np.array(first), np.array(segments), np.array(spare)
+    ratio = max(1.6, 1.28 * rule.den / rule.num)
+    first, segments = [1], []
+    while first[-1] <= rule.largest_partner(largest) + 1:
+        first.append(max(first[-1] + 1, int(first[-1] * ratio)))
+    for after in first[1:]:
+        d = rule.largest_difference(after - 1 + rule.largest_partner(after - 1))
+        segments.append(WIDE if after <= SMALL else max(d + 1 + 8, math.ceil(1.12 * (d + 1)) + 8))
+    return np.array(first), np.array(segments)
 
 
 def shingles(texts: pa.Array, words: int):
@@ -119,40 +126,90 @@ def set_ids(at: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return (total & ~_U(1)).view(np.int64)
 
 
+def _starts(keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal numbers start."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+
+
+def _name(scheme: np.ndarray, segment: np.ndarray) -> np.ndarray:
+    return mix64(scheme.astype(_U) * _U(1 << 32) + segment.astype(_U) + _U(1))
+
+
 def segment_keys(at: np.ndarray, grams: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each key, key): the segments of each set, in the sketch of its own band and of the
-    band below."""
+    """(row of each key, key): the first segments of each set, in the sketch of its own band and,
+    if it can be linked with a set of the band below, in that band's."""
     sizes = np.diff(at)
-    first, segments, spare = bands(rule, 1 << int(sizes.max(initial=1)).bit_length())
+    first, segments = bands(rule, 1 << int(sizes.max(initial=1)).bit_length())
     band = np.searchsorted(first, np.maximum(sizes, 1), "right") - 1
     rows, keys = [], []
     for below in (0, 1):
         scheme = np.maximum(band - below, 0)
-        n = np.where((sizes > 0) & (band >= below), segments[scheme], 0)
-        start = np.concatenate([[0], np.cumsum(n)])
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        live = n[owner] > 0
-        owner, g = owner[live], grams[live]
+        most = first[scheme + 1] - 1  # the largest set of the scheme's own band
+        partner = np.minimum(rule.largest_partner(sizes), most if below else rule.largest_partner(most))
+        live = (sizes > 0) & ((band > 0) & (sizes <= rule.largest_partner(most)) if below else True)
+        need = np.where(live, rule.largest_difference(sizes + partner) + 1, 0)
+        owner = np.repeat(np.arange(len(sizes)), np.where(live, sizes, 0))
+        g = grams[np.repeat(live, sizes)]
         h = mix64(g ^ mix64(scheme[owner].astype(_U) + _U(77)))
-        place = ((h >> _U(32)) * n[owner].astype(_U) >> _U(32)).astype(np.int64) + start[owner]
-        content, filled = np.zeros(start[-1], _U), np.zeros(start[-1], bool)
-        np.bitwise_xor.at(content, place, mix64(h))
-        filled[place] = True
-        row = np.repeat(np.arange(len(sizes)), n)
-        segment = np.arange(start[-1]) - start[:-1][row]
-        key = mix64(content ^ mix64(scheme[row].astype(_U) * _U(1 << 32) + segment.astype(_U) + _U(1)))
-        empties = np.bincount(row[~filled], minlength=len(sizes))
-        kept = filled | (empties > spare[scheme])[row]
-        rows.append(row[kept])
-        keys.append(key[kept])
+        segment = ((h >> _U(32)) * segments[scheme[owner]].astype(_U) >> _U(32)).astype(np.int64)
+        order = np.argsort((owner << 32) + segment, kind="stable")
+        cell = ((owner << 32) + segment)[order]
+        starts = _starts(cell)
+        content = np.bitwise_xor.reduceat(mix64(h[order]), starts) if len(starts) else np.zeros(0, _U)
+        tokens = np.diff(np.append(starts, len(cell)))
+        row, segment = cell[starts] >> 32, cell[starts] & 0xFFFFFFFF
+        key = mix64(content ^ _name(scheme[row], segment)) + tokens.astype(_U)
+        best = np.lexsort((key, -tokens, row))
+        row, key, segment = row[best], key[best], segment[best]
+        filled = np.bincount(row, minlength=len(sizes))
+        place = np.arange(len(row)) - (np.cumsum(filled) - filled)[row]
+        rows.append(row[place < need[row]])
+        keys.append(key[place < need[row]])
+        for i in np.flatnonzero(need > filled):  # empty segments come last, by their names
+            taken = segment[np.searchsorted(row, i) : np.searchsorted(row, i, "right")]
+            free = np.setdiff1d(np.arange(segments[scheme[i]]), taken)
+            names = np.sort(_name(np.full(len(free), scheme[i]), free))[: need[i] - filled[i]]
+            rows.append(np.full(len(names), i))
+            keys.append(names)
     return np.concatenate(rows), np.concatenate(keys).view(np.int64)
 
 
-_ROW = "k bigint, v bigint, n int"
+def sketches(at: np.ndarray, grams: np.ndarray, bits: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Packed parity sketches end to end, and where each starts: a power of two of 64-bit words, at
+    least ``bits`` bits for each token. Halves of a sketch, XORed, are the sketch of half the width."""
+    sizes = np.diff(at)
+    width = np.int64(1) << np.ceil(np.log2(np.maximum(1, sizes * bits / 64))).astype(np.int64)
+    start = np.concatenate([[0], np.cumsum(width)])
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    h = mix64(grams)
+    out = np.zeros(start[-1], _U)
+    np.bitwise_xor.at(out, start[owner] + ((h >> _U(6)).astype(np.int64) & (width[owner] - 1)), _U(1) << (h & _U(63)))
+    return out, start
+
+
+def hamming(data: np.ndarray, start: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Distances of sketches i and j, the wider one folded to the width of the other."""
+    width = np.diff(start)
+    out = np.zeros(len(i), np.int64)
+    code = width[i] * (1 << 32) + width[j]
+    for c in np.unique(code):
+        a, b = int(c >> 32), int(c & 0xFFFFFFFF)
+        low, step = min(a, b), max(1, (1 << 20) // max(a, b))
+        of = np.flatnonzero(code == c)
+        for k in range(0, len(of), step):
+            p = of[k : k + step]
+            x = np.bitwise_xor.reduce(data[start[i[p]][:, None] + np.arange(a)].reshape(len(p), -1, low), axis=1)
+            y = np.bitwise_xor.reduce(data[start[j[p]][:, None] + np.arange(b)].reshape(len(p), -1, low), axis=1)
+            out[p] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+    return out
+
 
+_ROW = "k bigint, v bigint, n int, s binary"
+_NAMES = ["k", "v", "n", "s"]
 
-def _out(k, v, n) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(v, pa.int64()), pa.array(n, pa.int32())], names=["k", "v", "n"])
+
+def _out(k, v, n, s=None) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(v, pa.int64()), pa.array(n, pa.int32()), pa.nulls(len(v), pa.binary()) if s is None else s], names=_NAMES)
 
 
 def _pieces(k, v, n, rows: int = 100_000):
@@ -168,7 +225,7 @@ def combine(keys: np.ndarray, sids: np.ndarray):
     fresh = np.ones(len(keys), bool)
     fresh[1:] = (keys[1:] != keys[:-1]) | (sids[1:] != sids[:-1])
     keys, sids = keys[fresh], sids[fresh]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+    at = _starts(keys)
     size = np.diff(np.append(at, len(keys)))
     bucket = sids[at].copy()
     several = size > 1
@@ -181,6 +238,10 @@ def combine(keys: np.ndarray, sids: np.ndarray):
     return keys[at], bucket, pairs[0], pairs[1]
 
 
+def _packed(data: np.ndarray, start: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(start) - 1, [None, pa.py_buffer((start * 8).astype(np.int32)), pa.py_buffer(data)])
+
+
 def _emit(rule: Rule):
     def run(batches):
         keys, sids, waiting = [], [], 0
@@ -196,7 +257,7 @@ def _emit(rule: Rule):
             for a, at, grams in shingles(batch.column(1), rule.words):
                 n = len(at) - 1
                 sid = set_ids(at, grams)
-                yield _out(ids.slice(a, n), sid, np.diff(at).astype(np.int32))
+                yield _out(ids.slice(a, n), sid, np.diff(at).astype(np.int32), _packed(*sketches(at, grams)))
                 row, key = segment_keys(at, grams, rule)
                 use = known[a : a + n][row]
                 keys.append(key[use])
@@ -220,7 +281,7 @@ def _gather(batches):
         other = np.flatnonzero(n != SEGMENT)
         if len(other):
             take = pa.array(other)
-            yield pa.RecordBatch.from_arrays([batch.column(i).take(take) for i in range(3)], names=["k", "v", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(take) for i in range(4)], names=_NAMES)
         seg = np.flatnonzero(n == SEGMENT)
         if not len(seg):
             continue
@@ -251,26 +312,51 @@ def _gather(batches):
 
 
 def _sets(words: int):
+    """(wanted, text) rows with their set's number and size."""
+
     def run(batches):
         for batch in batches:
             for a, at, grams in shingles(batch.column(1), words):
                 n = len(at) - 1
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, n), pa.array(set_ids(at, grams)), pa.array(np.diff(at).astype(np.int32)), pa.ListArray.from_arrays(at.astype(np.int32), pa.array(grams.view(np.int64)))],
-                    names=["wanted", "sid", "size", "grams"],
-                )
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), pa.array(set_ids(at, grams)), pa.array(np.diff(at).astype(np.int32)), batch.column(1).slice(a, n)], names=["wanted", "sid", "size", "text"])
 
     return run
 
 
-def sketches(at: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    """Packed parity sketches, as wide as eight bits for each n-gram of the largest set."""
-    bits = 1 << max(6, int(8 * np.diff(at).max(initial=1) - 1).bit_length())
-    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    h = mix64(grams)
-    out = np.zeros((len(at) - 1) * (bits // 64), _U)
-    np.bitwise_xor.at(out, owner * (bits // 64) + ((h >> _U(6)) & _U(bits // 64 - 1)).astype(np.int64), _U(1) << (h & _U(63)))
-    return out.reshape(len(at) - 1, -1)
+class _Sketched:
+    """Packed sketches of a chunk's rows: pairs that may be linked by their Hamming distance."""
+
+    def __init__(self, rule: Rule, load: pa.Array, size: np.ndarray):
+        self.rule, self.size = rule, size
+        load = load.cast(pa.large_binary())
+        offsets = np.frombuffer(load.buffers()[1], np.int64)[load.offset : load.offset + len(load) + 1]
+        self.data, self.start = np.frombuffer(load.buffers()[2], _U, (offsets[-1] - offsets[0]) // 8, int(offsets[0])), (offsets - offsets[0]) // 8
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Positions of the pairs that may be linked."""
+        most = self.rule.largest_difference(self.size[i] + self.size[j])
+        of = np.flatnonzero(np.abs(self.size[i] - self.size[j]) <= most)
+        return of[hamming(self.data, self.start, i[of], j[of]) <= most[of]]
+
+    def linked(self, a: int, b: int) -> bool:
+        return True
+
+
+class _Whole(_Sketched):
+    """Whole sets of a chunk's rows, and wider sketches of them."""
+
+    def __init__(self, rule: Rule, load: pa.Array, size: np.ndarray):
+        self.rule, parts, total = rule, [], [np.zeros(1, np.int64)]
+        for _, at, grams in shingles(load, rule.words):
+            parts.append(grams)
+            total.append(at[1:] + total[-1][-1])
+        self.at, self.grams = np.concatenate(total), np.concatenate(parts) if parts else np.zeros(0, _U)
+        self.size = np.diff(self.at)
+        self.data, self.start = sketches(self.at, self.grams, 8)
+
+    def linked(self, a: int, b: int) -> bool:
+        x, y = self.grams[self.at[a] : self.at[a + 1]], self.grams[self.at[b] : self.at[b + 1]]
+        return self.rule.linked(_common(x, y), len(x), len(y))
 
 
 def _common(a: np.ndarray, b: np.ndarray) -> int:
@@ -281,76 +367,152 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def _compare(rule: Rule):
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(key, table):
-        low, high = key[1].as_py(), key[2].as_py()
-        ids, block = table["x"].to_numpy(), table["block"].to_numpy()
-        lists = table["grams"].combine_chunks()
-        if isinstance(lists, pa.ChunkedArray):
-            lists = pa.concat_arrays(lists.chunks)
-        _, once = np.unique(ids, return_index=True)
-        if len(once) < len(ids):
-            ids, block, lists = ids[once], block[once], lists.take(pa.array(once))
-        at = np.asarray(lists.offsets.to_numpy(zero_copy_only=False), np.int64)
-        grams = lists.values.to_numpy(zero_copy_only=False).view(_U)
-        at, grams = at - at[0], grams[at[0] : at[-1]]
-        size, sketch = np.diff(at), sketches(at, grams)
-        x = np.flatnonzero(block == low)
-        y = x if low == high else np.flatnonzero(block == high)
-        root = list(range(len(ids)))
-
-        def find(i):
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        found = []
-        step = max(1, (1 << 21) // max(1, len(y) * sketch.shape[1]))
-        for i in range(0, len(x), step):
-            part = x[i : i + step]
-            apart = np.bitwise_count(sketch[part][:, None, :] ^ sketch[y][None, :, :]).sum(2, dtype=np.int64)
-            maybe = apart <= rule.largest_difference(size[part][:, None] + size[y][None, :])
-            if low == high:
-                maybe &= part[:, None] < y[None, :]
-            for p, q in zip(*np.nonzero(maybe), strict=True):
-                a, b = int(part[p]), int(y[q])
-                ra, rb = find(a), find(b)
-                if ra != rb and rule.linked(_common(grams[at[a] : at[a + 1]], grams[at[b] : at[b + 1]]), int(size[a]), int(size[b])):
-                    root[ra] = rb
-                    found.append((ids[a], ids[b]))
-        return pa.table([pa.array([p for p, _ in found], pa.int64()), pa.array([q for _, q in found], pa.int64())], schema=schema)
+_TASK = ["part", "p", "q", "side", "x", "home", "size", "load"]
+_EDGE = "a bigint, b bigint"
+
+
+def _whole_tasks(batches):
+    """Tables of whole tasks (part, p, q), from rows sorted by them."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < CHUNK_ROWS and sum(b.nbytes for b in held) < CHUNK_BYTES:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        key = np.stack([table[c].to_numpy() for c in _TASK[:3]])
+        change = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0))
+        if len(change):
+            yield table.slice(0, change[-1] + 1).combine_chunks()
+            held = table.slice(change[-1] + 1).to_batches()
+        else:
+            held = table.to_batches()
+        rows = sum(b.num_rows for b in held)
+    if rows:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _spread(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... many[0] numbers, then the same of the next."""
+    return np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+
+
+def _compare(rule: Rule, kind):
+    """Links between components of the same task: rows of side 0 with those of side 1, or with each
+    other where there are none of side 1. Pairs that the task has already joined up are not compared."""
+
+    def run(batches):
+        for table in _whole_tasks(batches):
+            part, p, q, side, x, home = (table[c].to_numpy() for c in _TASK[:6])
+            load = table["load"].chunk(0)
+            rows = kind(rule, load, table["size"].to_numpy())
+            starts = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (p[1:] != p[:-1]) | (q[1:] != q[:-1])]))
+            task = np.cumsum(np.isin(np.arange(len(part)), starts)) - 1
+            ends = np.append(starts[1:], len(part))
+            lefts = np.bincount(task, side == 0, len(starts)).astype(np.int64)
+            alone = lefts == ends - starts
+            left = np.flatnonzero(side == 0)
+            first = np.where(alone[task[left]], left + 1, (starts + lefts)[task[left]])
+            many = ends[task[left]] - first
+            names, root = np.unique(home, return_inverse=True)
+            up = np.arange(len(names))
+
+            def find(i):
+                while up[i] != i:
+                    up[i] = up[up[i]]
+                    i = up[i]
+                return i
+
+            found, at = [], 0
+            upto = np.cumsum(many)
+            while at < len(left):
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, "right")))
+                i, j = np.repeat(left[at:to], many[at:to]), _spread(first[at:to], many[at:to])
+                now = np.array([find(k) for k in range(len(up))]) if len(found) else up
+                apart = now[root[i]] != now[root[j]]
+                i, j = i[apart], j[apart]
+                near = rows.near(i, j)
+                for a, b in zip(i[near].tolist(), j[near].tolist(), strict=True):
+                    ra, rb = find(root[a]), find(root[b])
+                    if ra != rb and rows.linked(a, b):
+                        up[max(ra, rb)] = min(ra, rb)
+                        found.append((names[root[a]], names[root[b]]))
+                at = to
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _stars(rule: Rule, kind):
+    """Links of rows of side 1 with the row of side 0 that comes before them."""
+
+    def run(batches):
+        for table in _whole_tasks(batches):
+            side, x = table["side"].to_numpy(), table["x"].to_numpy()
+            rows = kind(rule, table["load"].chunk(0), table["size"].to_numpy())
+            member = np.flatnonzero(side == 1)
+            leader = np.maximum.accumulate(np.where(side == 0, np.arange(len(side)), 0))[member]
+            good = rows.near(member, leader)
+            good = np.array([k for k in good if rows.linked(int(member[k]), int(leader[k]))], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x[leader[good]]), pa.array(x[member[good]])], names=["a", "b"])
 
     return run
 
 
-def _deal(group: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(part, low, high, x, block): which sets meet in which task, from groups (pivot, x).
+def _blocks(n, weight, unit: int):
+    return F.greatest(F.lit(1), F.ceil(n / BLOCK_SETS), F.ceil(weight / unit)).cast("int")
+
+
+def _deal(rest: DataFrame) -> DataFrame:
+    """(part, p, q, side, x, home): which rows meet in which task, from (part, x, home, size).
 
-    Groups that share sets form clusters. Where comparing all sets of a cluster is no more work
-    than comparing all its groups (always so for one or two groups), the cluster is dealt as a
-    whole and sends each set once for each block; else its groups are dealt one by one, of equal
-    groups only one. Either way every pair of sets of a group meets.
+    Of a part, the rows of its most frequent component need not be compared with each other. They
+    are cut into slices, the others into blocks; a block meets every slice and every other block.
+    Rows of the frequent component are sent once for each block of others.
     """
-    cluster = connected_components(group.select(F.col("pivot").alias("a"), F.col("x").alias("b")))
-    member = materialize(sizes.join(cluster.withColumnRenamed("node", "x"), "x"), "clusters")
-    sums = group.groupBy("pivot").agg(F.count("*").alias("m"), F.sum(F.xxhash64("x").cast("decimal(20,0)")).alias("s"))
-    first = sums.groupBy("m", "s").agg(F.min("pivot").alias("pivot"))
-    first = materialize(first.join(cluster.withColumnRenamed("node", "pivot"), "pivot").select("pivot", "component", "m"), "distinct_groups")
-    work = first.groupBy("component").agg(F.sum(F.col("m") * F.col("m")).alias("work"))
-    whole = member.groupBy("component").agg(F.count("*").alias("sets"), F.sum("size").alias("grams")).join(work, "component")
-    need = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
-    whole = materialize(whole.select("component", need.alias("blocks"), ((need == 1) | (F.col("sets") * F.col("sets") <= F.col("work"))).alias("at_once")), "cluster_sizes")
-    one = member.join(whole.where("at_once"), "component").select(F.col("component").alias("part"), "x", "blocks")
-    apart = group.join(first.join(whole.where("not at_once").select("component"), "component", "left_semi").select("pivot"), "pivot", "left_semi")
-    apart = materialize(apart.join(sizes, "x"), "groups_apart")
-    need = F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("size") / BLOCK_GRAMS)).cast("int")
-    several = apart.join(apart.groupBy("pivot").agg(need.alias("blocks")), "pivot").select(F.col("pivot").alias("part"), "x", "blocks")
-    dealt = one.unionByName(several).withColumn("block", F.pmod(F.xxhash64("x"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return dealt.select("part", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "x", "block")
+    cells = rest.groupBy("part", "home").agg(F.count("*").alias("n"), F.sum("size").alias("w"))
+    tops = cells.groupBy("part").agg(F.max(F.struct("n", "w", "home")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w"))
+    tops = tops.select("part", F.col("top.home").alias("main"), _blocks(F.col("top.n"), F.col("top.w"), BLOCK_GRAMS).alias("slices"), _blocks(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w"), BLOCK_GRAMS).alias("blocks"))
+    rows = rest.join(materialize(tops, "tops"), "part")
+    inside = F.col("home") == F.col("main")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("x"), F.when(inside, F.col("slices")).otherwise(F.col("blocks"))).cast("int"))
+    one = lambda p, q, side: F.struct(p.cast("int").alias("p"), q.cast("int").alias("q"), F.lit(side).alias("side"))
+    own, last = F.col("own"), F.col("slices") + F.col("blocks") - 1
+    as_slice = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda p: one(p, own, 1))
+    as_left = F.transform(F.concat(F.sequence(F.lit(0), F.col("slices") - 1), F.sequence(F.col("slices") + own, last)), lambda q: one(own, q, 0))
+    as_right = F.transform(F.filter(F.sequence(F.lit(0), own), lambda p: p < own), lambda p: one(p, F.col("slices") + own, 1))
+    return rows.withColumn("t", F.explode(F.when(inside, as_slice).otherwise(F.concat(as_left, as_right)))).select("part", "t.p", "t.q", "t.side", "x", "home", "size")
+
+
+def _join_up(groups: DataFrame, loads: DataFrame, rule: Rule, kind, name: str) -> DataFrame:
+    """Components (node, component) of the links between rows of a group (part, x), by comparing
+    what ``loads`` (x, size, load) holds of them."""
+    least = groups.groupBy("part").agg(F.min("x").alias("leader"))
+    groups = materialize(groups.join(least, "part"), name)
+    star = groups.where("x <> leader").select("leader", "x").distinct()
+    slots = star.groupBy("leader").agg(F.ceil(F.count("*") / (4 * BLOCK_SETS)).cast("int").alias("slots"))
+    slots = materialize(slots, f"{name}_leaders")
+    member = star.join(slots, "leader").select(F.col("leader").alias("part"), F.pmod(F.xxhash64("x"), F.col("slots")).cast("int").alias("p"), F.lit(0).alias("q"), F.lit(1).alias("side"), "x", F.lit(0).cast("bigint").alias("home"))
+    leader = slots.select(F.col("leader").alias("part"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("p"), F.lit(0).alias("q"), F.lit(0).alias("side"), F.col("leader").alias("x"), F.lit(0).cast("bigint").alias("home"))
+
+    def compared(tasks: DataFrame, by) -> DataFrame:
+        full = tasks.join(loads.select("x", "size", "load"), "x").select(*_TASK)
+        placed = full.repartition("part", "p", "q").sortWithinPartitions("part", "p", "q", "side", "x")
+        return materialize(placed.mapInArrow(by(rule, kind), _EDGE), f"{name}_links")
+
+    parts = connected_components(compared(member.unionByName(leader), _stars))
+    # the leader has met all others; of them, those that are apart from each other are left
+    home = F.coalesce("component", "x").alias("home")
+    others = groups.where("x <> leader").join(parts.withColumnRenamed("node", "x"), "x", "left").select("part", "x", home)
+    mixed = others.groupBy("part").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low <> high").select("part")
+    rest = materialize(others.join(materialize(mixed, f"{name}_mixed"), "part").join(loads.select("x", "size"), "x"), f"{name}_rest")
+    if rest.isEmpty():
+        return parts
+    more = connected_components(compared(_deal(rest).drop("size"), _compare)).select(F.col("node").alias("home"), F.col("component").alias("over"))
+    whole = parts.select("node", F.col("component").alias("home")).join(more, "home", "full")
+    # a home is a component of before, or a row that had none
+    whole = whole.select(F.coalesce("node", "home").alias("node"), F.coalesce("over", "home").alias("component"))
+    return materialize(whole, f"{name}_components")
 
 
 def components(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -362,33 +524,33 @@ def _components(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> Data
     """The same with the document's set, sid."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(column(id_col).cast("bigint").alias("id"), column(text_col).alias("text"))
-    emitted = rows.mapInArrow(_emit(rule), _ROW).repartition("k").sortWithinPartitions("k", "n", "v")
+    emitted = rows.mapInArrow(_emit(rule), _ROW).repartition(F.coalesce("k", "v")).sortWithinPartitions("k", "n", "v")
     gathered = materialize(emitted.mapInArrow(_gather, _ROW), "segments")
     per_doc = gathered.where("n >= 0").select(F.col("k").alias("id"), F.col("v").alias("sid"), "n")
     member = gathered.where(F.col("n") == MEMBER).select(F.col("k").alias("bucket"), F.col("v").alias("x")).distinct()
-    pair = gathered.where(F.col("n") == SEGMENT).select(F.col("k").alias("pivot"), F.col("v").alias("bucket")).distinct()
-    single = pair.where("bucket % 2 = 0").select("pivot", F.col("bucket").alias("x"))
-    group = materialize(pair.where("bucket % 2 <> 0").join(member, "bucket").select("pivot", "x").unionByName(single).distinct(), "groups")
-    own = per_doc.where("id is not null and n > 0")
-    several = group.groupBy("pivot").agg(F.count("*").alias("m")).where("m > 1").select("pivot")
-    group = materialize(group.join(several, "pivot"), "groups_of_several")
-    wanted = group.select(F.col("x").alias("sid")).distinct()
+    pair = gathered.where(F.col("n") == SEGMENT).select(F.col("k").alias("part"), F.col("v").alias("bucket")).distinct()
+    single = pair.where("bucket % 2 = 0").select("part", F.col("bucket").alias("x"))
+    group = materialize(pair.where("bucket % 2 <> 0").join(member, "bucket").select("part", "x").unionByName(single).distinct(), "groups")
+    # of groups with the same sets, one
+    sums = group.groupBy("part").agg(F.count("*").alias("m"), F.sum(F.xxhash64("x").cast("decimal(20,0)")).alias("s")).where("m > 1")
+    once = materialize(sums.groupBy("m", "s").agg(F.min("part").alias("part")).select("part"), "distinct_groups")
+    group = materialize(group.join(once, "part"), "groups_once")
     # combined before any shuffle: a set may have very many copies
-    least = materialize(own.groupBy("sid").agg(F.min("id").alias("least")), "least")
-    texts_of = materialize(least.join(wanted, "sid").select(F.col("least").alias("of"), F.col("sid").alias("wanted")), "wanted")
-    # whole texts move only if the list of wanted ones is too long to be sent around
-    few = texts_of.count() <= BROADCAST_ROWS
-    texts = rows.join(F.broadcast(texts_of) if few else texts_of, F.col("id") == F.col("of")).select("wanted", "text")
-    sets = texts.mapInArrow(_sets(rule.words), "wanted bigint, sid bigint, size int, grams array<bigint>").where("wanted = sid").drop("wanted")
-    sets = materialize(sets, "sets")  # rows that repeat an id may repeat a set
-    dealt = _deal(group, sets.select(F.col("sid").alias("x"), "size").distinct())
-    full = dealt.join(sets.select(F.col("sid").alias("x"), "grams"), "x")
-    edges = materialize(full.groupBy("part", "low", "high").applyInArrow(_compare(rule), "a bigint, b bigint"), "links")
-    part = connected_components(edges)
-    known = least.join(part.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    known = materialize(known, "set_components")
-    smallest = materialize(known.groupBy("component").agg(F.min("least").alias("component_id")), "smallest")
-    by_set = materialize(known.select("sid", "component").join(smallest, "component").select("sid", "component_id"), "set_ids")
+    least = materialize(per_doc.where("id is not null and n > 0").groupBy("sid").agg(F.min("id").alias("least")), "least")
+    known = least.join(group.select(F.col("x").alias("sid")).distinct(), "sid")
+    own = gathered.where("n > 0 and k is not null").select(F.col("k").alias("least"), F.col("v").alias("sid"), F.col("n").alias("size"), F.col("s").alias("load"))
+    sketched = materialize(own.join(known, ["sid", "least"]).select(F.col("sid").alias("x"), "size", "load"), "sketches")
+    suspects = _join_up(group, sketched, rule, _Sketched, "suspects")
+    wanted = materialize(suspects.join(least, F.col("node") == F.col("sid")).select(F.col("least").alias("of"), F.col("sid").alias("wanted")), "wanted")
+    # texts are sorted once by id, however few are wanted: the same plan at every size
+    texts = rows.join(wanted.hint("merge"), F.col("id") == F.col("of")).select("wanted", "text")
+    sets = texts.mapInArrow(_sets(rule.words), "wanted bigint, sid bigint, size int, text string").where("wanted = sid")
+    sets = materialize(sets.select(F.col("sid").alias("x"), "size", F.col("text").alias("load")), "sets")
+    part = _join_up(suspects.select(F.col("component").alias("part"), F.col("node").alias("x")), sets, rule, _Whole, "clusters")
+    inside = materialize(part.join(least, F.col("node") == F.col("sid")).select("sid", "component", "least"), "linked_sets")
+    smallest = inside.groupBy("component").agg(F.min("least").alias("component_id"))
+    joined = inside.join(smallest, "component").select("sid", "component_id")
+    by_set = materialize(least.join(joined, "sid", "left").select("sid", F.coalesce("component_id", "least").alias("component_id")), "set_ids")
     linked = per_doc.where("n > 0").join(by_set, "sid", "left").select("id", "sid", F.col("n").cast("bigint").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
     return linked.unionByName(per_doc.where("n = 0").select("id", "sid", F.lit(0).cast("bigint").alias("n_shingles"), F.col("id").alias("component_id")))
 
@@ -406,7 +568,7 @@ def drop_near_copies(docs: DataFrame, rule: Rule | None = None, id_col: str = "d
     if not some.isEmpty():  # of these ids, texts are told apart by their digests
         text = column(text_col)
         texts = docs.select(column(id_col).cast("bigint").alias("id"), F.sha2(text.cast("binary"), 256).alias("digest"), text.alias("text")).join(some, "id")
-        sets = texts.select(F.struct("id", "digest").alias("wanted"), "text").mapInArrow(_sets(rule.words), "wanted struct<id:bigint,digest:string>, sid bigint, size int, grams array<bigint>")
+        sets = texts.select(F.struct("id", "digest").alias("wanted"), "text").mapInArrow(_sets(rule.words), "wanted struct<id:bigint,digest:string>, sid bigint, size int, text string")
         sets = sets.where("size > 0").select("wanted.id", "wanted.digest", "sid")
         pairs = marks.where("gone").join(some, "id", "left_semi").select("id", "sid").distinct()
         pairs = sets.join(pairs, ["id", "sid"]).select(F.col("id").alias(name), F.col("digest").alias(digest)).distinct()

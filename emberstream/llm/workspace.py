@@ -10,7 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,37 +90,49 @@ def crc_fold(id_column, folds: int):
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+#: Slices of a node's neighbours, so that a node of very many does not meet them in one task.
+SALTS = 8
+
+
+def _with_least(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """Edges (a, b) with what ``low`` (a, m) has for a, dealt by a and a slice of its neighbours."""
+    sliced = low.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return edges.withColumn("slice", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(sliced, ["a", "slice"]).select("a", "b", "m")
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Rows (node, component) for every node of ``edges`` (a, b): component is its smallest node.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014). Each step is one
-    aggregation, combined before its shuffle, and one join on the node, which adaptive execution
-    splits where a node has very many neighbours. Each round is written to the shared folder.
+    aggregation, combined before its shuffle, and one join on the node and a slice of its
+    neighbours. Each round is written to the shared folder. The rounds grow as the logarithm of the
+    nodes squared at most; 60 are far beyond any table, more raise an error and drop nothing.
     """
-    spark = edges.sparkSession
-    work = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    state = None
-    for _ in range(max_rounds):
+
+    def written(table: DataFrame) -> tuple[DataFrame, dict]:
+        seen = Observation()
+        table = table.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("hash"))
+        return materialize(table, "edges"), seen.get
+
+    work, state = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    for _ in range(max_rounds if state["n"] else 0):
         both = work.unionByName(work.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = materialize(large, "large_star")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
+        large = _with_least(both, low).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        joined = _with_least(large, large.groupBy("a").agg(F.min("b").alias("m")))
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        after = materialize(small, "small_star")
-        delete(large)
+        after, now = written(small)
         delete(work)
         work = after
-        now = work.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now
     else:
-        raise RuntimeError("components have not settled")
+        if state["n"]:
+            raise RuntimeError("components have not settled")
     pairs = work.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
     roots = work.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
-    return materialize(pairs.unionByName(roots), "components") if spark else pairs
+    return materialize(pairs.unionByName(roots), "components")
 
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:

@@ -219,9 +219,27 @@ def test_a_sketch_never_exceeds_the_difference():
     rng = np.random.default_rng(0)
     for n in (5, 50, 700):
         a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
-        b = np.unique(np.concatenate([a[: n // 2], rng.integers(0, 1 << 63, n // 2, dtype=np.uint64)]))
-        s = shingle_join.sketches(np.array([0, len(a), len(a) + len(b)]), np.concatenate([a, b]))
-        assert np.bitwise_count(s[0] ^ s[1]).sum() <= len(np.setxor1d(a, b))
+        for m in (n // 2, n // 10):  # of another width than a's
+            b = np.unique(np.concatenate([a[: m // 2], rng.integers(0, 1 << 63, m - m // 2, dtype=np.uint64)]))
+            data, start = shingle_join.sketches(np.array([0, len(a), len(a) + len(b)]), np.concatenate([a, b]))
+            apart = shingle_join.hamming(data, start, np.array([0, 1, 0]), np.array([1, 0, 0]))
+            assert apart[0] == apart[1] <= len(np.setxor1d(a, b)) and apart[2] == 0
+
+
+@pytest.mark.parametrize("rule", [shingle_join.Rule(4, 85, 100), shingle_join.Rule(5, 80, 100), shingle_join.Rule(5, 1, 2)])
+def test_linked_sets_share_a_segment(rule):
+    rng = np.random.default_rng(3)
+    token = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    for _ in range(400):
+        base = token(int(np.exp(rng.uniform(0, 7.5))))
+        least = -(-len(base) * rule.num // rule.den)
+        cut = int(rng.integers(0, len(base) - least + 1))
+        more = int(rng.integers(0, 1 + max(0, rule.den * (len(base) - cut) // rule.num - len(base))))
+        a, b = np.unique(base), np.unique(np.concatenate([base[cut:], token(more)]))
+        common = len(np.intersect1d(a, b))
+        assert rule.linked(common, len(a), len(b))
+        row, key = shingle_join.segment_keys(np.array([0, len(a), len(a) + len(b)]), np.concatenate([a, b]), rule)
+        assert set(key[row == 0].tolist()) & set(key[row == 1].tolist())
 
 
 # --- 4 language model

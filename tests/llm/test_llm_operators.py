@@ -354,6 +354,23 @@ def test_content_sort(spark):
     assert content_sort.mark_copies(docs(spark, [])).count() == content_sort.drop_copies(docs(spark, [])).count() == 0
 
 
+def test_equality_rests_on_no_digest(spark, monkeypatch):
+    monkeypatch.setattr(content_sort, "_order", lambda text: F.lit(1).cast("bigint"))
+    rows = [(i, f"the same sixteen characters {i % 7}", "s") for i in range(70)] + [(i, "hot", "s") for i in range(100, 300)]
+    want = {i % 7: i for i in range(70)}
+    got = {r["id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in content_sort.mark_copies(docs(spark, rows), keep="largest").collect()}
+    assert got == {i: (want[i % 7], 10, i == want[i % 7]) for i in range(70)} | {i: (299, 200, i == 299) for i in range(100, 300)}
+    assert sorted(r["doc_id"] for r in content_sort.drop_copies(docs(spark, rows)).collect()) == [*range(7), 100]
+
+
+def test_a_hot_text_is_dealt_over_partitions(spark):
+    df = docs(spark, [(i, "hot" if i % 3 else f"text {i}", "s") for i in range(900)])
+    keyed = content_sort._keyed(df, F.col("text"), [F.col("text").alias("t")])
+    sizes = keyed.where("t = 'hot'").groupBy("slice").count().collect()
+    assert len(sizes) >= 3 and max(r["count"] for r in sizes) < 400
+    assert keyed.where("t <> 'hot' and slices > 1").isEmpty()
+
+
 # --- 9 chat
 
 

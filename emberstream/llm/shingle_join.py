@@ -18,7 +18,7 @@ of either set. Only these are sent, segments of many tokens first, since they se
 
 Steps 3 and 4 work alike: every member is first compared with its group's least one, in salted
 slices, so that a group of very many copies of one text costs as much as its size. Only members
-that this leaves in different components are compared further, block by block; a task returns
+that share no linked leader then are compared further, block by block; a task returns
 links between components, at most one for each, and never its pairs.
 
 Everything is exact but for equal 64-bit hashes of different n-grams or sets (63 bits).
@@ -41,14 +41,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textbytes import LOWER, flat, mix64, slices, word_hashes, word_spans
-from .workspace import bounded_batches, column, connected_components, fresh, materialize
+from .workspace import bounded_batches, column, connected_components, fresh, materialize, sliced_join
 
 #: Bytes of text that are cut into words together; rows of segments that a task combines at once.
-SLICE, COMBINE = 4 << 20, 1 << 21
+SLICE, COMBINE = 1 << 20, 1 << 19
 #: Sets of a block, and n-grams of all its sets together.
 BLOCK_SETS, BLOCK_GRAMS = 1024, 1 << 20
 #: Rows and bytes of whole tasks that are worked on at once; pairs of numbers compared at once.
-CHUNK_ROWS, CHUNK_BYTES, PAIRS = 8192, 8 << 20, 1 << 17
+CHUNK_ROWS, CHUNK_BYTES, PAIRS = 8192, 4 << 20, 1 << 16
 #: Sets below this size have a sketch so wide that each segment is one token.
 SMALL, WIDE = 64, 1024
 #: Tags of rows: a bucket's member, a segment's bucket. A document has its set's size instead.
@@ -473,7 +473,7 @@ def _deal(rest: DataFrame) -> DataFrame:
     cells = rest.groupBy("part", "home").agg(F.count("*").alias("n"), F.sum("size").alias("w"))
     tops = cells.groupBy("part").agg(F.max(F.struct("n", "w", "home")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w"))
     tops = tops.select("part", F.col("top.home").alias("main"), _blocks(F.col("top.n"), F.col("top.w"), BLOCK_GRAMS).alias("slices"), _blocks(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w"), BLOCK_GRAMS).alias("blocks"))
-    rows = rest.join(materialize(tops, "tops"), "part")
+    rows = sliced_join(rest, materialize(tops, "tops"), "part", "x")
     inside = F.col("home") == F.col("main")
     rows = rows.withColumn("own", F.pmod(F.xxhash64("x"), F.when(inside, F.col("slices")).otherwise(F.col("blocks"))).cast("int"))
     one = lambda p, q, side: F.struct(p.cast("int").alias("p"), q.cast("int").alias("q"), F.lit(side).alias("side"))
@@ -485,34 +485,28 @@ def _deal(rest: DataFrame) -> DataFrame:
 
 
 def _join_up(groups: DataFrame, loads: DataFrame, rule: Rule, kind, name: str) -> DataFrame:
-    """Components (node, component) of the links between rows of a group (part, x), by comparing
-    what ``loads`` (x, size, load) holds of them."""
-    least = groups.groupBy("part").agg(F.min("x").alias("leader"))
-    groups = materialize(groups.join(least, "part"), name)
+    """Components (node, component) of the links between rows of a group (part, leader, x), by
+    comparing what ``loads`` (x, size, load) holds of them. The leader is a group's least x."""
     star = groups.where("x <> leader").select("leader", "x").distinct()
     slots = star.groupBy("leader").agg(F.ceil(F.count("*") / (4 * BLOCK_SETS)).cast("int").alias("slots"))
     slots = materialize(slots, f"{name}_leaders")
-    member = star.join(slots, "leader").select(F.col("leader").alias("part"), F.pmod(F.xxhash64("x"), F.col("slots")).cast("int").alias("p"), F.lit(0).alias("q"), F.lit(1).alias("side"), "x", F.lit(0).cast("bigint").alias("home"))
-    leader = slots.select(F.col("leader").alias("part"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("p"), F.lit(0).alias("q"), F.lit(0).alias("side"), F.col("leader").alias("x"), F.lit(0).cast("bigint").alias("home"))
+    none = F.lit(0).cast("bigint").alias("home")
+    member = sliced_join(star, slots, "leader", "x").select(F.col("leader").alias("part"), F.pmod(F.xxhash64("x"), F.col("slots")).cast("int").alias("p"), F.lit(0).alias("q"), F.lit(1).alias("side"), "x", none)
+    leader = slots.select(F.col("leader").alias("part"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("p"), F.lit(0).alias("q"), F.lit(0).alias("side"), F.col("leader").alias("x"), none)
 
     def compared(tasks: DataFrame, by) -> DataFrame:
         full = tasks.join(loads.select("x", "size", "load"), "x").select(*_TASK)
         placed = full.repartition("part", "p", "q").sortWithinPartitions("part", "p", "q", "side", "x")
         return materialize(placed.mapInArrow(by(rule, kind), _EDGE), f"{name}_links")
 
-    parts = connected_components(compared(member.unionByName(leader), _stars))
-    # the leader has met all others; of them, those that are apart from each other are left
-    home = F.coalesce("component", "x").alias("home")
-    others = groups.where("x <> leader").join(parts.withColumnRenamed("node", "x"), "x", "left").select("part", "x", home)
+    links = compared(member.unionByName(leader), _stars)
+    # the leader has met all others; of them, those that do not share their least linked leader are left
+    home = links.groupBy(F.col("b").alias("x")).agg(F.min("a").alias("home"))
+    others = groups.where("x <> leader").join(home, "x", "left").select("part", "x", F.coalesce("home", "x").alias("home"))
+    others = materialize(others, f"{name}_others")
     mixed = others.groupBy("part").agg(F.min("home").alias("low"), F.max("home").alias("high")).where("low <> high").select("part")
-    rest = materialize(others.join(materialize(mixed, f"{name}_mixed"), "part").join(loads.select("x", "size"), "x"), f"{name}_rest")
-    if rest.isEmpty():
-        return parts
-    more = connected_components(compared(_deal(rest).drop("size"), _compare)).select(F.col("node").alias("home"), F.col("component").alias("over"))
-    whole = parts.select("node", F.col("component").alias("home")).join(more, "home", "full")
-    # a home is a component of before, or a row that had none
-    whole = whole.select(F.coalesce("node", "home").alias("node"), F.coalesce("over", "home").alias("component"))
-    return materialize(whole, f"{name}_components")
+    rest = materialize(sliced_join(others, mixed, "part", "x").join(loads.select("x", "size"), "x"), f"{name}_rest")
+    return connected_components(links.unionByName(compared(_deal(rest).drop("size"), _compare)))
 
 
 def components(docs: DataFrame, rule: Rule, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -532,9 +526,9 @@ def _components(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> Data
     single = pair.where("bucket % 2 = 0").select("part", F.col("bucket").alias("x"))
     group = materialize(pair.where("bucket % 2 <> 0").join(member, "bucket").select("part", "x").unionByName(single).distinct(), "groups")
     # of groups with the same sets, one
-    sums = group.groupBy("part").agg(F.count("*").alias("m"), F.sum(F.xxhash64("x").cast("decimal(20,0)")).alias("s")).where("m > 1")
-    once = materialize(sums.groupBy("m", "s").agg(F.min("part").alias("part")).select("part"), "distinct_groups")
-    group = materialize(group.join(once, "part"), "groups_once")
+    sums = group.groupBy("part").agg(F.count("*").alias("m"), F.sum(F.xxhash64("x").cast("decimal(20,0)")).alias("s"), F.min("x").alias("leader")).where("m > 1")
+    once = materialize(sums.groupBy("m", "s").agg(F.min(F.struct("part", "leader")).alias("g")).select("g.*"), "distinct_groups")
+    group = materialize(sliced_join(group, once, "part", "x"), "groups_once")
     # combined before any shuffle: a set may have very many copies
     least = materialize(per_doc.where("id is not null and n > 0").groupBy("sid").agg(F.min("id").alias("least")), "least")
     known = least.join(group.select(F.col("x").alias("sid")).distinct(), "sid")
@@ -546,7 +540,7 @@ def _components(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> Data
     texts = rows.join(wanted.hint("merge"), F.col("id") == F.col("of")).select("wanted", "text")
     sets = texts.mapInArrow(_sets(rule.words), "wanted bigint, sid bigint, size int, text string").where("wanted = sid")
     sets = materialize(sets.select(F.col("sid").alias("x"), "size", F.col("text").alias("load")), "sets")
-    part = _join_up(suspects.select(F.col("component").alias("part"), F.col("node").alias("x")), sets, rule, _Whole, "clusters")
+    part = _join_up(suspects.select(F.col("component").alias("part"), F.col("component").alias("leader"), F.col("node").alias("x")), sets, rule, _Whole, "clusters")
     inside = materialize(part.join(least, F.col("node") == F.col("sid")).select("sid", "component", "least"), "linked_sets")
     smallest = inside.groupBy("component").agg(F.min("least").alias("component_id"))
     joined = inside.join(smallest, "component").select("sid", "component_id")

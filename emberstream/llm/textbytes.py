@@ -82,7 +82,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 #: Bytes that are hashed in one go; memory is about 32 times that.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -90,14 +90,14 @@ def crc_fold(id_column, folds: int):
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-#: Slices of a node's neighbours, so that a node of very many does not meet them in one task.
+#: Slices of a key's rows, so that a key of very many does not meet them in one task.
 SALTS = 8
 
 
-def _with_least(edges: DataFrame, low: DataFrame) -> DataFrame:
-    """Edges (a, b) with what ``low`` (a, m) has for a, dealt by a and a slice of its neighbours."""
-    sliced = low.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return edges.withColumn("slice", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")).join(sliced, ["a", "slice"]).select("a", "b", "m")
+def sliced_join(rows: DataFrame, of_key: DataFrame, key: str, by: str) -> DataFrame:
+    """``rows`` joined with the one row that ``of_key`` has for a key, dealt by key and a slice of ``by``."""
+    sliced = of_key.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_slice", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).join(sliced, [key, "_slice"]).drop("_slice")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -118,8 +118,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds if state["n"] else 0):
         both = work.unionByName(work.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = _with_least(both, low).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        joined = _with_least(large, large.groupBy("a").agg(F.min("b").alias("m")))
+        large = sliced_join(both, low, "a", "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        joined = sliced_join(large, large.groupBy("a").agg(F.min("b").alias("m")), "a", "b")
         small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(joined.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         after, now = written(small)
         delete(work)

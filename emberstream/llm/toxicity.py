@@ -1,20 +1,23 @@
 """Toxicity by subword-bag embeddings and a linear softmax, trained jointly in numpy.
 
-Every word is a bag of hashed character n-grams. Their vectors are averaged and go through a
-softmax over (clean, toxic); a text is as toxic as its worst span, so that one insult in a long
-document is not averaged away. A misspelling that training has not seen shares most n-grams,
-and so most vectors, with the word it stands for. Training fits vectors and softmax together
-from document labels: the span with the highest score of each document carries the gradient.
+Every word is a bag of hashed character n-grams. The vectors of all n-grams of a window of
+``WINDOW_WORDS`` words are averaged and go through a softmax over (clean, toxic); a text has the
+score of its most toxic window, so that one insult in a long document is not averaged away. A
+misspelling that training has not seen shares most n-grams, and so most vectors, with the word it
+stands for. Vectors and softmax start at random and are fitted together from document labels.
 
 The classifier is fitted on a bounded sample of labelled rows: at most ``max_per_class``
-documents of each class, the first by a digest of the id. Training needs a document's distinct words
-only, so that a text above ``max_train_chars`` comes as these, with the same result.
-Scoring covers every whole text. Since both layers are linear, a trained model is one number for
-each n-gram bucket, which is all that executors get (its size does not depend on the data).
+documents of each class, the first by a digest of the id. A text above ``max_train_chars`` comes as
+its distinct words, in their order. Scoring covers every whole text. Since both layers are linear,
+a trained model is one number for each n-gram bucket, which is all that executors get (its size
+does not depend on the data).
 
 Defined results: null and empty texts, and texts without words, get the score of the bias alone;
-several labels of one id count as toxic if any is; with labels of one class only, or none, every
-score is that class's share.
+several labels of one id count as toxic if any is; rows that repeat are scored alike, each; of
+texts that tie in the sample's order the first in code-point order is taken; with labels of one
+class only, or none, every score is that class's share; an empty table gives no rows; a text of
+any length is scored whole, piece by piece of a batch; a column of the score's name (in any case)
+is replaced by it, other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -33,13 +36,18 @@ from .workspace import bounded_batches, column, crc_fold, fresh
 
 #: n-gram lengths (in bytes, word ends included) and hash buckets.
 LENGTHS, BUCKETS = (3, 4, 5), 1 << 17
-#: Share of a word's n-grams that one step of training sees.
+#: Words of a window.
+WINDOW_WORDS = 4
+#: Weight in training of one more text, which is empty and clean (the labelled ones weigh 1).
+EMPTY = 0.2
+#: Share of the n-grams that one step of training sees.
 KEPT_GRAMS = 0.5
 #: Share from which a text is predicted toxic.
 THRESHOLD = 0.3
 #: Signs that end a word, besides white space.
 _ENDS = np.zeros(256, bool)
-_ENDS[list(b" \t\n\v\f\r.,;:?()[]\"")] = True
+_END_SIGNS = " \t\n\v\f\r.,;:?()[]\""
+_ENDS[list(_END_SIGNS.encode())] = True
 _SPLIT = r"[ \t\n\x0B\f\r.,;:?()\[\]\"]+"
 
 
@@ -75,7 +83,7 @@ def joined(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class ToxicityModel:
-    """Averages of ``weights`` over a word's n-grams, plus ``bias``, are the toxic logit."""
+    """The average of ``weights`` over a window's n-grams, plus ``bias``, is its toxic logit."""
 
     weights: np.ndarray
     bias: float
@@ -92,91 +100,115 @@ class ToxicityModel:
         before, _, made = grams(data)
         best = np.full(len(texts), self.bias)
         if len(before):
-            total, count = np.zeros(len(data), np.float32), np.zeros(len(data), np.float32)
+            total, count = np.zeros(len(data)), np.zeros(len(data))
             for bucket, there in made:
                 total[: len(bucket)] += self.weights[bucket] * there
                 count[: len(bucket)] += there
-            words = np.add.reduceat(total, before) / np.maximum(1, np.add.reduceat(count, before))
             first = np.searchsorted(before, starts)
             some = np.flatnonzero(np.diff(first))
-            best[some] += np.maximum.reduceat(words, first[some])
+            value = windows(np.add.reduceat(total, before), np.add.reduceat(count, before), first)
+            best[some] += np.maximum.reduceat(value, first[some])
         return 1 / (1 + np.exp(-np.clip(best, -40, 40)))
 
 
-def train(texts: list[str], labels: np.ndarray, dim: int = 8, epochs: int = 120, rate: float = 0.4, seed: int = 7) -> ToxicityModel:
-    """Fit vectors and softmax by the worst word of each document."""
-    labels = np.asarray(labels, float)
-    if len(labels) == 0 or labels.min() == labels.max():
-        share = float(labels.mean()) if len(labels) else 0.0
-        return ToxicityModel(np.zeros(BUCKETS, np.float32), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
+def windows(total: np.ndarray, count: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The average n-gram of the window that starts at each word: from sums and counts of each
+    word's n-grams, and the first word of each text (and the total)."""
+    n = np.diff(first)
+    end = np.minimum(np.arange(len(total)) + WINDOW_WORDS, np.repeat(first[1:], n))
+    # a text's last windows are its last whole one, so that a window is short only in a short text
+    start = np.maximum(np.repeat(first[:-1], n), np.minimum(np.arange(len(total)), end - WINDOW_WORDS))
+    s, c = np.concatenate([[0.0], np.cumsum(total)]), np.concatenate([[0.0], np.cumsum(count)])
+    return (s[end] - s[start]) / np.maximum(1, c[end] - c[start])
+
+
+def _bags(texts: list[str]):
+    """Of each text its words, in order; of each distinct word its n-gram buckets."""
     words: dict[bytes, int] = {}
-    bags: list[np.ndarray] = []
+    order, first = [], [0]
     for text in texts:
         data, _ = joined(pa.array([text], pa.large_string()))
         raw = np.where(_ENDS[data], np.uint8(32), data).tobytes()
-        bags.append(np.fromiter({words.setdefault(w, len(words)) for w in raw.split()}, np.int64))
-    kept = [i for i, b in enumerate(bags) if len(b)]
-    bags, y = [bags[i] for i in kept], labels[kept]
-    first = np.cumsum([0, *map(len, bags)])
-    bag = np.concatenate(bags) if bags else np.zeros(0, np.int64)
+        order.append(np.fromiter((words.setdefault(w, len(words)) for w in raw.split()), np.int64))
+        first.append(first[-1] + len(order[-1]))
     data = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8)
     before, _, made = grams(data)
     where = np.concatenate([np.flatnonzero(there) for _, there in made])
     ids = np.concatenate([bucket[there] for bucket, there in made])
     word = np.searchsorted(before, where, "right") - 1
-    order = np.argsort(word, kind="stable")
-    ids, word = ids[order].astype(np.int32), word[order].astype(np.int32)
-    del order, where, made
-    gram_at = np.searchsorted(word, np.arange(len(words) + 1))
-    length = np.diff(gram_at)
-
-    # the first coordinate starts at the smoothed log odds of the words that hold an n-gram
-    doc = np.repeat(np.arange(len(bags)), np.diff(first))
-    pos = np.bincount(bag, y[doc], len(words))
-    neg = np.bincount(bag, 1 - y[doc], len(words))
-    ps, ns = np.bincount(ids, pos[word], BUCKETS), np.bincount(ids, neg[word], BUCKETS)
-    odds = np.log((ps + 1) / (y.sum() + 2)) - np.log((ns + 1) / ((1 - y).sum() + 2))
-    odds *= (ps + ns) / (ps + ns + 5)
+    placed = np.argsort(word, kind="stable")
+    at = np.searchsorted(word[placed], np.arange(len(words) + 1))
+    return np.concatenate(order), np.array(first), ids[placed].astype(np.int64), at
+
+
+def train(texts: list[str], labels: np.ndarray, dim: int = 8, epochs: tuple[int, int] = (30, 80), rate: float = 0.5, seed: int = 7) -> ToxicityModel:
+    """Fit random n-gram vectors and a random softmax together, by gradients of the document labels.
+
+    In the first epochs a document is the average of all its n-grams, in the others that of its
+    most toxic window, each time leaving out a random part of them.
+    """
+    labels = np.asarray(labels, float)
+    if len(labels) == 0 or labels.min() == labels.max():
+        share = float(labels.mean()) if len(labels) else 0.0
+        return ToxicityModel(np.zeros(BUCKETS), float(np.log((share + 1e-3) / (1 - share + 1e-3))))
+    kept = [i for i, t in enumerate(texts) if t.strip(_END_SIGNS)]
+    y = labels[kept]
     rng = np.random.default_rng(seed)
-    vectors = rng.normal(0, 0.05, (BUCKETS, dim))
-    vectors[:, 0] = odds
-    softmax = rng.normal(0, 0.05, (dim, 2))
-    softmax[0] = (-1.0, 1.0)
-    bias = np.array([1.5, -1.5])
-    seen_v, seen_s, seen_b = np.full(BUCKETS, 0.1), np.full_like(softmax, 0.1), np.full(2, 0.1)
-    weight = np.where(y > 0, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
-    for _ in range(epochs):
-        one = vectors @ (softmax[:, 1] - softmax[:, 0])
-        by_word = np.add.reduceat(one[ids], gram_at[:-1]) / length
-        values = by_word[bag]
-        top = np.maximum.reduceat(values, first[:-1])
-        hit = np.flatnonzero(values == np.repeat(top, np.diff(first)))
-        hit = hit[np.unique(doc[hit], return_index=True)[1]]
-        worst = bag[hit]
-        # gradients of the mean of the worst words' n-grams, the softmax and the bias; a random
-        # part of the n-grams is left out, so that no word hangs on a few of them
-        spans = np.repeat(gram_at[worst] - np.cumsum(length[worst]) + length[worst], length[worst]) + np.arange(length[worst].sum())
-        owner = np.repeat(np.arange(len(worst)), length[worst])
-        left = rng.random(len(spans)) < KEPT_GRAMS
-        spans, owner = spans[left], owner[left]
-        size = np.maximum(1, np.bincount(owner, minlength=len(worst)))
-        flat_ids = ids[spans]
-        means = np.stack([np.bincount(owner, vectors[flat_ids, k], len(worst)) for k in range(dim)], 1) / size[:, None]
-        p = 1 / (1 + np.exp(-np.clip(means @ (softmax[:, 1] - softmax[:, 0]) + bias[1] - bias[0], -40, 40)))
-        g = (p - y) * weight / len(y) * 50
-        share = (g / size)[owner]
-        towards = softmax[:, 1] - softmax[:, 0]
-        touched, inverse = np.unique(flat_ids, return_inverse=True)
-        g_vectors = np.bincount(inverse, share)[:, None] * towards
-        g_softmax = np.outer(means.T @ g, [-1.0, 1.0])
-        g_bias = np.array([-g.sum(), g.sum()])
+    vectors, softmax, bias = rng.normal(0, 0.1, (BUCKETS, dim)), rng.normal(0, 0.1, (dim, 2)), np.zeros(2)
+    if not kept:
+        return ToxicityModel(np.zeros(BUCKETS), float(np.log(labels.mean() / (1 - labels.mean()))))
+    token, first, ids, at = _bags([texts[i] for i in kept])
+    word = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    doc = np.repeat(np.arange(len(kept)), np.diff(first))
+    count = np.diff(at).astype(float)
+    whole = np.add.reduceat(count[token], first[:-1])
+    weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    seen_v, seen_s, seen_b = np.full(BUCKETS, 1e-6), np.full_like(softmax, 1e-6), np.full(2, 1e-6)
+    for epoch in range(sum(epochs)):
+        toward = softmax[:, 1] - softmax[:, 0]
+        one = (vectors @ toward)[ids]
+        if epoch < epochs[0]:
+            logit = np.add.reduceat(np.add.reduceat(one, at[:-1])[token], first[:-1]) / whole
+            per_doc = _slope(logit + bias[1] - bias[0], y) * weight
+            per_word = np.bincount(token, (per_doc / whole)[doc], len(count))
+            slope = np.bincount(ids, per_word[word], BUCKETS)
+        else:
+            left = rng.random(len(ids)) < KEPT_GRAMS
+            some = np.add.reduceat(left.astype(float), at[:-1])
+            value = windows(np.add.reduceat(one * left, at[:-1])[token], some[token], first)
+            top = np.maximum.reduceat(value, first[:-1])
+            hit = np.flatnonzero(value == np.repeat(top, np.diff(first)))
+            hit = hit[np.unique(doc[hit], return_index=True)[1]]
+            per_doc = _slope(top + bias[1] - bias[0], y) * weight
+            # the window's tokens, and then their n-grams
+            start = np.maximum(first[:-1], np.minimum(hit, first[1:] - WINDOW_WORDS))
+            many = np.minimum(WINDOW_WORDS, first[1:] - start)
+            place, owner = _spread(start, many), np.repeat(np.arange(len(hit)), many)
+            size = np.maximum(1, np.bincount(owner, some[token[place]], len(hit)))
+            per_word = np.bincount(token[place], (per_doc / size)[owner], len(count))
+            slope = np.bincount(ids, per_word[word] * left, BUCKETS)
+        # both layers from the slope of the loss by each bucket's share
+        g_softmax = np.outer(vectors.T @ slope, [-1.0, 1.0])
+        touched = np.flatnonzero(slope)
+        g_vectors = slope[touched, None] * toward
         seen_v[touched] += (g_vectors**2).mean(1)
         vectors[touched] -= rate * g_vectors / np.sqrt(seen_v[touched])[:, None]
         seen_s += g_softmax**2
         softmax -= rate * 0.1 * g_softmax / np.sqrt(seen_s)
+        extra = per_doc.sum() + EMPTY * _slope(bias[1] - bias[0], 0.0)
+        g_bias = np.array([-extra, extra])
         seen_b += g_bias**2
-        bias -= rate * 0.3 * g_bias / np.sqrt(seen_b)
-    return ToxicityModel((vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+        bias -= rate * g_bias / np.sqrt(seen_b)
+    return ToxicityModel(vectors @ (softmax[:, 1] - softmax[:, 0]), float(bias[1] - bias[0]))
+
+
+def _slope(logit: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(logit, -40, 40))) - y
+
+
+def _spread(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... many[0] numbers, then the same of the next."""
+    return np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", held_out_fold: int | None = 2, folds: int = 4, max_per_class: int = 1500, max_train_chars: int = 20_000) -> ToxicityModel:
@@ -200,7 +232,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", score_col: str = "score", keep=None) -> DataFrame:
     """Adds the toxic share of each whole text, from the text alone."""
     bounded_batches(docs.sparkSession)
-    names = [c for c in (keep if keep is not None else docs.columns) if c != score_col]
+    names = [c for c in (keep if keep is not None else docs.columns) if c.lower() != score_col.lower()]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = T.StructType([docs.schema[c] for c in names] + [T.StructField(score_col, T.DoubleType())])
     position = docs.columns.index(text_col)

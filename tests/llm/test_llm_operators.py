@@ -122,13 +122,40 @@ def test_toxicity_and_misspellings():
             words[rng.randrange(len(words))] = rng.choice(["horrible", "terrible", "wretched"])
         texts.append(" ".join(words))
         labels.append(int(i % 3 == 0))
-    model = toxicity.train(texts, np.array(labels), epochs=60)
+    model = toxicity.train(texts, np.array(labels))
     score = model.score(pa.array([*texts, None, "", "ne ba WRETCHED, lu", "ne wretchedd lu", "...", "x" * 100_000]))
     assert ((score[:300] >= 0.3) == np.array(labels)).mean() > 0.98
     assert score[300] == score[301] == score[304] and score[300] < 0.3 < score[302]
     assert score[303] > score[300] and np.isfinite(score).all()
     alone = [float(model.score(pa.array([t]))[0]) for t in texts[:20]]
-    assert np.allclose(alone, score[:20], atol=1e-5)
+    assert np.allclose(alone, score[:20], atol=1e-9)
+    # without training the random vectors know nothing
+    y = np.array(labels)
+    auc = lambda s: (s[y == 1][:, None] > s[y == 0][None]).mean()
+    assert auc(score[:300]) > 0.98
+    assert abs(np.mean([auc(toxicity.train(texts, y, epochs=(0, 0), seed=k).score(pa.array(texts))) for k in range(6)]) - 0.5) < 0.15
+
+
+def test_toxicity_scores_against_a_loop_over_words():
+    rng = np.random.default_rng(4)
+    model = toxicity.ToxicityModel(rng.normal(0, 1, toxicity.BUCKETS), -0.5)
+
+    def bucket(gram):
+        h = np.array([gram[0]], np.uint32)
+        for c in gram[1:]:
+            h = (h * np.uint32(16777619)) ^ np.uint32(c)
+        h = (h ^ (h >> np.uint32(15)) ^ np.uint32(len(gram) * 0x9E3779B1 & 0xFFFFFFFF)) * np.uint32(2654435761)
+        return int(h[0] >> np.uint32(15))
+
+    def slow(text):
+        words = [b" " + w + b" " for w in "".join(" " if c in toxicity._END_SIGNS else c for c in text.lower()).encode().split(b" ") if w]
+        grams = [[bucket(w[i : i + n]) for n in toxicity.LENGTHS for i in range(len(w) - n + 1)] for w in words]
+        last = max(1, len(grams) - toxicity.WINDOW_WORDS + 1)
+        bags = [sum(grams[i : i + toxicity.WINDOW_WORDS], []) for i in range(last)] if grams else []
+        return 1 / (1 + np.exp(0.5 - max((np.mean(model.weights[b]) if b else 0.0 for b in bags), default=0.0)))
+
+    texts = ["One two three four five six", "a", "", " . ", "é ü word", "some (bracketed) [words], and \"more\"; of them. " * 3]
+    assert np.allclose(model.score(pa.array(texts)), [slow(t) for t in texts])
 
 
 def test_toxicity_frames(spark):
@@ -140,6 +167,8 @@ def test_toxicity_frames(spark):
     labels = spark.createDataFrame([(1, 0, 1), (1, 0, 0), (4, 1, None), (None, 1, 1), (7, 1, 0), (5, 0, 0)], "doc_id bigint, quality int, toxic int")
     assert toxicity.score(rows, toxicity.fit(rows, labels, held_out_fold=None)).count() == len(MIXED)
     assert toxicity.score(docs(spark, []), model).count() == 0
+    clash = toxicity.score(rows.withColumn("Score", F.lit("x")), model)
+    assert clash.columns.count("score") == 1 and "Score" not in clash.columns and clash.select("score").distinct().count() == 1
 
 
 def test_language(spark):

@@ -4,7 +4,8 @@ States emit symbols: each of the ``OWN`` most frequent words is a symbol, every
 of ``CLASSES`` ending classes, and a text's end is a symbol too. Within its class a word has the
 probability (c + 1) / (C + V + 1) by its count c, the class's words C and distinct words V, so
 the model is a probability of the text itself. An iteration runs the scaled forward-backward
-recursions over all training texts, sums expected counts across partitions, and re-estimates.
+recursions over all training texts, each as one whole sequence, sums expected counts across
+partitions, and re-estimates.
 Scoring runs the scaled forward recursion over each whole text: its likelihood is exact.
 
 Counts cover every training word. The ``DICTIONARY`` most frequent ones, a fixed number, travel to
@@ -29,7 +30,7 @@ from .textbytes import LOWER, flat, mix64, slices, word_hashes, word_spans
 from .workspace import bounded_batches, column, crc_fold, materialize
 
 STATES, ITERATIONS, OWN, CLASSES, DICTIONARY = 8, 6, 16_384, 128, 1 << 18
-#: Tokens of a training stretch (beside one of context), stretches that are computed together, weight of the unigram prior.
+#: Tokens of a stretch, stretches that are computed together, weight of the unigram prior.
 STRETCH, TOGETHER, PRIOR = 64, 4096, 20.0
 #: Bytes of text that are tokenised together.
 SLICE = 4 << 20
@@ -159,48 +160,113 @@ def initial(v: Vocabulary, states: int = STATES, seed: int = 11) -> Parameters:
     return Parameters(np.full(states, 1 / states), move, emit / emit.sum(0))
 
 
-def expect(obs: np.ndarray, lengths: np.ndarray, p: Parameters, into: list[np.ndarray], later: np.ndarray | None = None) -> float:
-    """Adds the expected starts, moves and emissions of padded rows of symbols; returns the
-    natural log likelihood. ``obs`` is (steps, rows), sorted by length, longest first. The first
-    symbol of a ``later`` row is only the context of what follows: it comes from the moves' long
-    run, is no start, and its emission belongs to another row."""
+def _live(lengths: np.ndarray, steps: int) -> np.ndarray:
+    """Rows longer than each step, of rows sorted by length, longest first."""
+    return np.searchsorted(-lengths, -np.arange(steps), "left")
+
+
+def transfer(obs: np.ndarray, lengths: np.ndarray, starts: np.ndarray, p: Parameters) -> np.ndarray:
+    """(rows, states, states): what each stretch makes of the state before it, up to a factor.
+
+    ``obs`` is (steps, rows) of symbols, longest first. Stretches that start a text are not moved
+    into: the state before them is the start distribution.
+    """
+    k = len(p.start)
+    out = np.where(starts[:, None, None], np.eye(k), p.move)
+    for t, n in enumerate(_live(lengths, len(obs))):
+        a = out[:n] if t == 0 else (out[:n].reshape(-1, k) @ p.move).reshape(n, k, k)
+        a = a * p.emit[obs[t, :n]][:, None, :]
+        out[:n] = a / a.max((1, 2))[:, None, None]
+    return out
+
+
+def carried(moves: np.ndarray, first: np.ndarray, p: Parameters) -> tuple[np.ndarray, np.ndarray]:
+    """The state before each stretch, and the likelihood of what follows it by the state at its end
+    (up to a factor), for texts whose stretches are first[i] to first[i + 1]."""
+    before, after = np.empty((len(moves), len(p.start))), np.ones((len(moves), len(p.start)))
+    count = np.diff(first)
+    order = np.argsort(-count, kind="stable")
+    begin, count = first[:-1][order], count[order]
+    live = _live(count, int(count[0]) if len(count) else 0)
+    now = np.tile(p.start, (len(order), 1))
+    for j, n in enumerate(live):
+        at = begin[:n] + j
+        before[at] = now[:n]
+        now = np.einsum("ni,nij->nj", now[:n], moves[at])
+        now /= now.sum(1, keepdims=True)
+    for j in range(len(live) - 1, 0, -1):
+        at = begin[: live[j]] + j
+        back = np.einsum("nij,nj->ni", moves[at], after[at])
+        after[at - 1] = back / back.max(1, keepdims=True)
+    return before, after
+
+
+def expect(obs: np.ndarray, lengths: np.ndarray, starts: np.ndarray, before: np.ndarray, after: np.ndarray, p: Parameters, into: list[np.ndarray]) -> float:
+    """Adds the expected starts, moves and emissions of stretches of symbols, given what comes
+    before and after them in their texts; returns the natural log likelihood."""
     steps, k = len(obs), len(p.start)
-    live = np.searchsorted(-lengths, -np.arange(steps), "left")  # rows longer than t
+    live = _live(lengths, steps)
     alpha, scale, emitted, total = [], [], [], 0.0
-    later = np.zeros(obs.shape[1], bool) if later is None else later
-    start = np.where(later[:, None], np.linalg.matrix_power(p.move, 1024).mean(0), p.start)
     for t in range(steps):
         n = live[t]
         e = p.emit[obs[t, :n]]
-        a = (start if t == 0 else alpha[-1][:n] @ p.move) * e
+        moved = (before if t == 0 else alpha[-1][:n]) @ p.move
+        a = (np.where(starts[:, None], before, moved) if t == 0 else moved) * e
         s = a.sum(1)
         a /= s[:, None]
-        total += np.log(s[~later] if t == 0 else s).sum()
+        total += np.log(s).sum()
         alpha.append(a)
         scale.append(s)
         emitted.append(e)
-    beta = np.zeros((0, k))
     gamma = np.zeros((steps, obs.shape[1], k))
+    beta = np.zeros((0, k))
     for t in range(steps - 1, -1, -1):
-        n = live[t]
-        if len(beta):
-            m = len(beta)
+        n, m = live[t], len(beta)
+        back = after[:n].copy()
+        back[m:] /= (alpha[t][m:] * back[m:]).sum(1, keepdims=True)  # these end here
+        if m:
             ahead = beta * emitted[t + 1] / scale[t + 1][:, None]
             into[1] += p.move * (alpha[t][:m].T @ ahead)
-            back = np.ones((n, k))
             back[:m] = ahead @ p.move.T
-        else:
-            back = np.ones((n, k))
         gamma[t, :n] = alpha[t] * back
         beta = back
-    gamma[0, later] = 0
-    into[0] += gamma[0].sum(0)
+    entered = ~starts
+    into[1] += p.move * (before[entered].T @ (beta * emitted[0] / scale[0][:, None])[entered])
+    into[0] += gamma[0, starts].sum(0)
     flat_obs, weights = obs.ravel(), gamma.reshape(-1, k)
     for j in range(k):
         into[2][:, j] += np.bincount(flat_obs, weights[:, j], len(into[2]))
     return total
 
 
+def expect_texts(codes: np.ndarray, at: np.ndarray, p: Parameters, into: list[np.ndarray]) -> float:
+    """``expect`` of whole texts codes[at[i]:at[i + 1]], none of them empty.
+
+    A text is cut into stretches that are computed side by side. First what each makes of any
+    state, then the states between them from end to end, then the expectations inside, so that the
+    sums are those of the recursions over the whole text, however long it is.
+    """
+    size = np.diff(at)
+    count = -(-size // STRETCH)
+    first = np.concatenate([[0], np.cumsum(count)])
+    owner = np.repeat(np.arange(len(size)), count)
+    start = at[owner] + (np.arange(len(owner)) - first[:-1][owner]) * STRETCH
+    length = np.minimum(STRETCH, at[owner + 1] - start)
+    starts = start == at[owner]
+    order = np.argsort(-length, kind="stable")
+    groups = [order[i : i + TOGETHER] for i in range(0, len(order), TOGETHER)]
+
+    def symbols(o: np.ndarray) -> np.ndarray:
+        steps = np.arange(length[o[0]])[:, None]
+        return np.where(steps < length[o][None, :], codes[np.minimum(start[o][None, :] + steps, len(codes) - 1)], 0)
+
+    moves = np.empty((len(owner), len(p.start), len(p.start)))
+    for o in groups:
+        moves[o] = transfer(symbols(o), length[o], starts[o], p)
+    before, after = carried(moves, first, p)
+    return sum(expect(symbols(o), length[o], starts[o], before[o], after[o], p, into) for o in groups)
+
+
 def _expectations(shared_p):
     def run(batches):
         p: Parameters = shared_p.value
@@ -209,20 +275,7 @@ def _expectations(shared_p):
         total = 0.0
         for batch in batches:
             data, offsets = _binary(batch.column(0))
-            codes, at = data.view("<u2"), offsets // 2
-            size = np.diff(at)
-            count = -(-size // STRETCH)
-            owner = np.repeat(np.arange(len(size)), count)
-            start = at[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)) * STRETCH
-            later = start > at[owner]  # these begin with the token before them
-            length = np.minimum(STRETCH, at[owner + 1] - start) + later
-            start = start - later
-            order = np.argsort(-length, kind="stable")
-            for i in range(0, len(order), TOGETHER):
-                o = order[i : i + TOGETHER]
-                place = start[o][None, :] + np.arange(length[o[0]])[:, None]
-                obs = np.where(np.arange(length[o[0]])[:, None] < length[o][None, :], codes[np.minimum(place, len(codes) - 1)], 0)
-                total += expect(obs, length[o], p, into, later[o])
+            total += expect_texts(data.view("<u2"), offsets // 2, p, into)
         rows = np.concatenate([into[0][None], into[1], into[2], np.full((1, k), total / k)])
         used = np.flatnonzero(rows.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int64))] + [pa.array(rows[used, j]) for j in range(k)], names=["row", *[f"s{j}" for j in range(k)]])

@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -285,11 +286,7 @@ def test_forward_is_exact():
         total = sum(np.prod([p.start[s[0]]] + [p.move[a, b] for a, b in itertools.pairwise(s)] + [p.emit[o, x] for o, x in zip(seq, s, strict=True)]) for s in itertools.product(range(k), repeat=len(seq)))
         assert got == pytest.approx(np.log(total))
     into = [np.zeros(k), np.zeros((k, k)), np.zeros((n, k))]
-    lengths = np.array([4, 3, 1])
-    obs = np.zeros((4, 3), int)
-    for j, seq in enumerate([seqs[2], seqs[1], seqs[0]]):
-        obs[: len(seq), j] = seq
-    assert hmm.expect(obs, lengths, p, into) == pytest.approx(hmm.log_likelihood(codes, at, p).sum())
+    assert hmm.expect_texts(codes.astype(np.int64), at, p, into) == pytest.approx(hmm.log_likelihood(codes, at, p).sum())
     assert into[0].sum() == pytest.approx(3) and into[1].sum() == pytest.approx(5) and into[2].sum() == pytest.approx(8)
 
 
@@ -305,6 +302,46 @@ def test_language_model_edges(spark, monkeypatch):
     assert {r["id"]: (r["n_known"], round(r["base_score"], 6)) for r in hmm.score(texts, iterations=1, states=2).collect()} == base
 
 
+def test_the_score_is_the_log_probability_of_the_text(spark, monkeypatch):
+    """Forward sums over symbols, class terms and words beyond the dictionary, one text at a time."""
+    import re
+    from collections import Counter
+
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta,", "gam", "dé"]) + (str(rng.randrange(30)) if rng.random() < 0.5 else "") for _ in range(rng.randrange(0, 40))), None) for i in range(60)]
+    monkeypatch.setattr(hmm, "DICTIONARY", 6)
+    monkeypatch.setattr(hmm, "OWN", 3)
+    kept = {}
+    plain = hmm.baum_welch
+    monkeypatch.setattr(hmm, "baum_welch", lambda encoded, v, *more: kept.setdefault("p", (plain(encoded, v, *more), v))[0])
+    got = {r["id"]: r["score"] for r in hmm.score(docs(spark, rows), iterations=2, states=3).collect()}
+    p, v = kept["p"]
+    words = {i: re.findall(r"[^ ]+", t.lower()) for i, t, _ in rows}
+    train = [w for i, ws in words.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws]
+    count = Counter(train)
+    coded = {}
+    for w in {w for ws in words.values() for w in ws}:
+        ((_, _, h, g),) = hmm.tokens(pa.array([w]))
+        coded[w] = (int(h[0]), int(g[0]))
+    own = [w for w in count if v.look_up(np.array([coded[w][0]]))[2][0] >= 0]
+    assert len(own) == 3 and min(count[w] for w in own) >= max(count[w] for w in count if w not in own)
+    group = {g: [w for w in count if w not in own and coded[w][1] == g] for g in range(hmm.CLASSES)}
+    for i, ws in words.items():
+        total = 0.0
+        codes = []
+        for w in ws:
+            h, g = coded[w]
+            if w in own:
+                codes.append(int(v.look_up(np.array([h]))[2][0]))
+            else:
+                codes.append(3 + g)
+                total += np.log10((count[w] + 1) / (sum(count[x] for x in group[g]) + len(group[g]) + 1))
+        a = p.start * p.emit[[*codes, v.end][0]]
+        for c in [*codes, v.end][1:]:
+            a = (a @ p.move) * p.emit[c]
+        assert got[i] == pytest.approx(total + np.log10(a.sum()), rel=1e-9)
+
+
 # --- 5 vectors
 
 

@@ -7,7 +7,9 @@ parts, joined, are those of the whole. A stretch without such a blank is matched
 engine that does not recurse, match by match.
 
 Defined results: a null text counts as empty and has no ids; decoding gives the bytes of the
-text, whether or not they are valid UTF-8 at the cuts; repeated rows are encoded each.
+text, whether or not they are valid UTF-8 at the cuts; repeated rows are encoded each; an empty
+table gives no rows; columns of the results' names are replaced by them, others stay (``digests``
+returns its own only).
 """
 
 from __future__ import annotations

@@ -11,7 +11,11 @@ conversation of any length needs no more memory than its longest turn (a digest
 conversation is sequential by definition, so its rows do meet in one task).
 
 Defined results: a null text is empty, a null role is the empty role, equal turn numbers are
-ordered by role and text, null turn numbers come first, repeated rows are turns of their own.
+ordered by role and text as they were before escaping, null turn numbers come first, repeated rows
+are turns of their own, null conversation ids are one conversation, an empty table gives no rows;
+a text of any length is one row and is held whole; a part of unknown type is an error that names
+it, since a turn without it would be another turn; further columns, whatever their names, are not
+looked at.
 """
 
 from __future__ import annotations
@@ -182,10 +186,20 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if rows:
             yield _batch(rows)
 
-    placed = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "formatted")
+    # the first colon ends the role, as those inside it are escaped
+    role = F.substring_index(F.expr(f"substring(formatted, {len(TURN_OPEN) + 1})"), ":", 1)
+    body = F.expr(f"substring(formatted, {len(TURN_OPEN) + len(ROLE_END) + 1} + length(role), length(formatted) - length(role) - {len(TURN_OPEN) + len(ROLE_END) + len(TURN_CLOSE)})")
+    placed = formatted.select("conv_id", "turn", "formatted").repartition("conv_id").withColumn("role", role)
+    placed = placed.sortWithinPartitions("conv_id", "turn", _unescaped(F.col("role")), _unescaped(body))
     return placed.select("conv_id", "formatted").mapInArrow(run, READ)
 
 
+def _unescaped(text: Column) -> Column:
+    """``unescape`` as a column: escaped backslashes part what holds other escapes only."""
+    piece = lambda x: F.replace(F.replace(F.replace(x, F.lit("\\h"), F.lit("#")), F.lit("\\l"), F.lit("<")), F.lit("\\c"), F.lit(":"))
+    return F.array_join(F.transform(F.split(text, r"\\\\"), piece), "\\")
+
+
 def _batch(rows) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
     names = [x.split()[0] for x in READ.split(", ")]

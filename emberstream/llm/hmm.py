@@ -14,7 +14,9 @@ known by a 64-bit hash of their bytes.
 
 Defined results: null and empty texts are one end; words in no training text have count 0; rows
 with equal ids are texts of their own; with no training text every word has probability 1 / 2 or
-less by the same formulas; an empty table gives no rows.
+less by the same formulas; an empty table gives no rows; texts of any length are whole sequences;
+further columns, whatever their names, are not looked at. Where more than ``DICTIONARY`` words share
+the highest count none travels and all are joined, with the same result.
 """
 
 from __future__ import annotations

@@ -9,7 +9,10 @@ The network is fitted on windows of a bounded sample of labelled rows (``max_per
 language, the first by a digest of the id). Labels, source and id are never inputs.
 
 Defined results: ``und`` with score 0 for null texts and texts without a letter; a text without a
-learned language (no training rows) is ``und`` too.
+learned language (no training rows) is ``und`` too; ties go to the first language in code-point
+order; rows that repeat are predicted alike, each, and may repeat in the sample; an empty table
+gives no rows; texts of any length are predicted whole; columns of the results' names (in any
+case) are replaced by them, other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -177,7 +180,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", lang_
     """Adds the predicted language and its share, from the text alone."""
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in (keep if keep is not None else docs.columns) if c not in (lang_out, score_out)]
+    names = [c for c in (keep if keep is not None else docs.columns) if c.lower() not in (lang_out.lower(), score_out.lower())]
     places = [docs.columns.index(c) for c in names]
     text_at = docs.columns.index(text_col)
     fields = T.StructType([docs.schema[c] for c in names] + [T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType())])

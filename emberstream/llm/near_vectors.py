@@ -11,7 +11,8 @@ spanning forest, never its pairs.
 Defined results: vectors that are null, zero, or hold null or non-finite components, null labels
 and null ids link with nothing; vectors of different dimensions are not linked; every row is
 returned; rows of one id, label and components are one vector to the others, rows of one id that
-differ are vectors of their own that do not link with each other; an empty table gives no rows.
+differ are vectors of their own that do not link with each other; an empty table gives no rows;
+further columns, whatever their names, are not looked at.
 """
 
 from __future__ import annotations
@@ -38,7 +39,12 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def links(x: np.ndarray, y: np.ndarray, threshold: float, rows: int = 256):
-    """Yields (i, j) index arrays of the pairs with cosine >= threshold, for rows of x and y."""
+    """Yields (i, j) index arrays of the pairs with cosine >= threshold, for rows of x and y.
+
+    Rows are first divided by a power of two near their largest component, which changes no digit
+    and keeps squares of very large and very small components in range.
+    """
+    x, y = (np.ldexp(z, -np.frexp(np.abs(z).max(1))[1][:, None]) for z in (x, y))
     nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     qx, sx, _, ex = quantise(x / nx[:, None])
     qy, sy, my, ey = quantise(y / ny[:, None])

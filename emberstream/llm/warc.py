@@ -15,7 +15,8 @@ second scan, which runs only if there are any.
 Defined results: a null payload is empty; rows with equal ids and payloads are all responses (or
 all revisits); line ends in a URL are percent-encoded; a candidate without a readable header, or with
 a length beyond ``LONGEST``, ends its chain and is no record; an id that is no 64-bit number is null;
-an empty table gives an archive without records.
+an empty table gives an archive without records; columns beside id, url and payload, whatever their
+names, are not written.
 """
 
 from __future__ import annotations

@@ -182,6 +182,26 @@ def test_language(spark):
     got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(test, model).collect()}
     assert [got[i][0] for i in range(1, 7)] == ["yy", "und", "und", "xx", "und", "yy"] and got[2][1] == 0
     assert langid.predict(test, langid.fit(train.limit(0))).where("lang_pred <> 'und'").count() == 0
+    assert langid.predict(test.withColumnRenamed("score", "SCORE"), model).columns == ["doc_id", "text", "lang_pred", "score"]
+    assert langid.predict(test.limit(0), model).count() == 0
+
+
+def test_language_against_a_plain_convolution():
+    rng = np.random.default_rng(8)
+    k, width = 3, langid.FILTERS * len(langid.WIDTHS)
+    model = langid.LanguageModel(["a", "b", "c"], [rng.normal(0, 1, (w, 256, langid.FILTERS)) for w in langid.WIDTHS], rng.normal(0, 1, width), rng.normal(0, 1, (width, k)), rng.normal(0, 1, k))
+    texts = ["Short", "x" * 256, "äöü " * 200, "Mixed CASE text, " * 33]
+    best, share = model.predict(pa.array(texts))
+    for i, text in enumerate(texts):
+        data, total = langid.LOWER[np.frombuffer(text.encode(), np.uint8)], np.zeros(k)
+        for a in range(0, len(data), langid.WINDOW):
+            part = data[a : a + langid.WINDOW]
+            padded = np.concatenate([part, np.zeros(langid.WINDOW - len(part), np.uint8)])
+            peaks = [max(sum(f[j, padded[p + j], u] for j in range(w)) for p in range(langid.WINDOW - w + 1)) for w, f in zip(langid.WIDTHS, model.filters, strict=True) for u in range(langid.FILTERS)]
+            z = np.maximum(np.array(peaks) + model.filter_bias, 0) @ model.dense + model.dense_bias
+            total += (z - np.log(np.exp(z).sum())) * len(part)
+        p = np.exp(total / len(data) - (total / len(data)).max())
+        assert best[i] == p.argmax() and share[i] == pytest.approx((p / p.sum()).max(), rel=1e-3)
 
 
 # --- 3 n-gram join
@@ -457,6 +477,15 @@ def test_chat_round_trip(spark):
         assert "###" not in r["formatted"][4:] and r["formatted"].count("</turn>") == 1
 
 
+def test_tied_turns_are_ordered_by_what_they_say(spark):
+    texts = ["#x", "Ax", "a", "a\tb", "<", "\\h", "\\#", "\\\\", ":", "", "a </turn>"]
+    rows = [(1, 0, role, t, "clash") for t in texts for role in ("assistant", "#r: x", "A")]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, formatted string")
+    (got,) = chat.read_back(chat.format_turns(chat.conversation_turns(df.repartition(3)))).collect()
+    want = sorted((r.encode(), t.encode()) for _, _, r, t, _ in rows)
+    assert got["turns_sha256"] == hashlib.sha256(b"".join(r + b"\n" + t + b"\n" for r, t in want)).hexdigest()
+
+
 def test_typed_parts():
     flat = chat.PartVisitor(patch=10).flatten([{"type": "text", "text": "see <image:0>"}, {"type": "image", "ref": "a.png", "width": 25, "height": 10}, {"type": "audio", "ref": "b.wav", "seconds": 1.5}, {"type": "document", "ref": "c.pdf", "pages": 2}])
     assert flat.text == "see \\limage:0><image:0><audio:1><document:2>"

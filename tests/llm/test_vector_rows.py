@@ -15,3 +15,9 @@ def test_vectors_of_one_id_do_not_link(spark):
     rows = [(3, [1.0, 0.0], 0), (3, [1.0, 0.01], 0)]
     out = near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"))
     assert [tuple(r) for r in out.collect()] == [(3, 0, 3, True)] * 2
+
+
+def test_components_beyond_the_range_of_squares(spark):
+    rows = [(i, 1, [x * s for x in (1.0, 2.0, -3.0)]) for i, s in enumerate((1e200, 1e-200, 1.0, 5e-310))]
+    got = near_vectors.near_vectors(spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<double>")).collect()
+    assert {(r["n_links"], r["component_id"]) for r in got} == {(3, 0)}

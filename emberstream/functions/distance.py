@@ -71,4 +71,4 @@ def vectorised(f: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Metric:
 
 def perturbation(idx: Column, magnitude: float, seed: int = 0) -> Column:
     """A small repeatable number in [0, magnitude) for each row, to order ties by."""
-    return F.lit(float(magnitude)) * F.pmod(idx * F.lit(7919) + F.lit(seed), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    return F.lit(float(magnitude)) * F.pmod(F.pmod(idx, F.lit(1_000_003)) * F.lit(7919) + F.lit(seed), F.lit(1_000_003)) / F.lit(1_000_003.0)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import materialize
+
 
 def three_sigma(scores: DataFrame, score: str = "score", sigmas: float = 3.0) -> DataFrame:
     """One row (threshold): mean + sigmas * population standard deviation."""
@@ -42,16 +44,16 @@ def adjusted_rand_index(df: DataFrame, truth: str, label: str) -> DataFrame:
 def roc_auc(df: DataFrame, truth: Column, score: str = "score") -> DataFrame:
     """One row (auc), by ranks with ties averaged.
 
-    Rows are first counted by score; the running sum is over distinct scores in slots of their
-    order, so that no single task sorts all rows.
+    Rows are first counted by score; distinct scores are range-partitioned by splitters that Spark
+    samples, summed inside their partition and added to the sums of the partitions before it, so
+    that no task holds more than its share, however the scores lie.
     """
     counts = df.groupBy(F.col(score).alias("s")).agg(F.sum(F.when(truth, 1.0).otherwise(0.0)).alias("pos"), F.count("*").cast("double").alias("n"))
-    edges = counts.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
-    slot = F.least(F.lit(1023), F.floor(F.coalesce((F.col("s") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)), F.lit(0.0)) * 1024)).cast("int")
-    placed = counts.crossJoin(F.broadcast(edges)).withColumn("slot", slot)
-    below = placed.groupBy("slot").agg(F.sum("n").alias("in_slot")).withColumn("below", F.sum("in_slot").over(Window.orderBy("slot")) - F.col("in_slot"))  # at most 1024 rows
-    inside = Window.partitionBy("slot").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = placed.join(F.broadcast(below.select("slot", "below")), "slot").withColumn("upto", F.col("below") + F.sum("n").over(inside))
+    placed = materialize(counts.repartitionByRange("s").withColumn("part", F.spark_partition_id()), "scores")
+    sums = placed.groupBy("part").agg(F.sum("n").alias("in_part"))
+    below = sums.select("part", (F.sum("in_part").over(Window.orderBy("part")) - F.col("in_part")).alias("below"))  # a row for each partition
+    inside = Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = placed.join(F.broadcast(below), "part").withColumn("upto", F.col("below") + F.sum("n").over(inside))
     rank = F.col("upto") - (F.col("n") - 1) / 2
     sums = ranked.agg(F.sum(F.col("pos") * rank).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
     return sums.select(((F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / F.nullif(F.col("p") * (F.col("n") - F.col("p")), F.lit(0.0))).alias("auc"))

@@ -2,31 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.scratch import materialize
+_HERE, _EDGE = 0, 1
+
+
+def _solve(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Components of one model: rows (kind, a, b) of its nodes and edges."""
+    table = pd.concat([*rows, pd.DataFrame({"kind": [], "a": [], "b": []}, dtype="int64")])
+    nodes = np.unique(table["a"][table["kind"] == _HERE].to_numpy(np.int64))
+    links = table[table["kind"] == _EDGE]
+    a, b = (np.searchsorted(nodes, links[c].to_numpy(np.int64)) for c in ("a", "b"))
+    label = np.arange(len(nodes))
+    while True:
+        before = label.copy()
+        np.minimum.at(label, a, label[b])
+        np.minimum.at(label, b, label[a])
+        label = label[label]
+        if (label == before).all():
+            break
+    yield pd.DataFrame({"oid": nodes, "component": nodes[label]})
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(oid, component): the smallest id of each connected set; nodes without edges are alone.
 
-    Rounds of taking the neighbours' least label and then the label of that label (pointer
-    jumping). Each round is written to the shared folder, which cuts the lineage.
+    Nodes are the observers of one model, a number that its capacity bounds and that does not grow
+    with the stream; nodes and edges of a model meet in one task, which solves them at once.
     """
-    both = materialize(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), "edges")
-    state = materialize(nodes.select("oid", F.col("oid").alias("component")), "labels")
-    for _ in range(max_rounds):
-        near = both.join(state.select(F.col("oid").alias("dst"), F.col("component").alias("other")), "dst").groupBy("src").agg(F.min("other").alias("other"))
-        low = state.join(near, state["oid"] == near["src"], "left").select("oid", "component", F.least("component", F.coalesce("other", "component")).alias("low"))
-        low = materialize(low, "labels")
-        jump = low.select(F.col("oid").alias("low"), F.col("low").alias("to"))
-        after = low.join(jump, "low").select("oid", F.col("to").alias("component"), (F.col("to") != F.col("component")).alias("moved"))
-        after = materialize(after, "labels")
-        state = after.select("oid", "component")
-        if after.where("moved").isEmpty():
-            return state
-    raise RuntimeError("components have not settled")
+    none = F.lit(0).cast("bigint").alias("b")
+    rows = nodes.select(F.lit(_HERE).alias("kind"), F.col("oid").cast("bigint").alias("a"), none)
+    rows = rows.unionByName(edges.select(F.lit(_EDGE).alias("kind"), F.col("src").cast("bigint").alias("a"), F.col("dst").cast("bigint").alias("b")))
+    return rows.coalesce(1).mapInPandas(_solve, "oid bigint, component bigint")
 
 
 def clusters(parts: DataFrame, min_size: int) -> DataFrame:

@@ -1,15 +1,16 @@
 """The clustering model: a bounded set of observers that fades, and scoring by it.
 
-State is at most ``k`` observers and small tables over them, written under a version number; a
-batch is sampled, counted, clustered and scored by joins with that bounded state. Distances are a
+State is at most ``k`` observers and small tables over them, which ``save`` writes as one row to a
+folder and ``load`` reads again; a batch is sampled, counted, clustered and scored by joins with that bounded state. Distances are a
 matrix per Arrow batch, of a built-in metric or of a function of one's own over arrays. Formulas that the reference only declares are this engine's own; see the README.
 """
 
 from __future__ import annotations
 
+import io
 import math
 from collections.abc import Callable
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields, replace
 
 import numpy as np
 import pandas as pd
@@ -19,6 +20,10 @@ from pyspark.sql import functions as F
 from ..functions.decay import fading
 from ..functions.distance import METRICS
 from ..plans.scratch import materialize
+from .sampling import MODULUS, STEP, rank_of
+
+#: The most observers that a model may have: its tables are held whole by the driver and each task.
+MOST_OBSERVERS = 20_000
 
 
 @dataclass(frozen=True)
@@ -48,6 +53,8 @@ class Parameters:
     def __post_init__(self):
         if self.k < 1 or self.x < 1 or self.e < 1 or self.T <= 0:
             raise ValueError("k, x and e are at least 1, T is positive")
+        if self.k > MOST_OBSERVERS:
+            raise ValueError(f"k is at most {MOST_OBSERVERS}")
         if not 0 <= self.idle_observers < 1 or not 0 <= self.zeta <= 1 or not 0 <= self.chi_prop <= 1:
             raise ValueError("idle_observers, zeta and chi_prop are shares")
         if self.distance == "minkowski" and self.p < 1:
@@ -159,6 +166,24 @@ class StreamClusterer:
         """A batch is scored by the model that already knows it."""
         return self.fit(points).predict(points)
 
+    # --- state that outlives the driver
+
+    def save(self, path: str) -> None:
+        """The state as one row of Parquet; of ``input_buffer`` only rows that were learned."""
+        data = io.BytesIO()
+        s = self.state or State.new()
+        np.savez(data, **{f.name: np.asarray(getattr(s, f.name)) for f in fields(s)}, there=self.state is not None)
+        self.spark.createDataFrame([(bytearray(data.getvalue()),)], "state binary").coalesce(1).write.mode("overwrite").parquet(path)
+
+    def load(self, path: str) -> StreamClusterer:
+        """The state that was saved there, instead of the own one."""
+        row = self.spark.read.schema("state binary").parquet(path).first()
+        with np.load(io.BytesIO(bytes(row["state"]))) as held:
+            made = {f.name: held[f.name] if held[f.name].ndim else held[f.name].item() for f in fields(State)}
+            self.state = State(**made) if held["there"] else None
+        self._waiting, self._waiting_rows = [], 0
+        return self
+
     # --- read-outs
 
     def observer_count(self) -> int:
@@ -190,7 +215,7 @@ class StreamClusterer:
         """Rows come in with probability k / T for each unit of time a row stands for; the first
         batch fills the model. At most k rows reach the driver."""
         p, first = self.params, self.state is None
-        rank = F.rand(p.seed) if p.random_sampling else F.pmod(F.col("idx") * 7919 + p.seed, F.lit(1_000_003)) / F.lit(1_000_003.0)
+        rank = F.rand(p.seed) if p.random_sampling else rank_of(F.col("idx"), p.seed) / F.lit(float(MODULUS))
         ranked = points.withColumn("r", rank)
         rate = min(1.0, p.k / p.T)
         rows = (ranked if first else ranked.where(F.col("r") < rate)).orderBy("r", "idx").limit(p.k).toPandas()
@@ -323,7 +348,7 @@ def _nearest(batch: pd.DataFrame, s: State, p: Parameters, act: np.ndarray, temp
     """Distances of a batch to the active observers, and the places of the nearest ``x``."""
     d = distances(np.stack(batch["features"].to_numpy()).astype(float), s.data[act], *named)
     if p.perturb:
-        d = d + p.perturb * ((s.oid[act] * 7919 + p.seed) % 1_000_003 / 1_000_003)[None]
+        d = d + p.perturb * ((s.oid[act] % MODULUS * STEP + p.seed) % MODULUS / MODULUS)[None]
     d[batch["idx"].to_numpy()[:, None] == s.oid[act][None]] = np.inf
     rank = d
     if temporal and p.freq_bins > 1:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import Metric, euclidean
+from .model import MOST_OBSERVERS, distances
 
 
 def nearest(points: DataFrame, observers: DataFrame, x: int, metric: Metric = euclidean, exclude_self: bool = True, eps: str | None = None) -> DataFrame:
@@ -14,6 +17,8 @@ def nearest(points: DataFrame, observers: DataFrame, x: int, metric: Metric = eu
     Observers are a model of bounded capacity, gathered into one row and broadcast; each point sorts its own distances in an
     array, so there is no shuffle. Ties are ordered by ``eps`` (if given) and the observer's id.
     """
+    if metric is euclidean and eps is None:
+        return _nearest_by_matrix(points, observers, x, exclude_self)
     model = observers.agg(F.collect_list(F.struct("oid", "features", *([eps] if eps else []))).alias("model"))
     own = points.select("idx", "t", "features").crossJoin(F.broadcast(model))
     others = F.filter("model", lambda o: o["oid"] != F.col("idx")) if exclude_self else F.col("model")
@@ -22,6 +27,31 @@ def nearest(points: DataFrame, observers: DataFrame, x: int, metric: Metric = eu
     return own.select("idx", "t", F.posexplode(top).alias("rk", "n")).select("idx", "t", F.col("n.oid").alias("oid"), F.col("n.key").alias("d"), (F.col("rk") + 1).alias("rk"))
 
 
+def _nearest_by_matrix(points: DataFrame, observers: DataFrame, x: int, exclude_self: bool) -> DataFrame:
+    """The same for the Euclidean metric: one matrix of distances for each Arrow batch."""
+    held = observers.select("oid", "features").orderBy("oid").limit(MOST_OBSERVERS + 1).toPandas()
+    if len(held) > MOST_OBSERVERS:
+        raise ValueError(f"a model has at most {MOST_OBSERVERS} observers")
+    ids = held["oid"].to_numpy(np.int64)
+    model = np.stack(held["features"].to_numpy()).astype(float) if len(held) else np.zeros((0, 0))
+    shared = points.sparkSession.sparkContext.broadcast((ids, model))
+
+    def run(batches):
+        oid, features = shared.value
+        for batch in batches:
+            if not len(batch) or not len(oid):
+                continue
+            d = np.round(distances(np.stack(batch["features"].to_numpy()).astype(float), features, "euclidean"), 9)
+            if exclude_self:
+                d[batch["idx"].to_numpy()[:, None] == oid[None]] = np.inf
+            order = np.argsort(d, axis=1, kind="stable")[:, :x]  # observers lie in the order of their ids
+            near = np.take_along_axis(d, order, 1)
+            row, rank = np.nonzero(np.isfinite(near))
+            yield pd.DataFrame({"idx": batch["idx"].to_numpy()[row], "t": batch["t"].to_numpy()[row], "oid": oid[order[row, rank]], "d": near[row, rank], "rk": (rank + 1).astype(np.int32)})
+
+    return points.select("idx", "t", "features").mapInPandas(run, "idx bigint, t double, oid bigint, d double, rk int")
+
+
 def pair_distances(observers: DataFrame, metric: Metric = euclidean) -> DataFrame:
     """(a, b, d) for ordered pairs of different observers of one bounded model."""
     a, b = observers.select(F.col("oid").alias("a"), F.col("features").alias("fa")), observers.select(F.col("oid").alias("b"), F.col("features").alias("fb"))

@@ -11,7 +11,7 @@ MODULUS, STEP = 1_000_003, 7919
 
 def rank_of(idx: Column, seed: int = 13) -> Column:
     """A repeatable pseudo-random number of a row, by integer arithmetic."""
-    return F.pmod(idx * F.lit(STEP) + F.lit(seed), F.lit(MODULUS))
+    return F.pmod(F.pmod(idx, F.lit(MODULUS)) * F.lit(STEP) + F.lit(seed), F.lit(MODULUS))
 
 
 def first_observers(points: DataFrame, k: int, seed: int = 13) -> DataFrame:

@@ -16,7 +16,7 @@ from ..operators import graph, neighbours, sampling, scoring
 from ..operators.model import StreamClusterer, TemporalStreamClusterer
 from ..sources import points as sources
 from ..streaming import runner
-from .scratch import scratch_root
+from .scratch import materialize, scratch_root
 
 K, X, CHI, ZETA, MIN_SIZE, HORIZON, IDLE, BLOCK, BUFFER = 100, 5, 3, 0.6, 2, 400.0, 0.3, 64, 10
 BINS, MAX_FREQ = 4, 0.1
@@ -27,11 +27,16 @@ class _Plan:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.points = sources.valid(sources.from_embeddings(spark, sf_dir))
-        self.observers = sampling.first_observers(self.points, K)
+        self.observers, self._near = sampling.first_observers(self.points, K), None
         self.now = self.points.agg(F.max("t").alias("now"))
 
     def near(self, observers: DataFrame | None = None) -> DataFrame:
-        return neighbours.nearest(self.points, self.observers if observers is None else observers, X)
+        """Written once: counts, scores and votes read the same neighbours."""
+        if observers is not None:
+            return materialize(neighbours.nearest(self.points, observers, X), "near")
+        if self._near is None:
+            self._near = materialize(neighbours.nearest(self.points, self.observers, X), "near")
+        return self._near
 
     def faded(self) -> DataFrame:
         return scoring.faded_observations(self.near(), self.now, HORIZON)
@@ -293,6 +298,31 @@ def streaming_fit_predict(spark, sf_dir):
     return spark.read.schema("idx bigint, label int, score double, batch int").parquet(f"{place}/scores").select("idx", "label", F.round("score", 6).alias("score"))
 
 
+def _events_csv(spark, sf_dir):
+    """The events as a file of the demonstration's form: (timestamp, f0, f1, label) with a header."""
+    rows = sources.from_events(spark, sf_dir)
+    place = f"{scratch_root(spark)}/csv-{uuid.uuid4().hex}"
+    kind = F.pmod(F.col("idx"), F.lit(3)).cast("int") - 1
+    rows.select(F.col("t").alias("timestamp"), F.round(F.col("features")[0], 6).alias("f0"), F.round(F.col("features")[1], 6).alias("f1"), kind.alias("label")).write.option("header", True).csv(place)
+    return sources.read_csv(spark, place)
+
+
+def csv_points(spark, sf_dir):
+    """Points of a CSV, numbered in the order of time."""
+    return _events_csv(spark, sf_dir).select("idx", F.round("t", 3).alias("t"), F.col("features")[0].alias("f0"), F.col("features")[1].alias("f1"), "label")
+
+
+def csv_fit_predict(spark, sf_dir):
+    """The demonstration: read a CSV, then fit and predict it block by block, oldest first."""
+    pts = materialize(sources.valid(_events_csv(spark, sf_dir), 2), "csv_points")
+    size = -(-pts.count() // 4)
+    model, out = StreamClusterer(spark, k=K, T=86400.0, x=X, chi_min=CHI, zeta=ZETA, e=MIN_SIZE), None
+    for block in range(4):
+        scored = model.fit_predict(pts.where(F.floor(F.col("idx") / F.lit(size)) == block))
+        out = scored if out is None else out.unionByName(scored)
+    return out.select("idx", "label", F.round("score", 6).alias("score"))
+
+
 _PTS = "pts AS (SELECT vec_id AS idx, CAST(vec_id AS DOUBLE) AS t, CAST(embedding AS DOUBLE[]) AS f, label AS truth FROM embeddings)"
 _OBS = f"obs AS (SELECT idx AS oid, t AS time_added, f FROM pts ORDER BY (idx * 7919 + 13) % 1000003, idx LIMIT {K})"
 _NOW = "now AS (SELECT max(t) AS now FROM pts)"
@@ -388,6 +418,9 @@ g AS (SELECT sum(rk) FILTER (pos) AS r, CAST(count(*) FILTER (pos) AS DOUBLE) AS
     "model_predict_only": (predict_only, None),
     "model_get_observers": (model_observers, None),
     "streaming_fit_predict": (streaming_fit_predict, None),
+    "csv_points": (csv_points, """SELECT row_number() OVER (ORDER BY t, f0, f1, label) - 1 AS idx, round(t, 3) AS t, f0, f1, label FROM (
+  SELECT epoch_us(ts) / CAST(1000000 AS DOUBLE) AS t, round(value / 100, 6) AS f0, round((epoch_us(ts) / CAST(1000000 AS DOUBLE)) % 86400 / 86400, 6) AS f1, CAST(event_id % 3 - 1 AS INTEGER) AS label FROM events)"""),
+    "csv_fit_predict": (csv_fit_predict, None),
 }
 
 

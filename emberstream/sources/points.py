@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.scratch import materialize
+
 #: What a CSV of the demonstration holds.
 CSV_SCHEMA = "timestamp double, f0 double, f1 double, label int"
 
@@ -25,10 +27,24 @@ def seconds(ts: Column) -> Column:
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """The demonstration's CSV: (timestamp, f0, f1, label) as points with a label.
 
-    Rows are numbered in the order of time, by an index that is stable for equal rows.
+    Rows are numbered in the order of time, then of their values; equal rows have numbers of their own.
+    """
+    df = numbered(spark.read.schema(CSV_SCHEMA).option("header", True).csv(path), ["timestamp", "f0", "f1", "label"])
+    return from_columns(df, F.col("idx"), F.col("timestamp"), [F.col("f0"), F.col("f1")], label=F.col("label"))
+
+
+def numbered(df: DataFrame, by: list[str], out: str = "idx") -> DataFrame:
+    """Rows with their number in the order of ``by``, from 0.
+
+    Rows are range-partitioned, sorted and written; a number is the place in its partition plus
+    the rows of the partitions before it, of which there are as many as a shuffle has partitions.
     """
-    df = spark.read.schema(CSV_SCHEMA).option("header", True).csv(path)
-    return from_columns(df, F.xxhash64("timestamp", "f0", "f1"), F.col("timestamp"), [F.col("f0"), F.col("f1")], label=F.col("label"))
+    rows = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id()})
+    rows = materialize(rows, "numbered")
+    sums = rows.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sums.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    number = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before")
+    return rows.join(F.broadcast(before), "_part").withColumn(out, number).drop("_part", "_place", "_before")
 
 
 def from_arrays(spark: SparkSession, data: np.ndarray, times: np.ndarray, first_index: int = 0) -> DataFrame:

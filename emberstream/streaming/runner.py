@@ -1,12 +1,14 @@
 """Structured Streaming: micro-batches through one model, or one model for each key.
 
-``run`` feeds every micro-batch to a model (sample, fit, update, predict) and appends the scores;
-a batch that is replayed overwrites its own output, so results appear once. ``KeyedClusterer``
+``run`` feeds every micro-batch to a model (sample, fit, update, predict) and appends the scores.
+The model after a batch is saved beside them, so that a batch that is replayed, after a restart
+too, starts from the model before it, learns once and overwrites its own output with the same rows. ``KeyedClusterer``
 keeps a small model for each stream id in the state store (``transformWithStateInPandas``).
 """
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,18 +18,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.model import StreamClusterer
+from ..sources.points import valid
 
 
 def run(stream: DataFrame, model: StreamClusterer, out: str, checkpoint: str, available_now: bool = True):
-    """Scores (idx, label, score) of a stream of points to Parquet folders batch=<id> below ``out``."""
+    """Scores (idx, label, score) of a stream of points to Parquet folders batch=<id> below ``out``.
+
+    A row for each row: those with a null or non-finite number, or of another dimension than the
+    model, get label -1 and no score.
+    """
+    before, after = copy.deepcopy(model.state), [-1]  # of the first batch; the last batch that was learned
 
     def step(batch: DataFrame, number: int) -> None:
-        known = batch.where("t is not null and features is not null").persist()
+        if number == 0:
+            model.state = copy.deepcopy(before)
+        elif after[0] != number - 1:
+            model.load(f"{checkpoint}/model/{number - 1}")
+        rows = batch.persist()
         try:
-            if not known.isEmpty():
-                model.fit_predict(known.orderBy("t", "idx")).write.mode("overwrite").parquet(f"{out}/batch={number}")
+            known = valid(rows, model.state.data.shape[1] if model.observer_count() else None)
+            scored = model.predict(known) if known.isEmpty() else model.fit_predict(known.orderBy("t", "idx"))
+            others = rows.select("idx").exceptAll(known.select("idx"))
+            others = others.select("idx", F.lit(-1).alias("label"), F.lit(None).cast("double").alias("score"))
+            scored.unionByName(others).write.mode("overwrite").parquet(f"{out}/batch={number}")
+            model.save(f"{checkpoint}/model/{number}")
+            after[0] = number
         finally:
-            known.unpersist()
+            rows.unpersist()
 
     writer = stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -47,7 +64,7 @@ class DataBuffer:
     def add(self, data: np.ndarray, times: np.ndarray) -> bool:
         """True when the buffer is full."""
         if len(data) != len(times):
-            raise ValueError("data and times must have the same length")
+            raise ValueError(f"{len(data)} rows of data, {len(times)} times")
         self.rows += list(zip(np.asarray(data, float), np.asarray(times, float), strict=True))
         return len(self.rows) >= self.size
 

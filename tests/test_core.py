@@ -1,4 +1,5 @@
 import math
+import os
 
 import numpy as np
 import pytest
@@ -11,7 +12,7 @@ from emberstream.plans import queries as core
 from emberstream.sources import points as sources
 from emberstream.streaming import runner
 
-QUICK = ["dist_euclidean", "dist_manhattan", "dist_chebyshev", "dist_minkowski3", "knn_top5", "av_observations", "active_observers", "outlier_score_relative", "zeta_edges", "roc_auc", "temporal_fourier_sums", "codec_round_trip", "fit_predict_flagship", "ari", "color_distribution", "event_points", "block_ids"]
+QUICK = ["dist_euclidean", "dist_manhattan", "dist_chebyshev", "dist_minkowski3", "knn_top5", "av_observations", "active_observers", "outlier_score_relative", "zeta_edges", "roc_auc", "temporal_fourier_sums", "codec_round_trip", "fit_predict_flagship", "ari", "color_distribution", "event_points", "block_ids", "csv_points"]
 
 
 @pytest.mark.parametrize("name", QUICK)
@@ -57,6 +58,65 @@ def test_codec(spark):
         assert bytes(r["b"]) == r["n"].to_bytes(4, "big", signed=True) and r["back"] == r["n"]
 
 
+def test_float_codec_is_the_machines_eight_bytes(spark):
+    import struct
+
+    values = [0.0, -0.0, 1.5, -1e300, 5e-324, float("inf"), 0.1, None]
+    df = spark.createDataFrame([(v,) for v in values], "x double").withColumn("b", codec.encode_double(F.col("x")))
+    rows = df.select("x", "b", codec.decode_double(F.col("b")).alias("back")).collect()
+    for r in rows:
+        assert (r["b"] is None and r["back"] is None) if r["x"] is None else (bytes(r["b"]) == struct.pack("=d", r["x"]) and r["back"] == r["x"])
+
+
+def test_rows_are_numbered_and_large_indices_are_sampled(spark, tmp_path):
+    df = spark.createDataFrame([(float(i // 2), 1.0, 2.0, 0) for i in range(101)], "timestamp double, f0 double, f1 double, label int")
+    df.repartition(5).write.option("header", True).csv(str(tmp_path / "d"))
+    pts = sources.read_csv(spark, str(tmp_path / "d"))
+    rows = pts.orderBy("idx").collect()
+    assert [r["idx"] for r in rows] == list(range(101)) and [r["t"] for r in rows] == [float(i // 2) for i in range(101)]
+    far = pts.withColumn("idx", F.lit((1 << 62) + 5) - F.col("idx"))
+    assert StreamClusterer(spark, k=20, T=50.0, perturb=1e-6).fit_predict(far).count() == 101
+    assert sampling.sampled(far, 1.0).count() == 101
+
+
+def test_one_outlier_does_not_fill_a_slot(spark):
+    df = spark.range(20_000).select((F.col("id") % 2).alias("y"), F.when(F.col("id") == 7, 1e12).otherwise(F.col("id").cast("double")).alias("s"))
+    assert metrics.roc_auc(df, F.col("y") == 1, "s").first()[0] == pytest.approx(0.5001, abs=2e-4)
+
+
+def test_state_outlives_the_model_and_a_replayed_batch_counts_once(spark, tmp_path):
+    first, _, _ = blobs(spark)
+    second, _, _ = blobs(spark, first=1000)
+    bad = spark.createDataFrame([(5000, 3.0, None), (5001, 4.0, [1.0, float("nan")]), (5002, 5.0, [1.0])], first.schema)
+    options = {"k": 60, "T": 1000, "chi_min": 12, "e": 3}
+    plain = StreamClusterer(spark, **options)
+    plain.fit(first)
+    plain.save(str(tmp_path / "state"))
+    again = StreamClusterer(spark, **options).load(str(tmp_path / "state"))
+    assert plain.fit_predict(second).orderBy("idx").collect() == again.fit_predict(second).orderBy("idx").collect()
+    assert again.state.version == 2
+
+    def scores(place, restart):
+        model = StreamClusterer(spark, **options)
+        for name, part in (("a", first), ("b", second.unionByName(bad))):
+            part.coalesce(1).write.parquet(f"{place}/in/{name}")
+            stream = spark.readStream.schema(first.schema).option("recursiveFileLookup", "true").parquet(f"{place}/in")
+            runner.run(stream, model, f"{place}/out", f"{place}/cp").awaitTermination()
+            if restart:  # a new process, whose last batch was learned but not committed
+                model = StreamClusterer(spark, **options)
+                commit = f"{place}/cp/commits/{0 if name == 'a' else 1}"
+                for f in (commit, f"{place}/cp/commits/.{commit[-1]}.crc"):
+                    if os.path.exists(f):
+                        os.remove(f)
+                runner.run(stream, model, f"{place}/out", f"{place}/cp").awaitTermination()
+                assert model.state.version == (1 if name == "a" else 2)
+        return sorted(tuple(r) for r in spark.read.parquet(f"{place}/out").select("idx", "label", F.coalesce("score", F.lit(-1.0))).collect())
+
+    want = scores(str(tmp_path / "x"), False)
+    assert scores(str(tmp_path / "y"), True) == want
+    assert [r for r in want if r[0] >= 5000] == [(5000, -1, -1.0), (5001, -1, -1.0), (5002, -1, -1.0)]
+
+
 def test_sources_and_checks(spark, tmp_path):
     (tmp_path / "d.csv").write_text("timestamp,f0,f1,label\n1,0.5,2,0\n2,,3,-1\n")
     pts = sources.read_csv(spark, str(tmp_path / "d.csv"))

@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import importlib.util
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, chat, content_sort, hmm, langid, mixing, near_vectors, shingle_join, toxicity, warc
 from .workspace import crc_fold, new_path
 
-#: Where the tokenizer files lie, unless ``public_tokenizers`` can be imported.
-TOKENIZERS = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,11 +15,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def tokenizer(name: str) -> tuple[str, str]:
     """The path of a rank file and the pattern that goes with it."""
-    spec = importlib.util.find_spec("public_tokenizers")
-    spec = spec or importlib.util.spec_from_file_location("public_tokenizers", f"{TOKENIZERS}/__init__.py")
-    module = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(module)
-    return module.path(name), module.PATTERN
+    import public_tokenizers
+
+    return public_tokenizers.path(name), public_tokenizers.PATTERN
 
 
 def op1_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:

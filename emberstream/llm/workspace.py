@@ -1,63 +1,15 @@
-"""Shared scratch space, column helpers and distributed connected components.
-
-Intermediate tables are written below the folder named by ``spark.checkpoint.dir``, which every
-executor of a cluster can read, so a lost executor costs a re-read and never a result. Only
-where that setting is absent (tests, notebooks) a folder of this machine is used.
-"""
+"""Column helpers, joins of hot keys and distributed connected components; scratch tables are those
+of the engine, below the folder named by ``spark.checkpoint.dir``."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_OWN: dict[str, str] = {}
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder for intermediate tables of this application."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    app = spark.sparkContext.applicationId
-    if not base:
-        if app not in _OWN:
-            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="emberstream-")
-        base = _OWN[app]
-    return f"{base.rstrip('/')}/emberstream-{app}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path that nothing has used, below the scratch folder."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared scratch folder and read it again.
-
-    This cuts the lineage, lets several consumers share one computation, and gives the planner
-    true sizes: a small table is broadcast by Spark's own checked threshold, a large one is not.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def delete(df: DataFrame) -> None:
-    """Remove the files of a table that ``materialize`` returned."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
+from ..plans.scratch import clean, delete, materialize, new_path, scratch_root
 
-def clean(spark: SparkSession) -> None:
-    """Remove everything that this application has written to the scratch folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["bounded_batches", "clean", "column", "connected_components", "crc_fold", "delete", "empty", "fresh", "materialize", "new_path", "scratch_root", "shuffle_width", "sliced_join"]
 
 
 def column(name: str):

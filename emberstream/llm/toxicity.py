@@ -88,7 +88,7 @@ class ToxicityModel:
     weights: np.ndarray
     bias: float
 
-    def score(self, texts: pa.Array, limit: int = 1 << 20) -> np.ndarray:
+    def score(self, texts: pa.Array, limit: int = 1 << 18) -> np.ndarray:
         out = np.empty(len(texts))
         _, offsets = flat(texts)
         for a, b in slices(offsets, limit):

@@ -177,8 +177,10 @@ def transfer(obs: np.ndarray, lengths: np.ndarray, starts: np.ndarray, p: Parame
     out = np.where(starts[:, None, None], np.eye(k), p.move)
     for t, n in enumerate(_live(lengths, len(obs))):
         a = out[:n] if t == 0 else (out[:n].reshape(-1, k) @ p.move).reshape(n, k, k)
-        a = a * p.emit[obs[t, :n]][:, None, :]
-        out[:n] = a / a.max((1, 2))[:, None, None]
+        a *= p.emit[obs[t, :n]][:, None, :]
+        if t % 16 == 15:  # so many factors stay far inside the range of a double
+            a /= a.max((1, 2))[:, None, None]
+        out[:n] = a
     return out
 
 

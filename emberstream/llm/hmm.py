@@ -34,6 +34,8 @@ from .workspace import bounded_batches, column, crc_fold, materialize
 STATES, ITERATIONS, OWN, CLASSES, DICTIONARY = 8, 6, 16_384, 128, 1 << 18
 #: Tokens of a stretch, stretches that are computed together, weight of the unigram prior.
 STRETCH, TOGETHER, PRIOR = 64, 4096, 20.0
+#: Tokens up to which texts are passed through side by side, instead of their stretches.
+LONG = 4096
 #: Bytes of text that are tokenised together.
 SLICE = 4 << 20
 _PUNCTUATION = np.zeros(256, bool)
@@ -205,6 +207,30 @@ def carried(moves: np.ndarray, first: np.ndarray, p: Parameters) -> tuple[np.nda
     return before, after
 
 
+def passed(codes: np.ndarray, start: np.ndarray, size: np.ndarray, slot: np.ndarray, p: Parameters, before: np.ndarray, after: np.ndarray) -> None:
+    """Writes what ``carried`` returns for texts codes[start[i]:start[i] + size[i]] whose stretches
+    begin at slot[i], by passing through the texts once in each direction, side by side."""
+    order = np.argsort(-size, kind="stable")
+    start, size, slot = start[order], size[order], slot[order]
+    live = _live(size, int(size[0]) if len(size) else 0)
+    a = np.tile(p.start, (len(order), 1))
+    for t, n in enumerate(live):
+        if t % STRETCH == 0:
+            before[slot[:n] + t // STRETCH] = a[:n] / a[:n].sum(1, keepdims=True)
+        a = (a[:n] if t == 0 else a[:n] @ p.move) * p.emit[codes[start[:n] + t]]
+        if t % 16 == 15:
+            a /= a.sum(1, keepdims=True)
+    b = np.ones((len(order), len(p.start)))
+    for t in range(len(live) - 1, 0, -1):
+        n = live[t]
+        back = (b[:n] * p.emit[codes[start[:n] + t]]) @ p.move.T
+        if t % 16 == 0:
+            back /= back.max(1, keepdims=True)
+        if t % STRETCH == 0:
+            after[slot[:n] + t // STRETCH - 1] = back / back.max(1, keepdims=True)
+        b[:n] = back
+
+
 def expect(obs: np.ndarray, lengths: np.ndarray, starts: np.ndarray, before: np.ndarray, after: np.ndarray, p: Parameters, into: list[np.ndarray]) -> float:
     """Adds the expected starts, moves and emissions of stretches of symbols, given what comes
     before and after them in their texts; returns the natural log likelihood."""
@@ -246,9 +272,10 @@ def expect(obs: np.ndarray, lengths: np.ndarray, starts: np.ndarray, before: np.
 def expect_texts(codes: np.ndarray, at: np.ndarray, p: Parameters, into: list[np.ndarray]) -> float:
     """``expect`` of whole texts codes[at[i]:at[i + 1]], none of them empty.
 
-    A text is cut into stretches that are computed side by side. First what each makes of any
-    state, then the states between them from end to end, then the expectations inside, so that the
-    sums are those of the recursions over the whole text, however long it is.
+    A text is cut into stretches that are computed side by side. First the states between them,
+    from end to end of the text: by a pass through it, or, for texts above ``LONG`` tokens, from what
+    each stretch makes of any state. Then the expectations inside, so that the sums are those of
+    the recursions over the whole text, however long it is.
     """
     size = np.diff(at)
     count = -(-size // STRETCH)
@@ -264,10 +291,20 @@ def expect_texts(codes: np.ndarray, at: np.ndarray, p: Parameters, into: list[np
         steps = np.arange(length[o[0]])[:, None]
         return np.where(steps < length[o][None, :], codes[np.minimum(start[o][None, :] + steps, len(codes) - 1)], 0)
 
-    moves = np.empty((len(owner), len(p.start), len(p.start)))
-    for o in groups:
-        moves[o] = transfer(symbols(o), length[o], starts[o], p)
-    before, after = carried(moves, first, p)
+    k = len(p.start)
+    before, after = np.tile(p.start, (len(owner), 1)), np.ones((len(owner), k))
+    passing = (size > STRETCH) & (size <= LONG)
+    passed(codes, at[:-1][passing], size[passing], first[:-1][passing], p, before, after)
+    long = np.flatnonzero(size > LONG)
+    if len(long):
+        cut = order[size[owner[order]] > LONG]
+        moves = np.empty((len(cut), k, k))
+        place = np.cumsum(size[owner] > LONG) - 1
+        for i in range(0, len(cut), TOGETHER):
+            o = cut[i : i + TOGETHER]
+            moves[place[o]] = transfer(symbols(o), length[o], starts[o], p)
+        whole = np.flatnonzero(size[owner] > LONG)
+        before[whole], after[whole] = carried(moves, np.concatenate([[0], np.cumsum(count[long])]), p)
     return sum(expect(symbols(o), length[o], starts[o], before[o], after[o], p, into) for o in groups)
 
 

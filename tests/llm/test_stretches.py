@@ -30,7 +30,8 @@ def test_long_texts_are_trained_on_as_whole_sequences(monkeypatch):
     texts = [rng.integers(0, n, s).astype("<u2") for s in sizes]
     want = [np.zeros(k), np.zeros((k, k)), np.zeros((n, k))]
     total = sum(whole(t, p, want) for t in texts)
-    for stretch, together in ((64, 4096), (7, 5), (1000, 2)):
+    for stretch, together, long in ((64, 4096, 4096), (7, 5, 4096), (1000, 2, 4096), (64, 4096, 0), (7, 5, 100), (7, 3, 1)):
+        monkeypatch.setattr(hmm, "LONG", long)
         monkeypatch.setattr(hmm, "STRETCH", stretch)
         monkeypatch.setattr(hmm, "TOGETHER", together)
         batch = pa.record_batch([pa.array([t.tobytes() for t in texts], pa.binary())], names=["symbols"])

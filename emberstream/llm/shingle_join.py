@@ -488,7 +488,7 @@ def _join_up(groups: DataFrame, loads: DataFrame, rule: Rule, kind, name: str) -
     """Components (node, component) of the links between rows of a group (part, leader, x), by
     comparing what ``loads`` (x, size, load) holds of them. The leader is a group's least x."""
     star = groups.where("x <> leader").select("leader", "x").distinct()
-    slots = star.groupBy("leader").agg(F.ceil(F.count("*") / (4 * BLOCK_SETS)).cast("int").alias("slots"))
+    slots = star.groupBy("leader").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("slots"))
     slots = materialize(slots, f"{name}_leaders")
     none = F.lit(0).cast("bigint").alias("home")
     member = sliced_join(star, slots, "leader", "x").select(F.col("leader").alias("part"), F.pmod(F.xxhash64("x"), F.col("slots")).cast("int").alias("p"), F.lit(0).alias("q"), F.lit(1).alias("side"), "x", none)

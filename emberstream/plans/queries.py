@@ -16,6 +16,7 @@ from ..operators import graph, neighbours, sampling, scoring
 from ..operators.model import StreamClusterer, TemporalStreamClusterer
 from ..sources import points as sources
 from ..streaming import runner
+from .model_sql import model_sql
 from .scratch import materialize, scratch_root
 
 K, X, CHI, ZETA, MIN_SIZE, HORIZON, IDLE, BLOCK, BUFFER = 100, 5, 3, 0.6, 2, 400.0, 0.3, 64, 10
@@ -363,6 +364,19 @@ def _distance_sql(d: str) -> str:
 _GAPS = "list_transform(range(1, len(p.f) + 1), lambda i: {})"
 _COLORS = f"colors AS (SELECT oid, label AS color, sum(exp(-(now - t) / CAST({HORIZON} AS DOUBLE))) AS weight FROM near JOIN votes USING (idx), now GROUP BY oid, label)"
 _OVERWRITE = "SELECT idx, CASE WHEN score > (SELECT avg(score) + 3 * stddev_pop(score) FROM scores) THEN -1 ELSE label END AS label, round(score, 6) AS score FROM scores JOIN votes USING (idx)"
+_EMBEDDED = "SELECT vec_id AS idx, CAST(vec_id AS DOUBLE) AS t, CAST(embedding AS DOUBLE[]) AS f FROM embeddings"
+_SECONDS = "epoch_us(ts) / CAST(1000000 AS DOUBLE)"
+_EVENTS = f"SELECT event_id AS idx, {_SECONDS} AS t, [value / 100, {_SECONDS} % 86400 / 86400] AS f FROM events WHERE value IS NOT NULL AND ts IS NOT NULL"
+_ITEMS = "SELECT l_orderkey * 8 + l_linenumber AS idx, epoch_us(l_shipdate) / CAST(1000000 AS DOUBLE) / 86400 AS t, [l_quantity / 50, l_extendedprice / 100000, l_discount * 10, l_tax * 10] AS f FROM lineitem"
+_CSV = f"""SELECT row_number() OVER (ORDER BY t, f0, f1, label) - 1 AS idx, t, [f0, f1] AS f FROM (
+  SELECT {_SECONDS} AS t, round(value / 100, 6) AS f0, round({_SECONDS} % 86400 / 86400, 6) AS f1, event_id % 3 - 1 AS label FROM events)"""
+_QUARTERS = [f"idx // CAST(ceil((SELECT count(*) FROM pts) / CAST(4 AS DOUBLE)) AS BIGINT) = {b}" for b in range(4)]
+_ANSWER = "SELECT idx, label, round(score, 6) AS score FROM answer"
+
+
+def _model_sql(points: str, last: str = _ANSWER, horizon: float = HORIZON, **more) -> str:
+    return model_sql(points, last, k=K, horizon=horizon, x=X, chi=CHI, zeta=ZETA, size=MIN_SIZE, idle=IDLE, **more)
+
 
 _TABLE: dict = {
     "dist_euclidean": (_distance("euclidean"), _distance_sql("list_distance(p.f, o.f)")),
@@ -413,14 +427,14 @@ g AS (SELECT sum(rk) FILTER (pos) AS r, CAST(count(*) FILTER (pos) AS DOUBLE) AS
     "fit_predict_flagship": (fit_predict_flagship, _sql(_NEAR, _FADED, _AV, _ACTIVE, *_GRAPH, _NEAR.replace("near AS", "awake AS", 1).replace("JOIN obs o", "JOIN (SELECT * FROM obs WHERE oid IN (SELECT oid FROM act)) o"), _VOTES.replace("near", "awake"), _SCORES.replace("near", "awake"), _OVERWRITE)),
     "get_observers": (get_observers, _sql(_NEAR, _FADED, _AV, *_GRAPH, "SELECT oid, label, round(observations, 6) AS observations, round(av_observations, 6) AS av_observations FROM av JOIN labels USING (oid)")),
     "observer_count": (observer_count, _sql("SELECT count(*) AS n FROM obs")),
-    "model_fit_predict": (_model(StreamClusterer), None),
-    "model_temporal_fit_predict": (_model(TemporalStreamClusterer), None),
-    "model_predict_only": (predict_only, None),
-    "model_get_observers": (model_observers, None),
-    "streaming_fit_predict": (streaming_fit_predict, None),
+    "model_fit_predict": (_model(StreamClusterer), _model_sql(_EMBEDDED)),
+    "model_temporal_fit_predict": (_model(TemporalStreamClusterer), _model_sql(_EMBEDDED, waves=(BINS, MAX_FREQ))),
+    "model_predict_only": (predict_only, _model_sql(_ITEMS, blocks=["idx % 2 = 0"], predict="true")),
+    "model_get_observers": (model_observers, _model_sql(_EVENTS, "SELECT oid, label, round(n, 6) AS observations FROM model", 86400.0)),
+    "streaming_fit_predict": (streaming_fit_predict, _model_sql(_EMBEDDED)),
     "csv_points": (csv_points, """SELECT row_number() OVER (ORDER BY t, f0, f1, label) - 1 AS idx, round(t, 3) AS t, f0, f1, label FROM (
   SELECT epoch_us(ts) / CAST(1000000 AS DOUBLE) AS t, round(value / 100, 6) AS f0, round((epoch_us(ts) / CAST(1000000 AS DOUBLE)) % 86400 / 86400, 6) AS f1, CAST(event_id % 3 - 1 AS INTEGER) AS label FROM events)"""),
-    "csv_fit_predict": (csv_fit_predict, None),
+    "csv_fit_predict": (csv_fit_predict, _model_sql(_CSV, horizon=86400.0, blocks=_QUARTERS)),
 }
 
 

@@ -213,12 +213,13 @@ class StreamClusterer:
 
     def _sample(self, points: DataFrame) -> None:
         """Rows come in with probability k / T for each unit of time a row stands for; the first
-        batch fills the model. At most k rows reach the driver."""
+        batch fills the model. Of rows that share an index one can be an observer. At most k rows
+        reach the driver."""
         p, first = self.params, self.state is None
         rank = F.rand(p.seed) if p.random_sampling else rank_of(F.col("idx"), p.seed) / F.lit(float(MODULUS))
         ranked = points.withColumn("r", rank)
         rate = min(1.0, p.k / p.T)
-        rows = (ranked if first else ranked.where(F.col("r") < rate)).orderBy("r", "idx").limit(p.k).toPandas()
+        rows = (ranked if first else ranked.where(F.col("r") < rate)).orderBy("r", "idx", "t", "features").limit(p.k).toPandas().drop_duplicates("idx")
         if first:
             dim = len(rows["features"].iloc[0]) if len(rows) else 0
             self.state = State.new(dim, p.freq_bins)

@@ -12,7 +12,7 @@ from ..operators.sampling import MODULUS, STEP
 
 
 def model_sql(points: str, last: str, *, k: int, horizon: float, x: int, chi: int, zeta: float, size: int, idle: float, blocks: Sequence[str] = ("true",), predict: str | None = None, waves: tuple[int, float] | None = None) -> str:
-    """``points`` selects (idx, t, f); ``blocks`` are conditions that part them in the order of time.
+    """``points`` selects (idx, t, f), where an idx may repeat; ``blocks`` are conditions that part them in the order of time.
 
     ``last`` reads the tables ``answer`` (idx, label, score) and ``model`` (oid, n, label). With
     ``waves`` (bins, highest frequency) the one block also counts phases.
@@ -28,8 +28,8 @@ def model_sql(points: str, last: str, *, k: int, horizon: float, x: int, chi: in
         return f"SELECT * EXCLUDE (rk, m), row_number() OVER (ORDER BY added, oid) AS place FROM ({ranked}) WHERE rk <= ceil(CAST(1 - {idle} AS DOUBLE) * m)"
 
     def nearest(rows: str, observers: str, rank: str) -> str:
-        gaps = f"SELECT p.idx, p.t, o.*, list_distance(p.f, o.f) AS d FROM {rows} p JOIN {observers} o ON p.idx <> o.oid"
-        return f"SELECT idx, t, oid, d FROM (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY round({rank}, 9), place) AS rk FROM ({gaps})) WHERE rk <= {x}"
+        gaps = f"SELECT p.row, p.idx, p.t, o.*, list_distance(p.f, o.f) AS d FROM {rows} p JOIN {observers} o ON p.idx <> o.oid"
+        return f"SELECT row, idx, t, oid, d FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY round({rank}, 9), place) AS rk FROM ({gaps})) WHERE rk <= {x}"
 
     bins, top = waves or (0, 0.0)
     turns = [f"CAST({top} AS DOUBLE) * {i} / {max(1, bins - 1)} * t" for i in range(bins)]
@@ -40,7 +40,7 @@ def model_sql(points: str, last: str, *, k: int, horizon: float, x: int, chi: in
     kept_sums = "".join(f", coalesce({c}{i}, 0) AS {c}{i}" for i in range(bins) for c in ("re", "im"))
 
     steps = [
-        ("pts", points),
+        ("pts", f"SELECT *, row_number() OVER () AS row FROM ({points})"),
         ("state0", "SELECT idx AS oid, f, CAST(0 AS DOUBLE) AS n, t AS added, t AS touched, CAST(-1 AS BIGINT) AS color FROM pts WHERE false"),
         ("next0", "SELECT CAST(0 AS BIGINT) AS next"),
     ]
@@ -48,7 +48,8 @@ def model_sql(points: str, last: str, *, k: int, horizon: float, x: int, chi: in
         chosen = "true" if b == 1 else f"r / CAST({MODULUS} AS DOUBLE) < CAST({min(1.0, k / horizon)!r} AS DOUBLE)"
         steps += [
             (f"part{b}", f"SELECT * FROM pts WHERE {where}"),
-            (f"new{b}", f"SELECT idx AS oid, f, t AS added FROM (SELECT *, (idx % {MODULUS} * {STEP}) % {MODULUS} AS r FROM part{b}) WHERE {chosen} ORDER BY r, idx LIMIT {k}"),
+            (f"new{b}", f"""SELECT oid, f, added FROM (SELECT *, row_number() OVER (PARTITION BY oid ORDER BY added, f) AS rk FROM (
+  SELECT idx AS oid, f, t AS added FROM (SELECT *, (idx % {MODULUS} * {STEP}) % {MODULUS} AS r FROM part{b}) WHERE {chosen} ORDER BY r, idx, t, f LIMIT {k})) WHERE rk = 1"""),
             (f"then{b}", f"SELECT max(t) AS now FROM (SELECT added AS t FROM new{b} UNION ALL SELECT touched FROM state{b - 1})"),
             (f"held{b}", f"""SELECT oid, f, n, added, touched, color FROM (
   SELECT *, row_number() OVER (ORDER BY n * {fade("now", "touched")} / greatest(1 - {fade("now", "added")}, CAST(1e-12 AS DOUBLE)), oid) AS rk FROM state{b - 1}, then{b})
@@ -80,9 +81,9 @@ def model_sql(points: str, last: str, *, k: int, horizon: float, x: int, chi: in
             steps += [
                 (f"seen{b}", f"SELECT * FROM pts WHERE {where if predict is None else predict}"),
                 (f"by{b}", nearest(f"seen{b}", f"act{b}", after)),
-                (f"vote{b}", f"SELECT idx, label, count(*) AS m FROM by{b} JOIN named{b} USING (oid) GROUP BY ALL"),
-                (f"best{b}", f"SELECT idx, label FROM (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY m DESC, label) AS rk FROM vote{b}) WHERE rk = 1"),
-                (f"answer{b}", f"SELECT idx, CAST(coalesce(label, -1) AS INTEGER) AS label, score FROM (SELECT idx, median(d) AS score FROM by{b} GROUP BY idx) LEFT JOIN best{b} USING (idx)"),
+                (f"vote{b}", f"SELECT row, label, count(*) AS m FROM by{b} JOIN named{b} USING (oid) GROUP BY ALL"),
+                (f"best{b}", f"SELECT row, label FROM (SELECT *, row_number() OVER (PARTITION BY row ORDER BY m DESC, label) AS rk FROM vote{b}) WHERE rk = 1"),
+                (f"answer{b}", f"SELECT idx, CAST(coalesce(label, -1) AS INTEGER) AS label, score FROM (SELECT row, idx, median(d) AS score FROM by{b} GROUP BY ALL) LEFT JOIN best{b} USING (row)"),
             ]
     n = len(blocks)
     answers = [name for name, _ in steps if name.startswith("answer")]

@@ -278,7 +278,8 @@ def predict_only(spark, sf_dir):
     """A model of one half of the points scores all of them, unchanged."""
     pts = sources.valid(sources.from_lineitem(spark, sf_dir), 4)
     model = StreamClusterer(spark, k=K, T=HORIZON, x=X, chi_min=CHI, zeta=ZETA, e=MIN_SIZE).fit(pts.where("idx % 2 = 0"))
-    return model.predict(pts).select("idx", "label", F.round("score", 6).alias("score"))
+    # prices are multiples of 1e-7, so that a sixth digit would be rounded at halves
+    return model.predict(pts).select("idx", "label", F.round("score", 7).alias("score"))
 
 
 def model_observers(spark, sf_dir):
@@ -429,7 +430,7 @@ g AS (SELECT sum(rk) FILTER (pos) AS r, CAST(count(*) FILTER (pos) AS DOUBLE) AS
     "observer_count": (observer_count, _sql("SELECT count(*) AS n FROM obs")),
     "model_fit_predict": (_model(StreamClusterer), _model_sql(_EMBEDDED)),
     "model_temporal_fit_predict": (_model(TemporalStreamClusterer), _model_sql(_EMBEDDED, waves=(BINS, MAX_FREQ))),
-    "model_predict_only": (predict_only, _model_sql(_ITEMS, blocks=["idx % 2 = 0"], predict="true")),
+    "model_predict_only": (predict_only, _model_sql(_ITEMS, "SELECT idx, label, round(score, 7) AS score FROM answer", blocks=["idx % 2 = 0"], predict="true")),
     "model_get_observers": (model_observers, _model_sql(_EVENTS, "SELECT oid, label, round(n, 6) AS observations FROM model", 86400.0)),
     "streaming_fit_predict": (streaming_fit_predict, _model_sql(_EMBEDDED)),
     "csv_points": (csv_points, """SELECT row_number() OVER (ORDER BY t, f0, f1, label) - 1 AS idx, round(t, 3) AS t, f0, f1, label FROM (

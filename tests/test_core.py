@@ -12,7 +12,7 @@ from emberstream.plans import queries as core
 from emberstream.sources import points as sources
 from emberstream.streaming import runner
 
-QUICK = ["dist_euclidean", "dist_manhattan", "dist_chebyshev", "dist_minkowski3", "knn_top5", "av_observations", "active_observers", "outlier_score_relative", "zeta_edges", "roc_auc", "temporal_fourier_sums", "codec_round_trip", "fit_predict_flagship", "ari", "color_distribution", "event_points", "block_ids", "csv_points"]
+QUICK = ["dist_euclidean", "dist_manhattan", "dist_chebyshev", "dist_minkowski3", "knn_top5", "av_observations", "active_observers", "outlier_score_relative", "zeta_edges", "roc_auc", "temporal_fourier_sums", "codec_round_trip", "fit_predict_flagship", "ari", "color_distribution", "event_points", "block_ids", "csv_points", "model_fit_predict", "model_temporal_fit_predict", "model_predict_only", "model_get_observers", "streaming_fit_predict", "csv_fit_predict"]
 
 
 @pytest.mark.parametrize("name", QUICK)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, content_sort, hmm, langid, mixing, near_vectors, shingle_join, toxicity, warc
+from . import align, byte_bpe, chat, content_sort, hmm, langid, mixing, near_vectors, repair, shingle_join, substrings, toxicity, warc
 from .workspace import crc_fold, new_path
 
 
@@ -167,6 +167,80 @@ SELECT q.doc_id, q.size, q.source_size, q.target, coalesce(k.taken, 0) AS taken
 """
 
 
+def op11_edit_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.audits(repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+#: Row by row, the best (cost, audit, said) of each state of the grammar: 0 nothing yet, 1 system, 2 user, 3 a pair.
+OP11_SQL = r"""
+WITH RECURSIVE tab AS (
+  SELECT list_transform(range(0, 256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: CASE WHEN r & 1 = 1 THEN xor(r >> 1, CAST(3988292384 AS BIGINT)) ELSE r >> 1 END)) AS tab),
+c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda x: CAST(ord(x) AS BIGINT)) AS bytes
+  FROM conversations),
+e AS (
+  SELECT conv_id, turn, role, text,
+         xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda r, x: xor(r >> 8, tab[xor(r & 255, x) + 1])), CAST(4294967295 AS BIGINT)) % 20 AS code
+  FROM c, tab),
+f AS (
+  SELECT conv_id, turn, CASE code WHEN 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM e, range(2) AS copies(n) WHERE code <> 0 AND (n = 0 OR code = 3)),
+g AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM f),
+h AS (
+  SELECT *, left(role, 1) AS letter, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+         rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen FROM g),
+k AS (SELECT *, CASE WHEN core = '' THEN 'b' WHEN seen > 1 THEN 'd' WHEN right(core, 1) NOT IN ('.', '!', '?') THEN 't' ELSE 'o' END AS fault FROM h),
+counts AS (
+  SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+         count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (before IS NOT NULL AND before || letter NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM k GROUP BY conv_id),
+step(q, c, p) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+ins(q, p, cost, audit, said) AS (VALUES (0, 0, 0, '', CAST([] AS VARCHAR[])), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 3, 'I', ['user:']), (1, 2, 3, 'I', ['user:']), (3, 2, 3, 'I', ['user:']),
+  (2, 3, 3, 'I', ['assistant:']), (0, 3, 6, 'II', ['user:', 'assistant:']), (1, 3, 6, 'II', ['user:', 'assistant:'])),
+edit AS (
+  SELECT conv_id, i, q, p, CASE fault WHEN 't' THEN 3 ELSE 0 END AS cost, 'K' AS audit, [role || ':' || text] AS said FROM k JOIN step ON c = letter WHERE fault IN ('o', 't')
+  UNION ALL SELECT conv_id, i, q, p, CASE fault WHEN 't' THEN 6 ELSE 3 END, 'R', [CASE c WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text] FROM k JOIN step ON c <> 's' WHERE fault IN ('o', 't')
+  UNION ALL SELECT conv_id, i, q, q, 4, 'D', [] FROM k, range(4) AS states(q)),
+best AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS q, 0 AS cost, '' AS audit, CAST([] AS VARCHAR[]) AS said FROM conversations UNION ALL
+  SELECT conv_id, i, q, cost, audit, said FROM (
+    SELECT b.conv_id, e.i, e.p AS q, b.cost + n.cost + e.cost AS cost, b.audit || n.audit || e.audit AS audit, b.said || n.said || e.said AS said,
+           row_number() OVER (PARTITION BY b.conv_id, e.p ORDER BY b.cost + n.cost + e.cost, b.audit || n.audit || e.audit) AS rk
+    FROM best b JOIN ins n ON n.q = b.q JOIN edit e ON e.conv_id IS NOT DISTINCT FROM b.conv_id AND e.i = b.i + 1 AND e.q = n.p) WHERE rk = 1),
+done AS (
+  SELECT conv_id, cost, audit, said FROM (
+    SELECT b.conv_id, b.cost + n.cost AS cost, b.audit || n.audit AS audit, b.said || n.said AS said, row_number() OVER (PARTITION BY b.conv_id ORDER BY b.cost + n.cost, b.audit || n.audit) AS rk
+    FROM best b LEFT JOIN counts t ON t.conv_id IS NOT DISTINCT FROM b.conv_id JOIN ins n ON n.q = b.q WHERE b.i = coalesce(t.n, 0) AND n.p IN (0, 3)) WHERE rk = 1)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(cost AS BIGINT) AS cost, audit, sha256(coalesce(array_to_string(said, chr(10)), '')) AS repaired_sha256
+FROM done d LEFT JOIN counts t ON t.conv_id IS NOT DISTINCT FROM d.conv_id
+"""
+
+
+def op12_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+OP12_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS t FROM documents),
+s AS (
+  SELECT doc_id, i, array_to_string(t[i : i + 19], ' ') AS g
+  FROM (SELECT doc_id, t, unnest(range(1, len(t) - 18)) AS i FROM w WHERE len(t) >= 20)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS rk FROM s) WHERE rk > 1),
+x AS (SELECT doc_id, p FROM (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM r)),
+k AS (SELECT w.doc_id, list(u.word ORDER BY u.p) AS kept
+  FROM w, (SELECT doc_id, unnest(t) AS word, unnest(range(1, len(t) + 1)) AS p FROM w) u
+  WHERE u.doc_id = w.doc_id AND NOT EXISTS (SELECT 1 FROM x WHERE x.doc_id = u.doc_id AND x.p = u.p) GROUP BY w.doc_id)
+SELECT w.doc_id, CAST(len(t) AS BIGINT) AS n_words, CAST(len(t) - coalesce(len(kept), 0) AS BIGINT) AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id)
+"""
+
+
+def op13_overlap_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (a, pattern), (b, _) = tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model")
+    return align.align(table(spark, sf_dir, "documents"), a, b, pattern).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict:
     return {
         "op1_warc_chain": op1_warc_chain,
@@ -179,8 +253,11 @@ def queries() -> dict:
         "op8_content_sort": op8_content_sort,
         "op9_chat_format": op9_chat_format,
         "op10_fair_queue": op10_fair_queue,
+        "op11_edit_lattice": op11_edit_lattice,
+        "op12_seed_and_extend": op12_seed_and_extend,
+        "op13_overlap_groups": op13_overlap_groups,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_chain": OP1_SQL, "op3_parity_join": OP3_SQL, "op5_int8_tiles": OP5_SQL, "op8_content_sort": OP8_SQL, "op9_chat_format": OP9_SQL, "op10_fair_queue": OP10_SQL}
+    return {"op1_warc_chain": OP1_SQL, "op3_parity_join": OP3_SQL, "op5_int8_tiles": OP5_SQL, "op8_content_sort": OP8_SQL, "op9_chat_format": OP9_SQL, "op10_fair_queue": OP10_SQL, "op11_edit_lattice": OP11_SQL, "op12_seed_and_extend": OP12_SQL}

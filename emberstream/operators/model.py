@@ -1,108 +1,27 @@
 """The clustering model: a bounded set of observers that fades, and scoring by it.
 
-State is at most ``k`` observers and small tables over them, which ``save`` writes as one row to a
-folder and ``load`` reads again; a batch is sampled, counted, clustered and scored by joins with that bounded state. Distances are a
-matrix per Arrow batch, of a built-in metric or of a function of one's own over arrays. Formulas that the reference only declares are this engine's own; see the README.
+State is at most ``k`` observers and small tables over them, which ``save`` writes to a folder and
+``load`` reads again; a batch is sampled, counted, clustered and scored by ``steps`` inside Spark's
+tasks, which get that bounded state. Formulas that the reference only declares are this engine's
+own; see the README.
 """
 
 from __future__ import annotations
 
-import io
-import math
-from collections.abc import Callable
-from dataclasses import dataclass, field, fields, replace
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.decay import fading
-from ..functions.distance import METRICS
 from ..plans.scratch import materialize
-from .sampling import MODULUS, STEP, rank_of
-
-#: The most observers that a model may have: its tables are held whole by the driver and each task.
-MOST_OBSERVERS = 20_000
-
-
-@dataclass(frozen=True)
-class Parameters:
-    """All parameters of both models. The defaults are this engine's choice."""
-
-    k: int = 200
-    T: float = 400.0
-    idle_observers: float = 0.3
-    x: int = 5
-    chi_min: int = 3
-    chi_prop: float = 0.02
-    zeta: float = 0.6
-    e: int = 2
-    freq_bins: int = 1
-    max_freq: float = 1.0
-    outlier_threshold: float = 5.0
-    outlier_handling: bool = False
-    rel_outlier_score: bool = False
-    perturb: float = 0.0
-    random_sampling: bool = False
-    input_buffer: int = 0
-    distance: str | Callable = "euclidean"
-    p: float = 2.0
-    seed: int = 0
-
-    def __post_init__(self):
-        if self.k < 1 or self.x < 1 or self.e < 1 or self.T <= 0:
-            raise ValueError("k, x and e are at least 1, T is positive")
-        if self.k > MOST_OBSERVERS:
-            raise ValueError(f"k is at most {MOST_OBSERVERS}")
-        if not 0 <= self.idle_observers < 1 or not 0 <= self.zeta <= 1 or not 0 <= self.chi_prop <= 1:
-            raise ValueError("idle_observers, zeta and chi_prop are shares")
-        if self.distance == "minkowski" and self.p < 1:
-            raise ValueError("p must be at least 1")
-        if not callable(self.distance) and self.distance not in (*METRICS, "minkowski"):
-            raise ValueError(f"no metric {self.distance!r}")
-
-
-@dataclass
-class State:
-    """Observers as arrays: at most ``k`` rows, however long the stream is."""
-
-    oid: np.ndarray
-    data: np.ndarray
-    observations: np.ndarray
-    added: np.ndarray
-    touched: np.ndarray
-    label: np.ndarray
-    color: np.ndarray
-    waves: np.ndarray
-    version: int = 0
-    rows: int = 0
-    next_color: int = 0
-    cutoff: np.ndarray = field(default_factory=lambda: np.zeros(0))
-
-    @classmethod
-    def new(cls, dim: int = 0, bins: int = 1) -> State:
-        z = np.zeros(0)
-        return cls(np.zeros(0, np.int64), np.zeros((0, dim)), z, z, z, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, bins), complex))
-
-
-def distances(a: np.ndarray, b: np.ndarray, which, p: float = 2.0) -> np.ndarray:
-    """All distances between rows of a and of b; ``which`` is a name or does just that."""
-    if callable(which):
-        return np.asarray(which(a, b), float)
-    if which == "euclidean":
-        gap = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T
-        out = np.sqrt(np.maximum(gap, 0))
-        # the product loses digits for near rows: those are computed from their differences
-        near = np.argwhere(out < 1e-4 * (1 + np.sqrt((a * a).sum(1)[:, None])))
-        if len(near):
-            out[near[:, 0], near[:, 1]] = np.sqrt(((a[near[:, 0]] - b[near[:, 1]]) ** 2).sum(1))
-        return out
-    out = np.zeros((len(a), len(b)))
-    for j in range(a.shape[1]):
-        d = np.abs(a[:, j, None] - b[None, :, j])
-        out = np.maximum(out, d) if which == "chebyshev" else out + (d if which == "manhattan" else d**p)
-    return out ** (1 / p) if which == "minkowski" else out
+from . import steps
+from .sampling import MODULUS, chance, priority, rank_of
+from .scoring import patterns
+from .steps import MOST_OBSERVERS, Parameters, State, distances
+
+__all__ = ["MOST_OBSERVERS", "Parameters", "State", "StreamClusterer", "TemporalStreamClusterer", "distances"]
+
+_WAITING = "idx bigint, t double, features array<double>"
 
 
 class StreamClusterer:
@@ -112,7 +31,6 @@ class StreamClusterer:
 
     def __init__(self, spark: SparkSession, **parameters):
         self.spark, self.params, self.state = spark, Parameters(**parameters), None
-        self.fade = fading(self.params.T)
         self._waiting, self._waiting_rows = [], 0
 
     # --- what a batch does: sample, fit, update, predict
@@ -129,13 +47,11 @@ class StreamClusterer:
             self._waiting_rows += kept.count()
             if self._waiting_rows < self.params.input_buffer:
                 return self
-            points = self._waiting[0]
-            for more in self._waiting[1:]:
-                points = points.unionByName(more)
+            points = self._gathered()
             self._waiting, self._waiting_rows = [], 0
         self._sample(points)
         self._count(points)
-        self._update()
+        self.state = steps.update(self.state, self.params)
         self.state.version += 1
         return self
 
@@ -144,20 +60,14 @@ class StreamClusterer:
         s, p = self.state, self.params
         if s is None or not len(s.oid):
             return points.select("idx", F.lit(-1).alias("label"), F.lit(None).cast("double").alias("score"))
-        shared = self.spark.sparkContext.broadcast((s, _plain(p), self._active(self._now), self.temporal))
-        named = _named(p)
+        shared = self.spark.sparkContext.broadcast((s, p.plain(), steps.active(s, p, s.now), self.temporal))
+        named = p.named
 
         def run(batches):
             state, params, act, temporal = shared.value
             for batch in batches:
                 if len(batch):
-                    d, order = _nearest(batch, state, params, act, temporal, named)
-                    near = np.take_along_axis(d, order, 1)
-                    ratio = near / np.maximum(state.cutoff[act][order], 1e-12) if params.rel_outlier_score else near
-                    score = np.median(ratio, axis=1)
-                    label = _vote(state.label[act][order])
-                    if params.outlier_handling:
-                        label = np.where(score > params.outlier_threshold, -1, label)
+                    label, score = steps.score(batch, state, params, act, temporal, named)
                     yield pd.DataFrame({"idx": batch["idx"], "label": label.astype(np.int32), "score": score})
 
         return points.select("idx", "t", "features").mapInPandas(run, "idx bigint, label int, score double")
@@ -169,21 +79,27 @@ class StreamClusterer:
     # --- state that outlives the driver
 
     def save(self, path: str) -> None:
-        """The state as one row of Parquet; of ``input_buffer`` only rows that were learned."""
-        data = io.BytesIO()
-        s = self.state or State.new()
-        np.savez(data, **{f.name: np.asarray(getattr(s, f.name)) for f in fields(s)}, there=self.state is not None)
-        self.spark.createDataFrame([(bytearray(data.getvalue()),)], "state binary").coalesce(1).write.mode("overwrite").parquet(path)
+        """The state as one row of Parquet, and beside it the rows that wait in the input buffer."""
+        data = b"" if self.state is None else self.state.packed()
+        self.spark.createDataFrame([(bytearray(data),)], "state binary").coalesce(1).write.mode("overwrite").parquet(f"{path}/state")
+        waiting = self._gathered() if self._waiting else self.spark.createDataFrame([], _WAITING)
+        waiting.write.mode("overwrite").parquet(f"{path}/waiting")
 
     def load(self, path: str) -> StreamClusterer:
-        """The state that was saved there, instead of the own one."""
-        row = self.spark.read.schema("state binary").parquet(path).first()
-        with np.load(io.BytesIO(bytes(row["state"]))) as held:
-            made = {f.name: held[f.name] if held[f.name].ndim else held[f.name].item() for f in fields(State)}
-            self.state = State(**made) if held["there"] else None
-        self._waiting, self._waiting_rows = [], 0
+        """What was saved there, instead of the own state and waiting rows."""
+        data = bytes(self.spark.read.schema("state binary").parquet(f"{path}/state").first()["state"])
+        self.state = State.unpacked(data) if data else None
+        waiting = self.spark.read.schema(_WAITING).parquet(f"{path}/waiting")
+        self._waiting_rows = waiting.count()
+        self._waiting = [materialize(waiting, "buffer")] if self._waiting_rows else []  # the folder may go
         return self
 
+    def _gathered(self) -> DataFrame:
+        points = self._waiting[0]
+        for more in self._waiting[1:]:
+            points = points.unionByName(more)
+        return points
+
     # --- read-outs
 
     def observer_count(self) -> int:
@@ -191,9 +107,9 @@ class StreamClusterer:
 
     def get_observers(self, time: float) -> DataFrame:
         """(oid, features, label, observations, av_observations) as of ``time``."""
-        s = self.state or State.new()
-        faded = s.observations * self.fade ** (time - s.touched)
-        age = 1 - self.fade ** (time - s.added)
+        s, fade = self.state or State.new(), self.params.fade
+        faded = s.observations * fade ** (time - s.touched)
+        age = 1 - fade ** (time - s.added)
         av = [float(f / a) if a > 0 else None for f, a in zip(faded, age, strict=True)]
         rows = list(zip(s.oid.tolist(), s.data.tolist(), s.label.tolist(), faded.tolist(), av, strict=True))
         return self.spark.createDataFrame(rows, "oid bigint, features array<double>, label int, observations double, av_observations double")
@@ -205,40 +121,36 @@ class StreamClusterer:
         rows = [(int(c), s.oid[s.label == c].tolist(), float(s.observations[s.label == c].sum() / whole)) for c in np.unique(s.label)]
         return self.spark.createDataFrame(rows, "color int, observers array<bigint>, share double")
 
+    def get_colors(self, time: float) -> DataFrame:
+        """(oid, color, weight, share): every observer's color map as of ``time``, and its distribution."""
+        s = self.state or State.new()
+        faded = s.weight * self.params.fade ** (time - s.colored)
+        rows = list(zip(s.owner.tolist(), s.color.tolist(), faded.tolist(), steps.distribution(s).tolist(), strict=True))
+        return self.spark.createDataFrame(rows, "oid bigint, color int, weight double, share double")
+
     # --- steps
 
     @property
     def _now(self) -> float:
-        return float(self.state.touched.max()) if len(self.state.touched) else 0.0
+        return self.state.now
 
     def _sample(self, points: DataFrame) -> None:
         """Rows come in with probability k / T for each unit of time a row stands for; the first
         batch fills the model. Of rows that share an index one can be an observer. At most k rows
-        reach the driver."""
+        reach the driver. With ``random_sampling`` a row's chance is a seeded hash of its index and
+        the filling batch is the time-biased reservoir; neither depends on partitions."""
         p, first = self.params, self.state is None
-        rank = F.rand(p.seed) if p.random_sampling else rank_of(F.col("idx"), p.seed) / F.lit(float(MODULUS))
-        ranked = points.withColumn("r", rank)
+        if not p.random_sampling:
+            ranked = points.withColumn("r", rank_of(F.col("idx"), p.seed) / F.lit(float(MODULUS)))
+        elif first:
+            ranked = points.withColumn("r", priority(F.col("idx"), F.col("t"), p.T, p.seed))
+        else:
+            ranked = points.withColumn("r", chance(F.col("idx"), p.seed))
         rate = min(1.0, p.k / p.T)
-        rows = (ranked if first else ranked.where(F.col("r") < rate)).orderBy("r", "idx", "t", "features").limit(p.k).toPandas().drop_duplicates("idx")
+        rows = (ranked if first else ranked.where(F.col("r") < rate)).orderBy("r", "idx", "t", "features").limit(p.k).toPandas()
         if first:
-            dim = len(rows["features"].iloc[0]) if len(rows) else 0
-            self.state = State.new(dim, p.freq_bins)
-        s = self.state
-        rows = rows[~rows["idx"].isin(s.oid)].sort_values(["t", "idx"])
-        if not len(rows):
-            return
-        now = float(max(rows["t"].max(), self._now))
-        extra = max(0, len(s.oid) + len(rows) - p.k)
-        if extra:  # the lowest averaged counts go first
-            av = s.observations * self.fade ** (now - s.touched) / np.maximum(1 - self.fade ** (now - s.added), 1e-12)
-            stay = np.sort(np.lexsort((s.oid, av))[extra:])
-            self.state = s = replace(s, **{n: getattr(s, n)[stay] for n in ("oid", "data", "observations", "added", "touched", "label", "color", "waves")})
-        n, t = len(rows), rows["t"].to_numpy(float)
-        cat = np.concatenate
-        self.state = replace(
-            s, oid=cat([s.oid, rows["idx"].to_numpy(np.int64)]), data=cat([s.data.reshape(len(s.oid), -1) if len(s.oid) else np.zeros((0, len(rows["features"].iloc[0]))), np.stack(rows["features"].to_numpy()).astype(float)]),
-            observations=cat([s.observations, np.zeros(n)]), added=cat([s.added, t]), touched=cat([s.touched, t]), label=cat([s.label, np.full(n, -1)]), color=cat([s.color, np.full(n, -1)]), waves=cat([s.waves, np.zeros((n, p.freq_bins), complex)]),
-        )
+            self.state = State.new(len(rows["features"].iloc[0]) if len(rows) else 0, p.freq_bins)
+        self.state = steps.admit(self.state, p, rows)
 
     def _count(self, points: DataFrame) -> None:
         """Faded hits of each observer, summed per partition and then over partitions."""
@@ -248,81 +160,25 @@ class StreamClusterer:
         edge = points.agg(F.max("t").alias("now"), F.count("*").alias("n")).first()
         if not edge["n"]:
             return
-        now = max(float(edge["now"]), self._now)
-        act = self._active(now)
-        shared = self.spark.sparkContext.broadcast((s, _plain(p), act, self.temporal))
-        named = _named(p)
-        fade, bins = self.fade, p.freq_bins
+        now = max(float(edge["now"]), s.now)
+        shared = self.spark.sparkContext.broadcast((s, p.plain(), steps.active(s, p, now), self.temporal))
+        named, bins = p.named, p.freq_bins
 
         def run(batches):
-            state, params, a, temporal = shared.value
+            state, params, act, temporal = shared.value
             k = len(state.oid)
-            hits, waves = np.zeros(k), np.zeros((k, bins), complex)
+            counted, waves = np.zeros(k), np.zeros((k, bins), complex)
             for batch in batches:
                 if len(batch):
-                    _, order = _nearest(batch, state, params, a, temporal, named)
-                    t = batch["t"].to_numpy(float)
-                    w = np.repeat(fade ** (now - t), order.shape[1])
-                    o = a[order.ravel()]
-                    hits += np.bincount(o, w, k)
-                    if temporal:
-                        phase = np.exp(1j * _frequencies(params)[None, :] * np.repeat(t, order.shape[1])[:, None])
-                        np.add.at(waves, o, w[:, None] * phase)
-            yield pd.DataFrame({"o": np.arange(k), "hits": hits, "re": list(waves.real), "im": list(waves.imag)})
+                    c, w = steps.hits(batch, state, params, act, temporal, named, now)
+                    counted, waves = counted + c, waves + w
+            yield pd.DataFrame({"o": np.arange(k), "hits": counted, "re": list(waves.real), "im": list(waves.imag)})
 
         parts = points.select("idx", "t", "features").mapInPandas(run, "o int, hits double, re array<double>, im array<double>")
         each = [F.sum(F.col(x)[i]).alias(f"{x}{i}") for x in ("re", "im") for i in range(bins)]
         rows = parts.groupBy("o").agg(F.sum("hits").alias("hits"), *each).orderBy("o").toPandas()
-        old = fade ** (now - s.touched)
-        s.observations = s.observations * old + rows["hits"].to_numpy()
-        s.waves = s.waves * old[:, None] + rows[[f"re{i}" for i in range(bins)]].to_numpy() + 1j * rows[[f"im{i}" for i in range(bins)]].to_numpy()
-        s.touched = np.full(len(s.oid), now)
-        s.rows += int(edge["n"])
-
-    def _active(self, now: float) -> np.ndarray:
-        """Indices of the observers that are not idle; new ones are active."""
-        s, p = self.state, self.params
-        age = 1 - self.fade ** (now - s.added)
-        av = np.where(age > 0, s.observations * self.fade ** (now - s.touched) / np.where(age > 0, age, 1), np.inf)
-        keep = math.ceil((1 - p.idle_observers) * len(s.oid))
-        return np.sort(np.lexsort((s.oid, -av))[:keep])
-
-    def _update(self) -> None:
-        """Cutoffs, edges, components, minimum size, and colors that live on by greatest overlap."""
-        s, p = self.state, self.params
-        act = self._active(self._now)
-        s.cutoff, s.label = np.zeros(len(s.oid)), np.full(len(s.oid), -1)
-        if len(act) < 2:
-            return
-        d = distances(s.data[act], s.data[act], *_named(p))
-        np.fill_diagonal(d, np.inf)
-        chi = min(len(act) - 1, max(p.chi_min, math.ceil(p.chi_prop * len(act))))
-        h = np.sort(d, axis=1)[:, chi - 1]
-        s.cutoff[act] = h
-        cut = p.zeta * h + (1 - p.zeta) * h.mean()
-        linked = (d < cut[:, None]) & (d < cut[None, :])
-        part = np.arange(len(act))
-        while True:
-            low = np.where(linked, part[None, :], len(act)).min(1)
-            after = np.minimum(part, low)
-            after = after[after]
-            if (after == part).all():
-                break
-            part = after
-        used, ranked = set(), sorted(((-(part == c).sum(), c) for c in np.unique(part)))
-        for _, c in ranked:
-            inside = act[part == c]
-            if len(inside) < p.e:
-                continue
-            old = s.color[inside]
-            old = old[(old >= 0) & ~np.isin(old, list(used))]
-            if len(old):
-                color = int(np.bincount(old).argmax())
-            else:
-                color, s.next_color = s.next_color, s.next_color + 1
-            used.add(color)
-            s.label[inside] = color
-            s.color[inside] = color
+        waves = rows[[f"re{i}" for i in range(bins)]].to_numpy() + 1j * rows[[f"im{i}" for i in range(bins)]].to_numpy()
+        self.state = steps.absorb(s, p, rows["hits"].to_numpy(), waves, now, int(edge["n"]))
 
 
 class TemporalStreamClusterer(StreamClusterer):
@@ -331,46 +187,8 @@ class TemporalStreamClusterer(StreamClusterer):
 
     temporal = True
 
-
-def _named(p: Parameters) -> tuple[str, float]:
-    return p.distance, p.p
-
-
-def _plain(p: Parameters) -> Parameters:
-    """Without a function of one's own, which travels in the closure of a task instead."""
-    return replace(p, distance="euclidean") if callable(p.distance) else p
-
-
-def _frequencies(p: Parameters) -> np.ndarray:
-    return p.max_freq * np.arange(p.freq_bins) / max(1, p.freq_bins - 1)
-
-
-def _nearest(batch: pd.DataFrame, s: State, p: Parameters, act: np.ndarray, temporal: bool, named: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """Distances of a batch to the active observers, and the places of the nearest ``x``."""
-    d = distances(np.stack(batch["features"].to_numpy()).astype(float), s.data[act], *named)
-    if p.perturb:
-        d = d + p.perturb * ((s.oid[act] % MODULUS * STEP + p.seed) % MODULUS / MODULUS)[None]
-    d[batch["idx"].to_numpy()[:, None] == s.oid[act][None]] = np.inf
-    rank = d
-    if temporal and p.freq_bins > 1:
-        waves = s.waves[act] / np.maximum(np.abs(s.waves[act][:, :1]), 1e-12)
-        phase = np.exp(-1j * _frequencies(p)[None] * batch["t"].to_numpy(float)[:, None])
-        density = np.maximum((phase @ waves.T).real / p.freq_bins, 0.05)
-        rank = d / density
-    x = min(p.x, d.shape[1])
-    order = np.argsort(np.round(rank, 9), axis=1, kind="stable")[:, :x]
-    near = np.take_along_axis(d, order, 1)
-    if x > 1 and np.isinf(near).any():  # the point's own observer does not count
-        for i in np.flatnonzero(np.isinf(near).any(1)):
-            row = [j for j in order[i] if not np.isinf(d[i, j])] or [order[i][0]]
-            order[i] = (row * x)[:x]
-    return np.where(np.isinf(d), 0.0, d), order
-
-
-def _vote(labels: np.ndarray) -> np.ndarray:
-    """The most frequent label of each row that is not -1, the least among equals."""
-    out, most = np.full(len(labels), -1), np.zeros(len(labels))
-    for c in np.unique(labels[labels >= 0]):
-        n = (labels == c).sum(1)
-        out, most = np.where(n > most, c, out), np.maximum(most, n)
-    return out
+    def get_patterns(self, phases: int) -> DataFrame:
+        """(oid, step, phase, density): when in a period each observer is hit, see ``scoring.patterns``."""
+        s, p = self.state or State.new(), self.params
+        rows = [(o, b, float(w.real), float(w.imag)) for o, waves in zip(s.oid.tolist(), s.waves, strict=True) for b, w in enumerate(waves)]
+        return patterns(self.spark.createDataFrame(rows, "oid bigint, bin int, re double, im double"), p.freq_bins, p.max_freq, phases)

@@ -8,7 +8,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import Metric, euclidean
-from .model import MOST_OBSERVERS, distances
+from .steps import MOST_OBSERVERS, distances
+
+
+def of_model(table: DataFrame) -> DataFrame:
+    """A table with a row for each observer of one model, to be broadcast: it fails, and sends
+    nothing, when it has more rows than a model may have."""
+    few = table.limit(MOST_OBSERVERS + 1)  # one partition, whose rows are numbered from 0
+    message = F.lit(f"a model has at most {MOST_OBSERVERS} observers")
+    return F.broadcast(few.where(F.assert_true(F.monotonically_increasing_id() < MOST_OBSERVERS, message).isNull()))
 
 
 def nearest(points: DataFrame, observers: DataFrame, x: int, metric: Metric = euclidean, exclude_self: bool = True, eps: str | None = None) -> DataFrame:
@@ -19,7 +27,8 @@ def nearest(points: DataFrame, observers: DataFrame, x: int, metric: Metric = eu
     """
     if metric is euclidean and eps is None:
         return _nearest_by_matrix(points, observers, x, exclude_self)
-    model = observers.agg(F.collect_list(F.struct("oid", "features", *([eps] if eps else []))).alias("model"))
+    few = observers.limit(MOST_OBSERVERS + 1).agg(F.collect_list(F.struct("oid", "features", *([eps] if eps else []))).alias("model"))
+    model = few.where(F.assert_true(F.size("model") <= MOST_OBSERVERS, F.lit(f"a model has at most {MOST_OBSERVERS} observers")).isNull())
     own = points.select("idx", "t", "features").crossJoin(F.broadcast(model))
     others = F.filter("model", lambda o: o["oid"] != F.col("idx")) if exclude_self else F.col("model")
     measured = F.transform(others, lambda o: F.struct(*[F.round(metric(F.col("features"), o["features"]), 9).alias("key")] + ([o[eps].alias("eps")] if eps else []) + [o["oid"].alias("oid")]))
@@ -55,7 +64,7 @@ def _nearest_by_matrix(points: DataFrame, observers: DataFrame, x: int, exclude_
 def pair_distances(observers: DataFrame, metric: Metric = euclidean) -> DataFrame:
     """(a, b, d) for ordered pairs of different observers of one bounded model."""
     a, b = observers.select(F.col("oid").alias("a"), F.col("features").alias("fa")), observers.select(F.col("oid").alias("b"), F.col("features").alias("fb"))
-    return a.join(F.broadcast(b), F.col("a") != F.col("b")).select("a", "b", F.round(metric(F.col("fa"), F.col("fb")), 9).alias("d"))
+    return a.join(of_model(b), F.col("a") != F.col("b")).select("a", "b", F.round(metric(F.col("fa"), F.col("fb")), 9).alias("d"))
 
 
 def cutoffs(pairs: DataFrame, chi: int) -> DataFrame:

@@ -15,12 +15,12 @@ from ..functions import codec, decay, distance, metrics
 from ..operators import graph, neighbours, sampling, scoring
 from ..operators.model import StreamClusterer, TemporalStreamClusterer
 from ..sources import points as sources
-from ..streaming import runner
+from ..streaming import keyed, runner
 from .model_sql import model_sql
 from .scratch import materialize, scratch_root
 
 K, X, CHI, ZETA, MIN_SIZE, HORIZON, IDLE, BLOCK, BUFFER = 100, 5, 3, 0.6, 2, 400.0, 0.3, 64, 10
-BINS, MAX_FREQ = 4, 0.1
+BINS, MAX_FREQ, PHASES = 4, 0.1, 24
 
 
 class _Plan:
@@ -246,6 +246,27 @@ def temporal_fourier_sums(spark, sf_dir):
     return sums.select("oid", "bin", F.round("re", 6).alias("re"), F.round("im", 6).alias("im"))
 
 
+def temporal_patterns(spark, sf_dir):
+    """When in a period each observer is hit, from its Fourier sums."""
+    plan = _Plan(spark, sf_dir)
+    rows = scoring.patterns(scoring.fourier_sums(plan.near(), plan.now, HORIZON, BINS, MAX_FREQ), BINS, MAX_FREQ, PHASES)
+    return rows.select("oid", "step", F.round("phase", 6).alias("phase"), F.round("density", 6).alias("density"))
+
+
+def temporal_peaks(spark, sf_dir):
+    """The time of each observer's highest density."""
+    plan = _Plan(spark, sf_dir)
+    rows = scoring.peaks(scoring.patterns(scoring.fourier_sums(plan.near(), plan.now, HORIZON, BINS, MAX_FREQ), BINS, MAX_FREQ, PHASES))
+    return rows.select("oid", F.round("phase", 6).alias("phase"), F.round("density", 6).alias("density"))
+
+
+def model_temporal_predict(spark, sf_dir):
+    """A temporal model of one half of the points scores all of them, unchanged: fit, then predict at other phases."""
+    pts = sources.valid(sources.from_embeddings(spark, sf_dir))
+    model = TemporalStreamClusterer(spark, k=K, T=HORIZON, x=X, chi_min=CHI, zeta=ZETA, e=MIN_SIZE, idle_observers=IDLE, freq_bins=BINS, max_freq=MAX_FREQ)
+    return model.fit(pts.where("idx % 2 = 0")).predict(pts).select("idx", "label", F.round("score", 6).alias("score"))
+
+
 def fit_predict_flagship(spark, sf_dir):
     """Observers, faded counts, the idle cut, nearest active observers, score, label, 3 sigma."""
     plan = _Plan(spark, sf_dir)
@@ -325,6 +346,86 @@ def csv_fit_predict(spark, sf_dir):
     return out.select("idx", "label", F.round("score", 6).alias("score"))
 
 
+def _by_blocks(spark, sf_dir, **more):
+    """A model that has seen the events in four blocks, oldest first, and the scores of all."""
+    pts = materialize(sources.numbered(sources.valid(sources.from_events(spark, sf_dir)).drop("idx"), ["t", "features"]), "event_blocks")
+    size = -(-pts.count() // 4)
+    model, out = StreamClusterer(spark, k=K, T=86400.0, x=X, chi_min=CHI, zeta=ZETA, e=MIN_SIZE, **more), None
+    for block in range(4):
+        scored = model.fit_predict(pts.where(F.floor(F.col("idx") / F.lit(size)) == block))
+        out = scored if out is None else out.unionByName(scored)
+    return model, out
+
+
+def model_colors(spark, sf_dir):
+    """The color maps of a model after four blocks: weights faded to now, and shares."""
+    model, _ = _by_blocks(spark, sf_dir)
+    return model.get_colors(model.state.now).select("oid", "color", F.round("weight", 6).alias("weight"), F.round("share", 6).alias("share"))
+
+
+def model_color_votes(spark, sf_dir):
+    """Labels by the color maps of the nearest observers, over four blocks."""
+    _, out = _by_blocks(spark, sf_dir)
+    return out.select("idx", "label", F.round("score", 6).alias("score"))
+
+
+def model_random_sampling(spark, sf_dir):
+    """Observers drawn by a seeded digest and a time-biased reservoir, over four blocks."""
+    _, out = _by_blocks(spark, sf_dir, random_sampling=True, seed=5)
+    return out.select("idx", "label", F.round("score", 6).alias("score"))
+
+
+def reservoir_sample(spark, sf_dir):
+    """A time-biased sample of the items, merged from those of the even and the odd ones."""
+    pts = sources.valid(sources.from_lineitem(spark, sf_dir), 4)
+    halves = [sampling.reservoir(pts.where(F.col("idx") % 2 == r), K, HORIZON, 7) for r in (0, 1)]
+    return sampling.merged(*halves, K).select("idx", "t", F.round("priority", 6).alias("priority"))
+
+
+KEYS = 4
+
+
+def _keyed(spark, sf_dir):
+    """Events as a stream in three steps, a model for each of four keys, the query started anew for
+    each step; a buffer holds three eighths of a key's rows, so that groups end within steps and some rows wait at the end. Returns where
+    the scores and the checkpoint are."""
+    pts = sources.valid(sources.from_events(spark, sf_dir))
+    pts = materialize(sources.numbered(pts.withColumnRenamed("idx", "id"), ["t", "id"], "n").select(F.col("id").alias("idx"), "t", "features", F.pmod("id", F.lit(KEYS)).alias("key"), "n"), "keyed_points")
+    many = pts.count()
+    place, provider = f"{scratch_root(spark)}/keyed-{uuid.uuid4().hex}", "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for part in range(3):
+            pts.where(F.floor(F.col("n") * 3 / F.lit(max(1, many))) == part).drop("n").coalesce(1).write.parquet(f"{place}/in/{part}")
+            stream = spark.readStream.schema("idx bigint, t double, features array<double>, key bigint").option("recursiveFileLookup", "true").parquet(f"{place}/in")
+            scores = keyed.score_by_key(stream, "key", k=K, T=86400.0, x=X, chi_min=CHI, zeta=ZETA, e=MIN_SIZE, input_buffer=max(1, many * 3 // (8 * KEYS)))
+            scores.writeStream.format("parquet").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start(f"{place}/scores").awaitTermination()
+    finally:
+        spark.conf.set(provider, old)
+    return spark.read.schema("key bigint, grp bigint, idx bigint, label int, score double").parquet(f"{place}/scores"), f"{place}/checkpoint"
+
+
+def keyed_fit_predict(spark, sf_dir):
+    """Scores of a model for each key."""
+    scores, _ = _keyed(spark, sf_dir)
+    return scores.select("key", "idx", "label", F.round("score", 6).alias("score"))
+
+
+def keyed_buffer(spark, sf_dir):
+    """The groups that were learned, and the rows that still wait (group -1), read from the state."""
+    scores, checkpoint = _keyed(spark, sf_dir)
+    rows = scores.select("key", "grp", "idx").unionByName(keyed.waiting(spark, checkpoint).select("key", F.lit(-1).cast("bigint").alias("grp"), "idx"))
+    return rows.groupBy("key", "grp").agg(F.count("*").alias("n"), F.min("idx").alias("first"), F.max("idx").alias("last"))
+
+
+def keyed_observers(spark, sf_dir):
+    """Every key's model, read from the state store."""
+    _, checkpoint = _keyed(spark, sf_dir)
+    rows = keyed.observers(spark, checkpoint, 86400.0)
+    return rows.select("key", "oid", "label", F.round("observations", 6).alias("observations"), F.round("av_observations", 6).alias("av_observations"))
+
+
 _PTS = "pts AS (SELECT vec_id AS idx, CAST(vec_id AS DOUBLE) AS t, CAST(embedding AS DOUBLE[]) AS f, label AS truth FROM embeddings)"
 _OBS = f"obs AS (SELECT idx AS oid, t AS time_added, f FROM pts ORDER BY (idx * 7919 + 13) % 1000003, idx LIMIT {K})"
 _NOW = "now AS (SELECT max(t) AS now FROM pts)"
@@ -372,6 +473,16 @@ _ITEMS = "SELECT l_orderkey * 8 + l_linenumber AS idx, epoch_us(l_shipdate) / CA
 _CSV = f"""SELECT row_number() OVER (ORDER BY t, f0, f1, label) - 1 AS idx, t, [f0, f1] AS f FROM (
   SELECT {_SECONDS} AS t, round(value / 100, 6) AS f0, round({_SECONDS} % 86400 / 86400, 6) AS f1, event_id % 3 - 1 AS label FROM events)"""
 _QUARTERS = [f"idx // CAST(ceil((SELECT count(*) FROM pts) / CAST(4 AS DOUBLE)) AS BIGINT) = {b}" for b in range(4)]
+_RANKED = f"SELECT row_number() OVER (ORDER BY t, f) - 1 AS idx, t, f FROM ({_EVENTS})"
+_CHANCE = "(CAST('0x' || left(md5('{}:' || CAST(idx AS VARCHAR)), 13) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE)"
+_BASE = f"CAST({MAX_FREQ} AS DOUBLE) / CAST({BINS - 1} AS DOUBLE)"
+_PATTERN = (
+    f"""waves AS (SELECT oid, CAST(bin AS INTEGER) AS bin, sum(exp(-(now - t) / CAST({HORIZON} AS DOUBLE)) * cos({_BASE} * bin * t)) AS re, sum(exp(-(now - t) / CAST({HORIZON} AS DOUBLE)) * sin({_BASE} * bin * t)) AS im
+  FROM near, now, range({BINS}) AS b(bin) GROUP BY oid, bin)""",
+    f"grid AS (SELECT CAST(step AS INTEGER) AS step, step * 2 * pi() / ({_BASE}) / {PHASES} AS phase FROM range({PHASES}) AS g(step))",
+    f"""pattern AS (SELECT oid, step, phase, sum(CASE bin WHEN 0 THEN re ELSE 2 * (re * cos({_BASE} * bin * phase) + im * sin({_BASE} * bin * phase)) END) / sum(CASE bin WHEN 0 THEN re ELSE 0 END) AS density
+  FROM waves, grid GROUP BY oid, step, phase)""",
+)
 _ANSWER = "SELECT idx, label, round(score, 6) AS score FROM answer"
 
 
@@ -379,6 +490,17 @@ def _model_sql(points: str, last: str = _ANSWER, horizon: float = HORIZON, **mor
     return model_sql(points, last, k=K, horizon=horizon, x=X, chi=CHI, zeta=ZETA, size=MIN_SIZE, idle=IDLE, **more)
 
 
+def _keyed_sql(last: str) -> str:
+    """The model's SQL for each key, over the groups of its buffer that are full."""
+    size = f"(SELECT greatest(1, count(*) * 3 // {8 * KEYS}) FROM ({_EVENTS}))"
+    parts = []
+    for key in range(KEYS):
+        own = f"SELECT idx, t, f, row_number() OVER (ORDER BY t, idx) - 1 AS rn FROM ({_EVENTS}) WHERE idx % {KEYS} = {key}"
+        blocks = [f"rn // {size} = {b} AND (rn // {size} + 1) * {size} <= (SELECT count(*) FROM pts)" for b in range(2)]
+        parts.append(f"SELECT CAST({key} AS BIGINT) AS key, * FROM ({_model_sql(own, last, 86400.0, blocks=blocks)})")
+    return " UNION ALL ".join(parts)
+
+
 _TABLE: dict = {
     "dist_euclidean": (_distance("euclidean"), _distance_sql("list_distance(p.f, o.f)")),
     "dist_manhattan": (_distance("manhattan"), _distance_sql(f"list_sum({_GAPS.format('abs(p.f[i] - o.f[i])')})")),
@@ -425,6 +547,9 @@ g AS (SELECT sum(rk) FILTER (pos) AS r, CAST(count(*) FILTER (pos) AS DOUBLE) AS
     "codec_round_trip": (codec_round_trip, "SELECT event_id, right(lpad(lower(hex(event_id * -3 + 1000)), 16, CASE WHEN event_id * -3 + 1000 < 0 THEN 'f' ELSE '0' END), 8) AS bytes, event_id * -3 + 1000 AS n, value FROM events"),
     "fading_factors": (fading_factors, _sql(f"SELECT idx, round(exp(-(now - t) / CAST({HORIZON} AS DOUBLE)), 9) AS weight, round(nullif(1 - exp(-(now - t) / CAST({HORIZON} AS DOUBLE)), 0), 9) AS age FROM pts, now")),
     "temporal_fourier_sums": (temporal_fourier_sums, _sql(_NEAR, f"""x AS (SELECT oid, CAST(bin AS INTEGER) AS bin, exp(-(now - t) / CAST({HORIZON} AS DOUBLE)) AS w, CAST({MAX_FREQ} AS DOUBLE) * bin / CAST({BINS - 1} AS DOUBLE) * t AS ph FROM near, now, range({BINS}) AS b(bin))""", "SELECT oid, bin, round(sum(w * cos(ph)), 6) AS re, round(sum(w * sin(ph)), 6) AS im FROM x GROUP BY oid, bin")),
+    "temporal_patterns": (temporal_patterns, _sql(_NEAR, *_PATTERN, "SELECT oid, step, round(phase, 6) AS phase, round(density, 6) AS density FROM pattern")),
+    "temporal_peaks": (temporal_peaks, _sql(_NEAR, *_PATTERN, "SELECT oid, round(phase, 6) AS phase, round(density, 6) AS density FROM (SELECT *, row_number() OVER (PARTITION BY oid ORDER BY round(density, 9) DESC, step) AS rk FROM pattern) WHERE rk = 1")),
+    "model_temporal_predict": (model_temporal_predict, _model_sql(_EMBEDDED, blocks=["idx % 2 = 0"], predict="true", waves=(BINS, MAX_FREQ))),
     "fit_predict_flagship": (fit_predict_flagship, _sql(_NEAR, _FADED, _AV, _ACTIVE, *_GRAPH, _NEAR.replace("near AS", "awake AS", 1).replace("JOIN obs o", "JOIN (SELECT * FROM obs WHERE oid IN (SELECT oid FROM act)) o"), _VOTES.replace("near", "awake"), _SCORES.replace("near", "awake"), _OVERWRITE)),
     "get_observers": (get_observers, _sql(_NEAR, _FADED, _AV, *_GRAPH, "SELECT oid, label, round(observations, 6) AS observations, round(av_observations, 6) AS av_observations FROM av JOIN labels USING (oid)")),
     "observer_count": (observer_count, _sql("SELECT count(*) AS n FROM obs")),
@@ -435,6 +560,14 @@ g AS (SELECT sum(rk) FILTER (pos) AS r, CAST(count(*) FILTER (pos) AS DOUBLE) AS
     "streaming_fit_predict": (streaming_fit_predict, _model_sql(_EMBEDDED)),
     "csv_points": (csv_points, """SELECT row_number() OVER (ORDER BY t, f0, f1, label) - 1 AS idx, round(t, 3) AS t, f0, f1, label FROM (
   SELECT epoch_us(ts) / CAST(1000000 AS DOUBLE) AS t, round(value / 100, 6) AS f0, round((epoch_us(ts) / CAST(1000000 AS DOUBLE)) % 86400 / 86400, 6) AS f1, CAST(event_id % 3 - 1 AS INTEGER) AS label FROM events)"""),
+    "model_colors": (model_colors, _model_sql(_RANKED, "SELECT oid, CAST(color AS INTEGER) AS color, round(weight * exp(-((SELECT max(touched) FROM model) - ct) / CAST(86400 AS DOUBLE)), 6) AS weight, round(share, 6) AS share FROM maps", 86400.0, blocks=_QUARTERS)),
+    "model_color_votes": (model_color_votes, _model_sql(_RANKED, horizon=86400.0, blocks=_QUARTERS)),
+    "model_random_sampling": (model_random_sampling, _model_sql(_RANKED, horizon=86400.0, blocks=_QUARTERS, chance=5)),
+    "reservoir_sample": (reservoir_sample, f"SELECT idx, t, round(p, 6) AS priority FROM (SELECT idx, t, ln(-ln({_CHANCE.format(7)})) - t / CAST({HORIZON} AS DOUBLE) AS p FROM ({_ITEMS})) ORDER BY p, idx LIMIT {K}"),
+    "keyed_fit_predict": (keyed_fit_predict, _keyed_sql(_ANSWER)),
+    "keyed_buffer": (keyed_buffer, f"""WITH e AS ({_EVENTS}), r AS (SELECT idx % {KEYS} AS key, idx, row_number() OVER (PARTITION BY idx % {KEYS} ORDER BY t, idx) - 1 AS rn, count(*) OVER (PARTITION BY idx % {KEYS}) AS m, (SELECT greatest(1, count(*) * 3 // {8 * KEYS}) FROM e) AS size FROM e)
+SELECT key, CASE WHEN (rn // size + 1) * size <= m THEN rn // size ELSE -1 END AS grp, count(*) AS n, min(idx) AS first, max(idx) AS last FROM r GROUP BY ALL"""),
+    "keyed_observers": (keyed_observers, _keyed_sql("SELECT oid, label, round(n, 6) AS observations, round(n / nullif(1 - exp(-(touched - added) / CAST(86400 AS DOUBLE)), 0), 6) AS av_observations FROM model")),
     "csv_fit_predict": (csv_fit_predict, _model_sql(_CSV, horizon=86400.0, blocks=_QUARTERS)),
 }
 

@@ -39,15 +39,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def delete(df: DataFrame) -> None:
     """Remove the files of a table that ``materialize`` returned."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(df.sparkSession, folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Remove a folder, wherever Spark can write."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def clean(spark: SparkSession) -> None:
     """Remove everything that this application has written to the scratch folder."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, scratch_root(spark))

@@ -75,10 +75,15 @@ def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_columns(df, F.col("event_id"), t, [F.col("value") / 100, F.pmod(t, F.lit(86400.0)) / 86400])
 
 
+def is_valid(dimension: int | None = None) -> Column:
+    """Whether a point has a time and finite numbers only, ``dimension`` of them; never null."""
+    ok = F.col("t").isNotNull() & F.col("features").isNotNull() & F.forall("features", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(ok if dimension is None else ok & (F.size("features") == dimension), F.lit(False))
+
+
 def valid(points: DataFrame, dimension: int | None = None) -> DataFrame:
     """Drops rows with nulls, non-finite numbers or another dimension."""
-    ok = F.col("t").isNotNull() & F.col("features").isNotNull() & F.forall("features", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return points.where(ok if dimension is None else ok & (F.size("features") == dimension))
+    return points.where(is_valid(dimension))
 
 
 def checked(points: DataFrame, dimension: int) -> DataFrame:

@@ -1,47 +1,50 @@
-"""Structured Streaming: micro-batches through one model, or one model for each key.
+"""Structured Streaming: micro-batches through one model.
 
 ``run`` feeds every micro-batch to a model (sample, fit, update, predict) and appends the scores.
-The model after a batch is saved beside them, so that a batch that is replayed, after a restart
-too, starts from the model before it, learns once and overwrites its own output with the same rows. ``KeyedClusterer``
-keeps a small model for each stream id in the state store (``transformWithStateInPandas``).
+The model after a batch, with the rows that wait in its input buffer, is saved beside them, so that a
+batch that is replayed, after a restart too, starts from the model before it, learns once and
+overwrites its own output with the same rows. ``keyed`` has a model for each key.
 """
 
 from __future__ import annotations
 
 import copy
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.model import StreamClusterer
-from ..sources.points import valid
+from ..plans.scratch import remove
+from ..sources.points import is_valid
 
 
 def run(stream: DataFrame, model: StreamClusterer, out: str, checkpoint: str, available_now: bool = True):
     """Scores (idx, label, score) of a stream of points to Parquet folders batch=<id> below ``out``.
 
     A row for each row: those with a null or non-finite number, or of another dimension than the
-    model, get label -1 and no score.
+    model (without one: than the batch's first row), get label -1 and no score. Models of the last
+    two batches are kept.
     """
-    before, after = copy.deepcopy(model.state), [-1]  # of the first batch; the last batch that was learned
+    before, after = (copy.deepcopy(model.state), list(model._waiting), model._waiting_rows), [-1]  # of the first batch; the last batch that was learned
 
     def step(batch: DataFrame, number: int) -> None:
         if number == 0:
-            model.state = copy.deepcopy(before)
+            model.state, model._waiting, model._waiting_rows = copy.deepcopy(before[0]), list(before[1]), before[2]
         elif after[0] != number - 1:
             model.load(f"{checkpoint}/model/{number - 1}")
         rows = batch.persist()
         try:
-            known = valid(rows, model.state.data.shape[1] if model.observer_count() else None)
-            scored = model.predict(known) if known.isEmpty() else model.fit_predict(known.orderBy("t", "idx"))
-            others = rows.select("idx").exceptAll(known.select("idx"))
-            others = others.select("idx", F.lit(-1).alias("label"), F.lit(None).cast("double").alias("score"))
+            wide = model.state.data.shape[1] if model.observer_count() else None
+            if wide is None:
+                wide = rows.where(is_valid()).agg(F.min_by(F.size("features"), F.struct("t", "idx"))).first()[0]
+            good = is_valid(wide)
+            known = rows.where(good)
+            scored = model.predict(known) if known.isEmpty() else model.fit_predict(known)
+            others = rows.where(~good).select("idx", F.lit(-1).alias("label"), F.lit(None).cast("double").alias("score"))
             scored.unionByName(others).write.mode("overwrite").parquet(f"{out}/batch={number}")
             model.save(f"{checkpoint}/model/{number}")
+            if number > 1:
+                remove(batch.sparkSession, f"{checkpoint}/model/{number - 2}")
             after[0] = number
         finally:
             rows.unpersist()
@@ -53,60 +56,3 @@ def run(stream: DataFrame, model: StreamClusterer, out: str, checkpoint: str, av
 def buffered(points: DataFrame, size: int) -> DataFrame:
     """Rows with the number of the buffer of ``size`` rows they fall into, by their index."""
     return points.withColumn("buffer", F.floor(F.col("idx") / F.lit(max(1, size))).cast("bigint"))
-
-
-class DataBuffer:
-    """Collects rows of arrays up to ``size`` and hands them out whole."""
-
-    def __init__(self, size: int = 0):
-        self.size, self.rows = size, []
-
-    def add(self, data: np.ndarray, times: np.ndarray) -> bool:
-        """True when the buffer is full."""
-        if len(data) != len(times):
-            raise ValueError(f"{len(data)} rows of data, {len(times)} times")
-        self.rows += list(zip(np.asarray(data, float), np.asarray(times, float), strict=True))
-        return len(self.rows) >= self.size
-
-    def flush(self) -> tuple[np.ndarray, np.ndarray]:
-        rows, self.rows = self.rows, []
-        return np.array([d for d, _ in rows]), np.array([t for _, t in rows])
-
-
-class KeyedClusterer(StatefulProcessor):
-    """For each key at most ``k`` observers with faded counts; a row's score is the median distance
-    to its nearest ``x``. State is rows of the key's own store, of bounded number."""
-
-    def __init__(self, k: int = 32, x: int = 3, fade: float = 0.99):
-        self.k, self.x, self.fade = k, x, fade
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.observers = handle.getListState("observers", "features array<double>, n double, t double")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        model = [(np.array(f), n, t) for f, n, t in self.observers.get()] if self.observers.exists() else []
-        for batch in rows:
-            out = []
-            for idx, t, f in batch.sort_values(["t", "idx"])[["idx", "t", "features"]].itertuples(index=False):
-                f = np.asarray(f, float)
-                d = np.array([np.linalg.norm(f - o) for o, _, _ in model])
-                near = np.argsort(d, kind="stable")[: self.x]
-                out.append((key[0], idx, float(np.median(d[near])) if len(near) else 0.0))
-                for j in near:
-                    o, n, then = model[j]
-                    model[j] = (o, n * self.fade ** (t - then) + 1, t)
-                if len(model) >= self.k and (idx * 7919) % self.k == 0:
-                    model.pop(min(range(len(model)), key=lambda j: model[j][1:]))
-                if len(model) < self.k:
-                    model.append((f, 1.0, t))
-            yield pd.DataFrame(out, columns=["key", "idx", "score"])
-        self.observers.put([(o.tolist(), float(n), float(t)) for o, n, t in model])
-
-    def close(self) -> None:
-        pass
-
-
-def score_by_key(stream: DataFrame, key: str, **options) -> DataFrame:
-    """(key, idx, score) of a stream (key, idx, t, features), one model for each key. Needs the
-    RocksDB state store."""
-    return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=KeyedClusterer(**options), outputStructType=f"key {dict(stream.dtypes)[key]}, idx bigint, score double", outputMode="Append", timeMode="None")

@@ -212,15 +212,6 @@ def test_own_metric_and_input_buffer(spark):
         Parameters(distance="none")
 
 
-def test_buffer():
-    b = runner.DataBuffer(3)
-    assert not b.add(np.ones((2, 2)), np.ones(2)) and b.add(np.ones((2, 2)), np.ones(2))
-    data, times = b.flush()
-    assert data.shape == (4, 2) and len(times) == 4 and not b.rows
-    with pytest.raises(ValueError):
-        b.add(np.ones((2, 2)), np.ones(1))
-
-
 def test_streaming_equals_batches(spark, tmp_path):
     first, _, _ = blobs(spark)
     second, _, _ = blobs(spark, first=1000)
@@ -234,12 +225,3 @@ def test_streaming_equals_batches(spark, tmp_path):
     want = [tuple(r) for part in (first, second) for r in batch.fit_predict(part).orderBy("idx").collect()]
     got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("idx", "label", "score").orderBy("idx").collect()]
     assert [g[:2] for g in got] == [w[:2] for w in want]
-
-
-def test_a_model_for_each_key(spark, tmp_path):
-    pts, _, _ = blobs(spark, 40)
-    pts.withColumn("key", F.col("idx") % 2).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("idx bigint, t double, features array<double>, key bigint").parquet(str(tmp_path / "in"))
-    q = runner.score_by_key(stream, "key", k=8).writeStream.format("memory").queryName("keyed").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert spark.sql("select count(distinct idx), count(distinct key) from keyed").first() == (41, 2)

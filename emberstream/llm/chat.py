@@ -78,6 +78,8 @@ class PartVisitor:
     def flatten(self, parts) -> Flattened:
         out = Flattened()
         for part in parts or []:
+            if part is None:  # says nothing
+                continue
             getattr(self, "visit_" + str(part["type"]), self.unknown)(part, out)
         return out
 

@@ -156,21 +156,23 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     languages. Of a text longer than ``max_train_chars``, pieces spread evenly over it stand for it,
     of about so many characters together.
 
-    Rows are first thinned by a digest of the id, to about twice what is wanted of a language, so
-    that one scan finds them and only the sample moves.
+    Rows are first thinned by a digest of id and text, to about twice what is wanted of a language, so
+    that one scan finds them and only the sample moves; the row of a language's least digest always
+    stays. Rows of equal digest count once.
     """
     rows = docs.select(column(id_col).alias("id"), column(text_col).alias("text"), column(lang_col).alias("lang")).where("lang is not null and text is not null")
     if held_out_fold is not None:
         rows = rows.where(crc_fold(F.col("id"), folds) != held_out_fold)
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs)  # at most max_langs rows
-    digest = F.xxhash64(F.coalesce(F.col("id"), F.lit(0)).cast("string"))
-    share = F.pmod(digest, F.lit(1 << 30)) / F.lit(float(1 << 30))
-    thin = rows.join(F.broadcast(counts), "lang").where(share * F.col("count") < 2.0 * max_per_lang + 50)
+    rows = rows.withColumn("digest", F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "text"))
+    counts = rows.groupBy("lang").agg(F.count("*").alias("count"), F.min("digest").alias("least")).orderBy(F.desc("count"), "lang").limit(max_langs)  # at most max_langs rows
+    share = F.pmod("digest", F.lit(1 << 30)) / F.lit(float(1 << 30))
+    thin = rows.join(F.broadcast(counts), "lang").where((share * F.col("count") < 2.0 * max_per_lang + 50) | (F.col("digest") == F.col("least")))
     pieces = max(2, max_train_chars // WINDOW)
     piece = lambda i: F.substring("text", (i * (F.length("text") - WINDOW) / (pieces - 1)).cast("int") + 1, F.lit(WINDOW))
     spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), piece), " ")
     thin = thin.withColumn("text", F.when(F.length("text") > max_train_chars, spread).otherwise(F.col("text")))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(digest, "id", "text"))
+    thin = thin.groupBy("lang", "digest").agg(F.min("text").alias("text"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("digest"))
     sample = thin.withColumn("place", place).where(F.col("place") <= max_per_lang).select("lang", "place", "text").collect()
     sample.sort(key=lambda r: (r["lang"], r["place"]))
     return train([r["text"] for r in sample], [r["lang"] for r in sample])

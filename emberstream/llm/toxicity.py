@@ -225,7 +225,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     texts = docs.select(column(id_col).alias("id"), column(text_col).alias("text")).where("text is not null")
     words = F.array_join(F.array_distinct(F.split("text", _SPLIT)), " ")
     rows = texts.join(F.broadcast(sample), "id").withColumn("text", F.when(F.length("text") > max_train_chars, words).otherwise(F.col("text")))
-    rows = rows.orderBy("id", "text").limit(2 * max_per_class).select("text", "y").toPandas()
+    # an id that repeats counts once, by its least text
+    rows = rows.groupBy("id").agg(F.min("text").alias("text"), F.max("y").alias("y")).orderBy("id", "text").select("text", "y").toPandas()
     return train(rows["text"].tolist(), rows["y"].to_numpy())
 
 

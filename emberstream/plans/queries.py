@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import codec, decay, distance, metrics
+from ..functions import codec, decay, distance, evaluation, metrics
 from ..operators import graph, neighbours, sampling, scoring
 from ..operators.model import StreamClusterer, TemporalStreamClusterer
 from ..sources import points as sources
@@ -382,6 +382,20 @@ def reservoir_sample(spark, sf_dir):
     return sampling.merged(*halves, K).select("idx", "t", F.round("priority", 6).alias("priority"))
 
 
+def windowed_measures(spark, sf_dir):
+    """Measures of each closed day of a stream of scored events; every third event is taken for an outlier."""
+    pts = materialize(sources.numbered(sources.valid(sources.from_events(spark, sf_dir)).drop("idx"), ["t", "features"]), "event_blocks")
+    model = StreamClusterer(spark, k=K, T=86400.0, x=X, chi_min=CHI, zeta=ZETA, e=MIN_SIZE)
+    scored = model.fit_predict(pts).join(pts.select("idx", "t"), "idx")
+    place = f"{scratch_root(spark)}/measures-{uuid.uuid4().hex}"
+    scored.select(F.timestamp_micros((F.col("t") * 1e6).cast("bigint")).alias("ts"), F.pmod("idx", F.lit(3)).alias("truth"), "label", "score").write.parquet(f"{place}/in")
+    stream = spark.readStream.schema("ts timestamp, truth bigint, label int, score double").option("maxFilesPerTrigger", 1_000_000).parquet(f"{place}/in")
+    runner.evaluate(stream, "ts", "1 day", "1 hour", f"{place}/out", f"{place}/checkpoint").awaitTermination()
+    counts = spark.read.schema("start timestamp, truth bigint, label int, score double, n bigint").parquet(f"{place}/out")
+    rows = evaluation.measures(counts, F.col("truth") == 0)
+    return rows.select(F.unix_seconds("start").alias("start"), "n", *[F.round(c, 6).alias(c) for c in ("ari", "auc", "threshold")])
+
+
 KEYS = 4
 
 
@@ -501,6 +515,20 @@ def _keyed_sql(last: str) -> str:
     return " UNION ALL ".join(parts)
 
 
+_MEASURES = """SELECT CAST(w.start AS BIGINT) AS start, w.n, round(ari, 6) AS ari, round(auc, 6) AS auc, round(threshold, 6) AS threshold FROM (
+  SELECT start, count(*) AS n, avg(score) + 3 * stddev_pop(score) AS threshold FROM closed GROUP BY start) w
+JOIN (SELECT start, coalesce((s - a * b / p) / nullif((a + b) / 2 - a * b / p, 0), 1) AS ari FROM (
+    SELECT start, sum(m * (m - 1) / 2) AS s, sum(m) * (sum(m) - 1) / 2 AS p FROM (SELECT start, truth, label, CAST(count(*) AS DOUBLE) AS m FROM closed GROUP BY ALL) GROUP BY start)
+  JOIN (SELECT start, sum(m * (m - 1) / 2) AS a FROM (SELECT start, truth, CAST(count(*) AS DOUBLE) AS m FROM closed GROUP BY ALL) GROUP BY start) USING (start)
+  JOIN (SELECT start, sum(m * (m - 1) / 2) AS b FROM (SELECT start, label, CAST(count(*) AS DOUBLE) AS m FROM closed GROUP BY ALL) GROUP BY start) USING (start)) USING (start)
+JOIN (SELECT start, (sum(rk) FILTER (truth = 0) - pos * (pos + 1) / 2) / nullif(pos * (n - pos), 0) AS auc FROM (
+    SELECT start, truth, rank() OVER (PARTITION BY start ORDER BY score) + (count(*) OVER (PARTITION BY start, score) - 1) / CAST(2 AS DOUBLE) AS rk,
+      CAST(count(*) FILTER (truth = 0) OVER (PARTITION BY start) AS DOUBLE) AS pos, count(*) OVER (PARTITION BY start) AS n FROM closed) GROUP BY start, pos, n) USING (start)"""
+_CLOSED = f"""WITH answered AS (SELECT * FROM ({{answer}})), ranked AS ({_RANKED}), seen AS (SELECT t, idx % 3 AS truth, label, score FROM answered JOIN ranked USING (idx)),
+closed AS (SELECT floor(t / 86400) * 86400 AS start, truth, label, score FROM seen WHERE floor(t / 86400) * 86400 + 86400 <= (SELECT max(t) - 3600 FROM seen))
+"""
+
+
 _TABLE: dict = {
     "dist_euclidean": (_distance("euclidean"), _distance_sql("list_distance(p.f, o.f)")),
     "dist_manhattan": (_distance("manhattan"), _distance_sql(f"list_sum({_GAPS.format('abs(p.f[i] - o.f[i])')})")),
@@ -568,6 +596,7 @@ g AS (SELECT sum(rk) FILTER (pos) AS r, CAST(count(*) FILTER (pos) AS DOUBLE) AS
     "keyed_buffer": (keyed_buffer, f"""WITH e AS ({_EVENTS}), r AS (SELECT idx % {KEYS} AS key, idx, row_number() OVER (PARTITION BY idx % {KEYS} ORDER BY t, idx) - 1 AS rn, count(*) OVER (PARTITION BY idx % {KEYS}) AS m, (SELECT greatest(1, count(*) * 3 // {8 * KEYS}) FROM e) AS size FROM e)
 SELECT key, CASE WHEN (rn // size + 1) * size <= m THEN rn // size ELSE -1 END AS grp, count(*) AS n, min(idx) AS first, max(idx) AS last FROM r GROUP BY ALL"""),
     "keyed_observers": (keyed_observers, _keyed_sql("SELECT oid, label, round(n, 6) AS observations, round(n / nullif(1 - exp(-(touched - added) / CAST(86400 AS DOUBLE)), 0), 6) AS av_observations FROM model")),
+    "windowed_measures": (windowed_measures, _CLOSED.format(answer=_model_sql(_RANKED, horizon=86400.0)) + _MEASURES),
     "csv_fit_predict": (csv_fit_predict, _model_sql(_CSV, horizon=86400.0, blocks=_QUARTERS)),
 }
 

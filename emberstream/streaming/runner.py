@@ -13,6 +13,7 @@ import copy
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.evaluation import cells
 from ..operators.model import StreamClusterer
 from ..plans.scratch import remove
 from ..sources.points import is_valid
@@ -56,3 +57,12 @@ def run(stream: DataFrame, model: StreamClusterer, out: str, checkpoint: str, av
 def buffered(points: DataFrame, size: int) -> DataFrame:
     """Rows with the number of the buffer of ``size`` rows they fall into, by their index."""
     return points.withColumn("buffer", F.floor(F.col("idx") / F.lit(max(1, size))).cast("bigint"))
+
+
+def evaluate(scored: DataFrame, ts: str, width: str, delay: str, out: str, checkpoint: str, available_now: bool = True):
+    """Counts of a stream (``ts``, truth, label, score) for each event-time window, appended to ``out``
+    when the watermark, ``delay`` behind the newest row, has passed the window; ``evaluation.measures``
+    reads them. State is a window's cells, until it is closed."""
+    counts = cells(scored.withWatermark(ts, delay), ts, width)
+    writer = counts.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start(out)

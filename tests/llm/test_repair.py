@@ -4,7 +4,6 @@ import hashlib
 import itertools
 import random
 import zlib
-from collections import defaultdict
 
 import pytest
 

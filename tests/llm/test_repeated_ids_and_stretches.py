@@ -69,7 +69,7 @@ def test_one_id_does_not_fill_the_sample_of_toxic_texts(spark):
     assert got[good] < 0.3 <= got[bad]
 
 
-@pytest.mark.parametrize("own", [None, 3, 17, 101, 5000])
+@pytest.mark.parametrize("own", [None, 3, 5000])
 def test_no_language_is_lost_to_repeated_or_null_ids(spark, own):
     words = {"xx": "lalo mira tenu sopa", "yy": "krzt brnov hrdo sklep", "zz": "only one text of this"}
     rows = [(i, f"{words['xx']} {i}", "xx") for i in range(1000)] + [(own, f"{words['yy']} {i}", "yy") for i in range(3000)] + [(own, words["zz"], "zz")] * 900

@@ -51,6 +51,8 @@ BLOCK_SETS, BLOCK_GRAMS = 1024, 1 << 20
 CHUNK_ROWS, CHUNK_BYTES, PAIRS = 8192, 4 << 20, 1 << 16
 #: Sets below this size have a sketch so wide that each segment is one token.
 SMALL, WIDE = 64, 1024
+#: Slots in which segments are counted; what a task reports holds more than so many times its average, and so many.
+SLOTS, ABOVE, AT_LEAST = 1 << 22, 2, 4
 #: Tags of rows: a bucket's member, a segment's bucket. A document has its set's size instead.
 MEMBER, SEGMENT = -2, -1
 _U = np.uint64
@@ -135,13 +137,13 @@ def _name(scheme: np.ndarray, segment: np.ndarray) -> np.ndarray:
     return mix64(scheme.astype(_U) * _U(1 << 32) + segment.astype(_U) + _U(1))
 
 
-def segment_keys(at: np.ndarray, grams: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each key, key): the first segments of each set, in the sketch of its own band and,
-    if it can be linked with a set of the band below, in that band's."""
+def _segments(at: np.ndarray, grams: np.ndarray, rule: Rule):
+    """For the sketch of each set's own band and for that of the band below: (scheme of each set,
+    segments of each scheme, how many segments each set sends, and row, segment, key, tokens of each
+    segment that is not empty, by row)."""
     sizes = np.diff(at)
     first, segments = bands(rule, 1 << int(sizes.max(initial=1)).bit_length())
     band = np.searchsorted(first, np.maximum(sizes, 1), "right") - 1
-    rows, keys = [], []
     for below in (0, 1):
         scheme = np.maximum(band - below, 0)
         most = first[scheme + 1] - 1  # the largest set of the scheme's own band
@@ -158,10 +160,49 @@ def segment_keys(at: np.ndarray, grams: np.ndarray, rule: Rule) -> tuple[np.ndar
         content = np.bitwise_xor.reduceat(mix64(h[order]), starts) if len(starts) else np.zeros(0, _U)
         tokens = np.diff(np.append(starts, len(cell)))
         row, segment = cell[starts] >> 32, cell[starts] & 0xFFFFFFFF
-        key = mix64(content ^ _name(scheme[row], segment)) + tokens.astype(_U)
-        best = np.lexsort((key, -tokens, row))
+        yield scheme, segments, need, row, segment, mix64(content ^ _name(scheme[row], segment)) + tokens.astype(_U), tokens
+
+
+def _slot(keys: np.ndarray) -> np.ndarray:
+    return (mix64(keys + _U(0x2545F491)) & _U(SLOTS - 1)).astype(np.int64)
+
+
+def _count(rule: Rule):
+    """(slot, n) of a task's slots that hold clearly more segments than its average one."""
+
+    def run(batches):
+        counts = np.zeros(SLOTS, np.int32)
+        for batch in batches:
+            for _, at, grams in shingles(batch.column(0), rule.words):
+                for *_, key, _ in _segments(at, grams, rule):
+                    slot, n = np.unique(_slot(key), return_counts=True)
+                    counts[slot] += n.astype(np.int32)
+        slot = np.flatnonzero(counts > AT_LEAST + ABOVE * int(counts.sum(dtype=np.int64)) / SLOTS)
+        yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(counts[slot].astype(np.int64))], names=["slot", "n"])
+
+    return run
+
+
+def frequencies(texts: DataFrame, rule: Rule) -> np.ndarray:
+    """The order's first part for each slot (a byte), from rows of one column, text.
+
+    However many documents there are, these are ``SLOTS`` bytes on the driver and in each worker."""
+    found = texts.mapInArrow(_count(rule), "slot int, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
+    found = materialize(found.select("slot", F.ceil(F.log2("n")).cast("tinyint").alias("level")), "frequencies").toArrow()
+    out = np.zeros(SLOTS, np.uint8)
+    out[found["slot"].to_numpy()] = found["level"].to_numpy()
+    return out
+
+
+def segment_keys(at: np.ndarray, grams: np.ndarray, rule: Rule, frequent: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each key, key): the first segments of each set, in the sketch of its own band and,
+    if it can be linked with a set of the band below, in that band's; seldom ones first."""
+    rows, keys = [], []
+    for scheme, segments, need, row, segment, key, tokens in _segments(at, grams, rule):
+        level = np.zeros(len(key), np.uint8) if frequent is None else frequent[_slot(key)]
+        best = np.lexsort((key, -tokens, level, row))
         row, key, segment = row[best], key[best], segment[best]
-        filled = np.bincount(row, minlength=len(sizes))
+        filled = np.bincount(row, minlength=len(need))
         place = np.arange(len(row)) - (np.cumsum(filled) - filled)[row]
         rows.append(row[place < need[row]])
         keys.append(key[place < need[row]])
@@ -242,7 +283,7 @@ def _packed(data: np.ndarray, start: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(start) - 1, [None, pa.py_buffer((start * 8).astype(np.int32)), pa.py_buffer(data)])
 
 
-def _emit(rule: Rule):
+def _emit(rule: Rule, frequent: np.ndarray):
     def run(batches):
         keys, sids, waiting = [], [], 0
 
@@ -258,7 +299,7 @@ def _emit(rule: Rule):
                 n = len(at) - 1
                 sid = set_ids(at, grams)
                 yield _out(ids.slice(a, n), sid, np.diff(at).astype(np.int32), _packed(*sketches(at, grams)))
-                row, key = segment_keys(at, grams, rule)
+                row, key = segment_keys(at, grams, rule, frequent)
                 use = known[a : a + n][row]
                 keys.append(key[use])
                 sids.append(sid[row[use]])
@@ -518,7 +559,8 @@ def _components(docs: DataFrame, rule: Rule, id_col: str, text_col: str) -> Data
     """The same with the document's set, sid."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(column(id_col).cast("bigint").alias("id"), column(text_col).alias("text"))
-    emitted = rows.mapInArrow(_emit(rule), _ROW).repartition(F.coalesce("k", "v")).sortWithinPartitions("k", "n", "v")
+    frequent = frequencies(rows.where("id is not null").select("text"), rule)
+    emitted = rows.mapInArrow(_emit(rule, frequent), _ROW).repartition(F.coalesce("k", "v")).sortWithinPartitions("k", "n", "v")
     gathered = materialize(emitted.mapInArrow(_gather, _ROW), "segments")
     per_doc = gathered.where("n >= 0").select(F.col("k").alias("id"), F.col("v").alias("sid"), "n")
     member = gathered.where(F.col("n") == MEMBER).select(F.col("k").alias("bucket"), F.col("v").alias("x")).distinct()

@@ -1,8 +1,11 @@
 """WARC archives: writing pages with revisit records, and reading by boundary-chain verification.
 
 Writing. Of records with equal payloads of at least ``MIN_REVISIT`` bytes, the one with the
-smallest id is a response and the others are revisit records that refer to it. Spark's text sink
-writes whole records, so that lost tasks are redone by its commit protocol.
+smallest id is a response and the others are revisit records that refer to it. Ids and digests alone
+decide which; a fixed-size Bloom filter of the revisits then passes all other payloads to their record
+without a shuffle. Responses that it mistakes for revisits are known by id and digest, too: a second
+filter, of these, finds their payloads, and an exact join of the few that pass both settles them.
+Spark's text sink writes whole records, so that lost tasks are redone by its commit protocol.
 
 Reading. Files are read in splits. Every "blank line, WARC/" is a candidate start of a record, be
 it a record or bytes of a payload. A task emits for each candidate its offset and, by the length
@@ -34,6 +37,8 @@ from .workspace import bounded_batches, column, materialize
 
 MIN_REVISIT = 100
 URN = "urn:page:"
+#: 64-bit words of a Bloom filter, a power of two: 8 MB at any size of table.
+WORDS = 1 << 20
 #: Fixed by the format: line end, end of header, end of record, what starts one.
 CRLF, MAGIC = "\r\n", "WARC/"
 BOUNDARY = CRLF + CRLF + MAGIC
@@ -44,6 +49,51 @@ _NUMBER = re.compile(r"-?[0-9]{1,19}")
 LONGEST = 10**18
 
 
+def _places(h) -> list:
+    """The two hashes that a filter knows a row by."""
+    return [h, F.xxhash64(h)]
+
+
+def _filter(hashes: DataFrame) -> np.ndarray:
+    """A Bloom filter of a table of one column h, combined in the tasks before the shuffle."""
+    bits = hashes.select(F.explode(F.array(*_places(F.col("h")))).alias("h"))
+    bits = bits.select(F.pmod("h", F.lit(WORDS)).cast("int").alias("word"), F.expr("shiftleft(1L, cast(pmod(shiftright(h, 40), 64) as int))").alias("bit"))
+    found = bits.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(WORDS, np.int64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return out
+
+
+def _may_hold(words: np.ndarray):
+    """Whether a filter may hold a row, as a function of its two hashes; never false if it does."""
+
+    @F.pandas_udf("boolean")
+    def check(h: pd.Series, other: pd.Series) -> pd.Series:
+        good = np.ones(len(h), bool)
+        for x in (h.to_numpy(np.int64), other.to_numpy(np.int64)):
+            good &= (words[x & (len(words) - 1)] >> ((x >> 40) & 63)) & 1 == 1
+        return pd.Series(good)
+
+    return check
+
+
+def without(rows: DataFrame, narrow: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose (id, sha) is not in ``gone``; ``narrow`` has the ids and digests of all rows."""
+    own, again = F.xxhash64("id", "sha"), F.xxhash64(F.lit(1), F.col("id"), F.col("sha"))
+    first = _may_hold(_filter(gone.select(own.alias("h"))))
+    is_gone = F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha"))
+    pairs = gone.select(F.col("id").alias("_id"), F.col("sha").alias("_sha"))
+    spared = narrow.select("id", "sha").where(first(*_places(own))).join(pairs, is_gone, "left_anti")
+    spared = materialize(spared.distinct(), "spared")
+    kept = rows.where(~first(*_places(own)))
+    if spared.isEmpty():
+        return kept
+    second = _may_hold(_filter(spared.select(again.alias("h"))))
+    doubt = rows.where(first(*_places(own)) & second(*_places(again)))
+    pairs = spared.select(F.col("id").alias("_id"), F.col("sha").alias("_sha"))
+    return kept.unionByName(doubt.join(pairs, is_gone, "left_semi"))
+
+
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
     """One record per row, to text files of whole records below ``path``."""
     body = F.coalesce(column(payload_col).cast("string"), F.lit(""))
@@ -52,8 +102,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     narrow = materialize(base.select("id", "url", digest.alias("sha"), F.octet_length("body").cast("bigint").alias("n")), "payloads")
     first = narrow.where(F.col("n") >= MIN_REVISIT).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1 and first is not null").drop("copies")
     again = materialize(narrow.join(materialize(first, "copied"), "sha").where(~F.col("id").eqNullSafe(F.col("first"))), "revisits")
-    gone = again.select(F.col("id").alias("_id"), F.col("sha").alias("_sha")).distinct()
-    kept = base.withColumn("sha", digest).join(gone, F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")), "left_anti")
+    kept = without(base.withColumn("sha", digest), narrow, again.select("id", "sha").distinct())
 
     def header(kind: str, *more):
         name = F.coalesce(F.col("id").cast("string"), F.lit(""))

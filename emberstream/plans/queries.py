@@ -403,21 +403,35 @@ def _keyed(spark, sf_dir):
     """Events as a stream in three steps, a model for each of four keys, the query started anew for
     each step; a buffer holds three eighths of a key's rows, so that groups end within steps and some rows wait at the end. Returns where
     the scores and the checkpoint are."""
-    pts = sources.valid(sources.from_events(spark, sf_dir))
-    pts = materialize(sources.numbered(pts.withColumnRenamed("idx", "id"), ["t", "id"], "n").select(F.col("id").alias("idx"), "t", "features", F.pmod("id", F.lit(KEYS)).alias("key"), "n"), "keyed_points")
-    many = pts.count()
+    pts, many = _keyed_points(spark, sf_dir)
+    steps = [pts.where(F.floor(F.col("n") * 3 / F.lit(max(1, many))) == part).drop("n").coalesce(1) for part in range(3)]
+    return _fed(spark, steps, lambda stream: keyed.score_by_key(stream, "key", input_buffer=max(1, many * 3 // (8 * KEYS)), **_OF_KEYS))
+
+
+_OF_KEYS = {"k": K, "T": 86400.0, "x": X, "chi_min": CHI, "zeta": ZETA, "e": MIN_SIZE}
+
+
+def _keyed_points(spark, sf_dir):
+    """Events with a key and their number in the order of time; and how many there are."""
+    pts = sources.valid(sources.from_events(spark, sf_dir)).withColumnRenamed("idx", "id")
+    pts = materialize(sources.numbered(pts, ["t", "id"], "n").select(F.col("id").alias("idx"), "t", "features", F.pmod("id", F.lit(KEYS)).alias("key"), "n"), "keyed_points")
+    return pts, pts.count()
+
+
+def _fed(spark, steps, scorer):
+    """The steps as a stream of files, its query started anew for each; the scores, and where the checkpoint is."""
     place, provider = f"{scratch_root(spark)}/keyed-{uuid.uuid4().hex}", "spark.sql.streaming.stateStore.providerClass"
     old = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        for part in range(3):
-            pts.where(F.floor(F.col("n") * 3 / F.lit(max(1, many))) == part).drop("n").coalesce(1).write.parquet(f"{place}/in/{part}")
+        for part, rows in enumerate(steps):
+            rows.write.parquet(f"{place}/in/{part}")
             stream = spark.readStream.schema("idx bigint, t double, features array<double>, key bigint").option("recursiveFileLookup", "true").parquet(f"{place}/in")
-            scores = keyed.score_by_key(stream, "key", k=K, T=86400.0, x=X, chi_min=CHI, zeta=ZETA, e=MIN_SIZE, input_buffer=max(1, many * 3 // (8 * KEYS)))
+            scores = scorer(stream)
             scores.writeStream.format("parquet").option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start(f"{place}/scores").awaitTermination()
     finally:
         spark.conf.set(provider, old)
-    return spark.read.schema("key bigint, grp bigint, idx bigint, label int, score double").parquet(f"{place}/scores"), f"{place}/checkpoint"
+    return spark.read.schema(scores.schema).parquet(f"{place}/scores"), f"{place}/checkpoint"
 
 
 def keyed_fit_predict(spark, sf_dir):
@@ -440,6 +454,33 @@ def keyed_observers(spark, sf_dir):
     return rows.select("key", "oid", "label", F.round("observations", 6).alias("observations"), F.round("av_observations", 6).alias("av_observations"))
 
 
+def _ordered(spark, sf_dir):
+    """The same out of order: rows come up to a fortieth of all rows too early or too late, every
+    fiftieth half of all rows too late, each step shuffled; the watermark is two days behind."""
+    pts, many = _keyed_points(spark, sf_dir)
+    moved = F.col("n") * 4000 + (F.pmod(F.col("idx") * 7919, F.lit(101)) - 50) * (2 * many) + F.when(F.col("idx") % 50 == 0, 2000 * many).otherwise(0)
+    part = F.least(F.lit(2), F.floor(F.greatest(F.lit(0), moved) * 3 / F.lit(4000 * max(1, many))))
+    pts = pts.withColumn("part", part)
+    steps = [pts.where(F.col("part") == p).drop("n", "part").repartition(4, "idx").sortWithinPartitions(F.md5(F.col("idx").cast("string"))) for p in range(3)]
+    return _fed(spark, steps, lambda stream: keyed.score_in_order(stream, "key", "2 days", input_buffer=max(1, many * 3 // (8 * KEYS)), **_OF_KEYS))
+
+
+def ordered_fit_predict(spark, sf_dir):
+    """Scores of a model for each key, which learns a shuffled stream in the order of event time."""
+    scores, _ = _ordered(spark, sf_dir)
+    return scores.where(~F.col("late")).select("key", "idx", "label", F.round("score", 6).alias("score"))
+
+
+def ordered_standing(spark, sf_dir):
+    """What became of each row of a shuffled stream: the number of its group, -1 if it waits in the
+    buffer, -2 if the watermark has not passed it, -3 if it came too late."""
+    scores, checkpoint = _ordered(spark, sf_dir)
+    rows = scores.select("key", "idx", F.when(F.col("late"), F.lit(-3)).otherwise(F.col("grp")).cast("bigint").alias("grp"))
+    for number, held in ((-1, keyed.waiting(spark, checkpoint)), (-2, keyed.early(spark, checkpoint))):
+        rows = rows.unionByName(held.select("key", "idx", F.lit(number).cast("bigint").alias("grp")))
+    return rows
+
+
 _PTS = "pts AS (SELECT vec_id AS idx, CAST(vec_id AS DOUBLE) AS t, CAST(embedding AS DOUBLE[]) AS f, label AS truth FROM embeddings)"
 _OBS = f"obs AS (SELECT idx AS oid, t AS time_added, f FROM pts ORDER BY (idx * 7919 + 13) % 1000003, idx LIMIT {K})"
 _NOW = "now AS (SELECT max(t) AS now FROM pts)"
@@ -504,12 +545,19 @@ def _model_sql(points: str, last: str = _ANSWER, horizon: float = HORIZON, **mor
     return model_sql(points, last, k=K, horizon=horizon, x=X, chi=CHI, zeta=ZETA, size=MIN_SIZE, idle=IDLE, **more)
 
 
-def _keyed_sql(last: str) -> str:
-    """The model's SQL for each key, over the groups of its buffer that are full."""
+_DAYS = 2 * 86_400_000
+_TIMED = f"""SELECT *, ms < max(mark) OVER (ORDER BY part RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS late, max(mark) OVER () AS passed FROM (
+  SELECT *, ms - {_DAYS} AS mark, least(2, greatest(0, n * 4000 + (idx * 7919 % 101 - 50) * 2 * many + CASE WHEN idx % 50 = 0 THEN 2000 * many ELSE 0 END) * 3 // (4000 * many)) AS part FROM (
+    SELECT *, CAST(floor(round(t * 1000000) / 1000) AS BIGINT) AS ms, row_number() OVER (ORDER BY t, idx) - 1 AS n, count(*) OVER () AS many FROM ({_EVENTS})))"""
+_DUE = f"SELECT idx, t, f FROM ({_TIMED}) WHERE late IS NOT TRUE AND ms < passed"
+
+
+def _keyed_sql(last: str, due: str = _EVENTS) -> str:
+    """The model's SQL for each key, over the groups of its buffer that are full with the rows ``due``."""
     size = f"(SELECT greatest(1, count(*) * 3 // {8 * KEYS}) FROM ({_EVENTS}))"
     parts = []
     for key in range(KEYS):
-        own = f"SELECT idx, t, f, row_number() OVER (ORDER BY t, idx) - 1 AS rn FROM ({_EVENTS}) WHERE idx % {KEYS} = {key}"
+        own = f"SELECT idx, t, f, row_number() OVER (ORDER BY t, idx) - 1 AS rn FROM ({due}) WHERE idx % {KEYS} = {key}"
         blocks = [f"rn // {size} = {b} AND (rn // {size} + 1) * {size} <= (SELECT count(*) FROM pts)" for b in range(2)]
         parts.append(f"SELECT CAST({key} AS BIGINT) AS key, * FROM ({_model_sql(own, last, 86400.0, blocks=blocks)})")
     return " UNION ALL ".join(parts)
@@ -596,6 +644,11 @@ g AS (SELECT sum(rk) FILTER (pos) AS r, CAST(count(*) FILTER (pos) AS DOUBLE) AS
     "keyed_buffer": (keyed_buffer, f"""WITH e AS ({_EVENTS}), r AS (SELECT idx % {KEYS} AS key, idx, row_number() OVER (PARTITION BY idx % {KEYS} ORDER BY t, idx) - 1 AS rn, count(*) OVER (PARTITION BY idx % {KEYS}) AS m, (SELECT greatest(1, count(*) * 3 // {8 * KEYS}) FROM e) AS size FROM e)
 SELECT key, CASE WHEN (rn // size + 1) * size <= m THEN rn // size ELSE -1 END AS grp, count(*) AS n, min(idx) AS first, max(idx) AS last FROM r GROUP BY ALL"""),
     "keyed_observers": (keyed_observers, _keyed_sql("SELECT oid, label, round(n, 6) AS observations, round(n / nullif(1 - exp(-(touched - added) / CAST(86400 AS DOUBLE)), 0), 6) AS av_observations FROM model")),
+    "ordered_fit_predict": (ordered_fit_predict, _keyed_sql(_ANSWER, _DUE)),
+    "ordered_standing": (ordered_standing, f"""WITH e AS MATERIALIZED ({_TIMED}), size AS (SELECT greatest(1, count(*) * 3 // {8 * KEYS}) AS size FROM e),
+d AS (SELECT idx, idx % {KEYS} AS key, row_number() OVER (PARTITION BY idx % {KEYS} ORDER BY t, idx) - 1 AS rn, count(*) OVER (PARTITION BY idx % {KEYS}) AS m FROM e WHERE late IS NOT TRUE AND ms < passed)
+SELECT key, idx, CASE WHEN (rn // size + 1) * size <= m THEN rn // size ELSE -1 END AS grp FROM d, size
+UNION ALL SELECT idx % {KEYS}, idx, CASE WHEN late THEN -3 ELSE -2 END FROM e WHERE late OR ms >= passed"""),
     "windowed_measures": (windowed_measures, _CLOSED.format(answer=_model_sql(_RANKED, horizon=86400.0)) + _MEASURES),
     "csv_fit_predict": (csv_fit_predict, _model_sql(_CSV, horizon=86400.0, blocks=_QUARTERS)),
 }

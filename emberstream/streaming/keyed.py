@@ -11,6 +11,10 @@ The model is a map state from observer to its numbers and its color map, and one
 
 Within a micro-batch the rows of a key are ordered by (t, idx); they are held in memory, so a trigger
 should be limited (``maxFilesPerTrigger``, ``maxBytesPerTrigger``) as for any stateful operator.
+
+``score_in_order`` orders rows over micro-batches, too: they are held until the watermark has passed
+them. What is learned then does not depend on the order in which rows come, as long as none comes
+later than the delay; those that do are scored, marked and counted, and not learned.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -30,6 +34,7 @@ from ..operators.steps import Parameters, State
 _OBSERVER = "features array<double>, observations double, added double, touched double, label int, cutoff double, colors array<int>, weights array<double>, colored array<double>"
 _CLOCK = "version bigint, rows bigint, next_color bigint"
 _POINT = "idx bigint, t double, features array<double>"
+_SCORED = "key {}, grp bigint, idx bigint, label int, score double"
 _COLUMNS = ["key", "grp", "idx", "label", "score"]
 
 
@@ -49,7 +54,14 @@ class KeyedClusterer(StatefulProcessor):
     # --- rows
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat([r[["idx", "t", "features"]] for r in rows]).sort_values(["t", "idx"], kind="stable")
+        yield from self._accept(key, pd.concat([r[["idx", "t", "features"]] for r in rows]).sort_values(["t", "idx"], kind="stable"))
+        if self.wait_ms is not None and self.waiting.exists():
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
+
+    def _accept(self, key, new: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        """Puts ordered rows into the buffer and learns the groups that are full with them."""
         held = pd.DataFrame(list(self.waiting.get()), columns=["idx", "t", "features"]) if self.waiting.exists() else new[:0]
         state = None
         wide = len(held["features"].iloc[0]) if len(held) else None
@@ -78,10 +90,6 @@ class KeyedClusterer(StatefulProcessor):
                 self.waiting.put(_rows(both.iloc[full:]))
             else:
                 self.waiting.clear()
-        if self.wait_ms is not None and self.waiting.exists():
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """The rest of a key that has waited long enough is a group of its own."""
@@ -142,34 +150,129 @@ class KeyedClusterer(StatefulProcessor):
         pass
 
 
+class OrderedClusterer(KeyedClusterer):
+    """The same over rows in the order of event time (``ms``), whatever order they come in.
+
+    Rows are held until the watermark has passed them, then go to the buffer ordered by (t, idx). A row
+    is late when it should have gone before others of its key that went already: it gets the score of
+    the model as it is, or none, and is counted. Rows without a time or with odd numbers leave at once.
+    State is what came within the delay, beside the model and its buffer.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.early = handle.getListState("early", f"{_POINT}, ms bigint")
+        self.passed = handle.getValueState("passed", "ms bigint, late bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = pd.concat([r[["idx", "t", "features", "ms"]] for r in rows])
+        good = new["ms"].notna().to_numpy() & np.array([bool(_width(t, f)) for t, f in zip(new["t"], new["features"], strict=True)], bool)
+        if not good.all():
+            bad = new[~good]
+            yield self._out(key, None, bad["idx"], np.full(len(bad), -1), np.full(len(bad), np.nan))
+        new = new[good]
+        until, many = self._passed()
+        late = new["ms"].to_numpy() < until
+        if late.any():
+            self.passed.update((until, many + int(late.sum())))
+            yield self._behind(key, new[late])
+        new = new[~late]
+        if len(new):
+            self.early.appendList(_rows(new))
+            self._wake(max(int(new["ms"].min()), timerValues.getCurrentWatermarkInMs()) + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """What lies before the watermark is learned, the rest is held further."""
+        until = timerValues.getCurrentWatermarkInMs()
+        held = pd.DataFrame(list(self.early.get()) if self.early.exists() else [], columns=["idx", "t", "features", "ms"])
+        due = held["ms"].to_numpy() < until
+        self.passed.update((max(until, self._passed()[0]), self._passed()[1]))
+        if due.all():
+            self.early.clear()
+        else:
+            self.early.put(_rows(held[~due]))
+            self.handle.registerTimer(int(held["ms"][~due].min()) + 1)
+        if due.any():
+            yield from self._accept(key, held.loc[due, ["idx", "t", "features"]].sort_values(["t", "idx"], kind="stable"))
+
+    def _passed(self) -> tuple[int, int]:
+        """The time before which rows of this key have gone on, and how many came after that."""
+        return self.passed.get() if self.passed.exists() else (-(1 << 62), 0)
+
+    def _wake(self, ms: int) -> None:
+        """A key has one timer, the least."""
+        timers = list(self.handle.listTimers())
+        if not timers or ms < min(timers):
+            for timer in timers:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(ms)
+
+    def _behind(self, key, rows: pd.DataFrame) -> pd.DataFrame:
+        s, p = self._load(), self.params
+        label, score = np.full(len(rows), -1), np.full(len(rows), np.nan)
+        good = _good(rows, s.data.shape[1]) if len(s.oid) else np.zeros(len(rows), bool)
+        if good.any():
+            label[good], score[good] = steps.score(rows[good], s, p, steps.active(s, p, s.now), False, p.named)
+        return super()._out(key, None, rows["idx"], label, score).assign(late=True)
+
+    def _out(self, key, number, idx, label, score) -> pd.DataFrame:
+        return super()._out(key, number, idx, label, score).assign(late=False)
+
+
+def _width(t, features) -> int:
+    """How many numbers a row has; 0 if it has none, or one that is null or not finite, or no time."""
+    if features is None or t is None or not np.isfinite(t):
+        return 0
+    values = np.array([np.nan if v is None else v for v in features], float)
+    return len(values) if np.isfinite(values).all() else 0
+
+
 def _good(rows: pd.DataFrame, wide: int | None) -> np.ndarray:
     """Rows with finite numbers only, all of one dimension: the model's or, without one, the first such row's."""
     good = np.zeros(len(rows), bool)
     for i, (t, features) in enumerate(zip(rows["t"], rows["features"], strict=True)):
-        if features is None or t is None or not np.isfinite(t):
-            continue
-        values = np.array([np.nan if v is None else v for v in features], float)
-        if len(values) and np.isfinite(values).all():
-            wide = wide or len(values)
-            good[i] = len(values) == wide
+        own = _width(t, features)
+        wide = wide or own
+        good[i] = own > 0 and own == wide
     return good
 
 
 def _rows(points: pd.DataFrame) -> list[tuple]:
-    return [(int(i), float(t), [float(v) for v in f]) for i, t, f in points.itertuples(index=False)]
+    return [(int(i), float(t), [float(v) for v in f], *map(int, ms)) for i, t, f, *ms in points.itertuples(index=False)]
 
 
 def score_by_key(stream: DataFrame, key: str, wait_ms: int | None = None, **parameters) -> DataFrame:
     """(key, grp, idx, label, score) of a stream (key, idx, t, features), one model for each key; a null
     key has one too. Needs the RocksDB state store. ``parameters`` are those of ``StreamClusterer``."""
+    kind = _kind(stream, key)
+    processor = KeyedClusterer(Parameters(**parameters), wait_ms)
+    rows = stream.select(*_named(key, kind), "idx", "t", "features")
+    return rows.groupBy("key", "missing").transformWithStateInPandas(statefulProcessor=processor, outputStructType=_SCORED.format(kind), outputMode="Append", timeMode="None" if wait_ms is None else "ProcessingTime")
+
+
+def score_in_order(stream: DataFrame, key: str, delay: str, **parameters) -> DataFrame:
+    """(key, grp, idx, label, score, late) of a stream (key, idx, t, features), t in seconds since 1970:
+    one model for each key, which learns its rows in the order of t although they may come up to
+    ``delay`` (as in "2 hours") out of it. Later ones are ``late``. What the watermark has not passed at
+    the end of a query stays in its state (``early``); a row far in the future makes others late."""
+    kind = _kind(stream, key)
+    processor = OrderedClusterer(Parameters(**parameters))
+    timed = stream.withColumn("_ts", F.timestamp_micros(F.expr("try_cast(round(t * 1e6) AS bigint)"))).withWatermark("_ts", delay)
+    # the time goes on as a plain number, so that late rows reach the processor and are not dropped before
+    rows = timed.select(*_named(key, kind), "idx", "t", "features", F.unix_millis("_ts").alias("ms"))
+    return rows.groupBy("key", "missing").transformWithStateInPandas(statefulProcessor=processor, outputStructType=_SCORED.format(kind) + ", late boolean", outputMode="Append", timeMode="EventTime")
+
+
+def _kind(stream: DataFrame, key: str) -> str:
     kind = dict(stream.dtypes)[key]
     if kind not in ("string", "bigint", "int", "smallint", "tinyint", "boolean"):
         raise ValueError("a key is a string, an integer or a boolean")
-    processor = KeyedClusterer(Parameters(**parameters), wait_ms)
-    schema = f"key {kind}, grp bigint, idx bigint, label int, score double"
-    # a null would reach a worker as NaN, which is equal to nothing: it is told by a column of its own
-    rows = stream.select(F.coalesce(F.col(key), F.lit("0").cast(kind)).alias("key"), F.col(key).isNull().alias("missing"), "idx", "t", "features")
-    return rows.groupBy("key", "missing").transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="Append", timeMode="None" if wait_ms is None else "ProcessingTime")
+    return kind
+
+
+def _named(key: str, kind: str) -> list[Column]:
+    """A null would reach a worker as NaN, which is equal to nothing: it is told by a column of its own."""
+    return [F.coalesce(F.col(key), F.lit("0").cast(kind)).alias("key"), F.col(key).isNull().alias("missing")]
 
 
 def _state(spark: SparkSession, checkpoint: str, variable: str, batch: int | None) -> DataFrame:
@@ -190,3 +293,13 @@ def observers(spark: SparkSession, checkpoint: str, T: float, time: float | None
 def waiting(spark: SparkSession, checkpoint: str, batch: int | None = None) -> DataFrame:
     """(key, idx, t, features): the rows of all keys that have not been learned after a batch."""
     return _state(spark, checkpoint, "waiting", batch).select("key", "list_element.*")
+
+
+def early(spark: SparkSession, checkpoint: str, batch: int | None = None) -> DataFrame:
+    """(key, idx, t, features, ms): the rows of all keys that the watermark has not passed after a batch."""
+    return _state(spark, checkpoint, "early", batch).select("key", "list_element.*")
+
+
+def late(spark: SparkSession, checkpoint: str, batch: int | None = None) -> DataFrame:
+    """(key, ms, late): the time before which a key's rows have gone on, and how many came after that."""
+    return _state(spark, checkpoint, "passed", batch).select("key", "value.*")

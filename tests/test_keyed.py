@@ -107,3 +107,52 @@ def test_odd_rows_leave_at_once_and_are_not_learned(spark, tmp_path):
     rows = {r["idx"]: r for r in Stream(spark, tmp_path, input_buffer=20).feed(good.unionByName(bad)).rows()}
     assert len(rows) == 66 and all((rows[i]["label"], rows[i]["score"], rows[i]["grp"]) == (-1, None, None) for i in range(900, 906))
     assert {rows[i]["grp"] for i in range(60)} == {0, 1, 2}
+
+
+@pytest.mark.parametrize("name", ["ordered_fit_predict", "ordered_standing"])
+def test_order_of_event_time_against_sql(same, name):
+    same(core.queries()[name], core.oracle_sql()[name])
+
+
+class Shuffled(Stream):
+    def run(self):
+        stream = self.spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(f"{self.place}/in")
+        out = keyed.score_in_order(stream, "key", "20 seconds", **self.options)
+        out.writeStream.format("parquet").option("checkpointLocation", f"{self.place}/cp").trigger(availableNow=True).start(f"{self.place}/out").awaitTermination()
+        return self
+
+    def rows(self):
+        return self.spark.read.schema("key bigint, grp bigint, idx bigint, label int, score double, late boolean").parquet(f"{self.place}/out").orderBy("idx").collect()
+
+
+def test_out_of_order_rows_are_learned_in_order(spark, tmp_path):
+    pts = blobs(spark)
+    ordered = {r["idx"]: tuple(r)[:5] for r in Stream(spark, tmp_path / "a", input_buffer=20).feed(pts).rows()}
+    stream = Shuffled(spark, tmp_path / "b", input_buffer=20)
+    for a in range(0, 200, 50):  # each row comes up to ten seconds out of order, over the ends of steps
+        place = F.col("idx") + F.pmod(F.col("idx") * 7, F.lit(21)) - 10
+        stream.feed(pts.where((place >= a if a else F.lit(True)) & (place < a + 50 if a < 150 else F.lit(True))).orderBy(F.rand(3)))
+    rows = stream.rows()
+    assert rows and not any(r["late"] for r in rows)
+    for r in rows:
+        assert tuple(r)[:4] == ordered[r["idx"]][:4] and r["score"] == pytest.approx(ordered[r["idx"]][4])
+    held = [r["idx"] for t in (keyed.early, keyed.waiting) for r in t(spark, f"{tmp_path}/b/cp").collect()]
+    assert sorted(held + [r["idx"] for r in rows]) == list(range(200))  # none vanishes
+    assert {r["idx"] for r in keyed.early(spark, f"{tmp_path}/b/cp").collect()} == set(range(179, 200))
+
+
+def test_late_rows_are_scored_counted_and_not_learned(spark, tmp_path):
+    pts = blobs(spark).withColumn("key", F.lit(4).cast("bigint"))
+    stream = Shuffled(spark, tmp_path, input_buffer=40)
+    stream.feed(pts.where("idx < 150 AND idx % 30 <> 7"))
+    odd = spark.createDataFrame([(900, None, [1.0, 2.0], 4), (901, float("nan"), [1.0, 2.0], 4), (902, 1e300, [1.0, 2.0], 4), (903, 199.0, [None, 1.0], 4), (904, 3.0, [1.0], 4)], SCHEMA)
+    stream.feed(pts.where("idx >= 150 OR idx % 30 = 7").unionByName(odd))
+    rows = {r["idx"]: r for r in stream.rows()}
+    late = {i for i, r in rows.items() if r["late"]}
+    assert late == {7, 37, 67, 97, 127, 904}
+    assert all(rows[i]["grp"] is None and rows[i]["score"] is not None for i in late - {904})
+    assert [(rows[i]["label"], rows[i]["score"], rows[i]["grp"]) for i in range(900, 905)] == [(-1, None, None)] * 5
+    assert [(r["key"], r["late"]) for r in keyed.late(spark, f"{tmp_path}/cp").collect()] == [(4, 6)]
+    learned = [i for i, r in rows.items() if r["grp"] is not None]
+    assert sorted(learned) == [i for i in range(180) if i not in late][:160]
+    assert not late & {r["oid"] for r in keyed.observers(spark, f"{tmp_path}/cp", 300.0).collect()}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import Metric, euclidean
-from .steps import MOST_OBSERVERS, distances
+from .steps import MOST_OBSERVERS, PIVOTED, Pivots, distances, places
 
 
 def of_model(table: DataFrame) -> DataFrame:
@@ -37,19 +37,21 @@ def nearest(points: DataFrame, observers: DataFrame, x: int, metric: Metric = eu
 
 
 def _nearest_by_matrix(points: DataFrame, observers: DataFrame, x: int, exclude_self: bool) -> DataFrame:
-    """The same for the Euclidean metric: one matrix of distances for each Arrow batch."""
-    held = observers.select("oid", "features").orderBy("oid").limit(MOST_OBSERVERS + 1).toPandas()
-    if len(held) > MOST_OBSERVERS:
-        raise ValueError(f"a model has at most {MOST_OBSERVERS} observers")
-    ids = held["oid"].to_numpy(np.int64)
-    model = np.stack(held["features"].to_numpy()).astype(float) if len(held) else np.zeros((0, 0))
-    shared = points.sparkSession.sparkContext.broadcast((ids, model))
+    """The same for the Euclidean metric: a matrix of distances for each Arrow batch and, of large
+    models, only those parts of it that the bounds of pivots leave."""
+    shared = points.sparkSession.sparkContext.broadcast(_held(observers))
 
     def run(batches):
         oid, features = shared.value
+        pivots = Pivots.of(features, ("euclidean",)) if len(oid) >= PIVOTED else None
         for batch in batches:
             if not len(batch) or not len(oid):
                 continue
+            if pivots is not None:
+                near, order, _ = pivots.nearest(np.stack(batch["features"].to_numpy()).astype(float), x, _own(batch, oid, exclude_self))
+                row, rank = np.nonzero(np.isfinite(near))
+                yield pd.DataFrame({"idx": batch["idx"].to_numpy()[row], "t": batch["t"].to_numpy()[row], "oid": oid[order[row, rank]], "d": np.round(near[row, rank], 9), "rk": (rank + 1).astype(np.int32)})
+                continue
             d = np.round(distances(np.stack(batch["features"].to_numpy()).astype(float), features, "euclidean"), 9)
             if exclude_self:
                 d[batch["idx"].to_numpy()[:, None] == oid[None]] = np.inf
@@ -61,6 +63,35 @@ def _nearest_by_matrix(points: DataFrame, observers: DataFrame, x: int, exclude_
     return points.select("idx", "t", "features").mapInPandas(run, "idx bigint, t double, oid bigint, d double, rk int")
 
 
+def _held(observers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a model's observers, in order, and their features."""
+    held = observers.select("oid", "features").orderBy("oid").limit(MOST_OBSERVERS + 1).toPandas()
+    if len(held) > MOST_OBSERVERS:
+        raise ValueError(f"a model has at most {MOST_OBSERVERS} observers")
+    return held["oid"].to_numpy(np.int64), np.stack(held["features"].to_numpy()).astype(float) if len(held) else np.zeros((0, 0))
+
+
+def _own(batch: pd.DataFrame, oid: np.ndarray, exclude_self: bool) -> np.ndarray:
+    return places(oid, batch["idx"].to_numpy()) if exclude_self else np.full(len(batch), -1)
+
+
+def pruning(points: DataFrame, observers: DataFrame, x: int, exclude_self: bool = True) -> DataFrame:
+    """(pairs, taken): how many pairs of a point and an observer there are, and how many distances,
+    those to the pivots too, are taken to find the nearest by Euclidean distance."""
+    shared = points.sparkSession.sparkContext.broadcast(_held(observers))
+
+    def run(batches):
+        oid, features = shared.value
+        pivots = Pivots.of(features, ("euclidean",)) if len(oid) else None
+        for batch in batches:
+            if len(batch) and pivots is not None:
+                taken = pivots.nearest(np.stack(batch["features"].to_numpy()).astype(float), x, _own(batch, oid, exclude_self))[2]
+                yield pd.DataFrame({"pairs": [len(batch) * len(oid)], "taken": [taken]})
+
+    parts = points.select("idx", "features").mapInPandas(run, "pairs bigint, taken bigint")
+    return parts.agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.coalesce(F.sum("taken"), F.lit(0)).alias("taken"))
+
+
 def pair_distances(observers: DataFrame, metric: Metric = euclidean) -> DataFrame:
     """(a, b, d) for ordered pairs of different observers of one bounded model."""
     a, b = observers.select(F.col("oid").alias("a"), F.col("features").alias("fa")), observers.select(F.col("oid").alias("b"), F.col("features").alias("fb"))

@@ -158,6 +158,87 @@ def strips(rows: int, wide: int) -> list[tuple[int, int]]:
     return [(a, min(a + step, rows)) for a in range(0, rows, step)]
 
 
+# --- nearest of many observers, without most of the distances
+
+#: Metrics for which the triangle inequality holds.
+TRIANGLE = ("euclidean", "manhattan", "chebyshev", "minkowski")
+#: From so many observers on, groups around pivots are worth their bounds; the results are the same.
+PIVOTED = 1024
+
+
+@dataclass
+class Pivots:
+    """Observers in about sqrt(k) groups, each around the pivot that is nearest: members of group g are
+    ``member[first[g]:first[g + 1]]``, and none is nearer to its pivot than ``least`` or farther than ``most``."""
+
+    data: np.ndarray
+    named: tuple
+    centre: np.ndarray
+    member: np.ndarray
+    first: np.ndarray
+    least: np.ndarray
+    most: np.ndarray
+
+    @classmethod
+    def of(cls, data: np.ndarray, named: tuple) -> Pivots:
+        many = max(1, math.isqrt(len(data)))
+        centre = data[np.arange(many) * len(data) // many]
+        group, gap = np.zeros(len(data), np.int64), np.zeros(len(data))
+        for a, b in strips(len(data), many):
+            d = distances(data[a:b], centre, *named)
+            group[a:b], gap[a:b] = d.argmin(1), d.min(1)
+        member = np.argsort(group, kind="stable")
+        first = np.searchsorted(group[member], np.arange(many + 1))
+        least, most = np.full(many, np.inf), np.full(many, -np.inf)
+        np.minimum.at(least, group, gap)
+        np.maximum.at(most, group, gap)
+        return cls(data, named, centre, member, first, least, most)
+
+    def nearest(self, features: np.ndarray, x: int, skip: np.ndarray, eps: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray, int]:
+        """(distances, places, distances taken) of the ``x`` nearest observers of each row, by (distance
+        to nine digits, place). ``skip`` is the place of a row's own observer, or -1; ``eps`` (not
+        negative) is added to an observer's distances. A group is opened only for rows that could find
+        one of their nearest there: the triangle inequality bounds the distance to its members."""
+        near, place, taken = np.full((len(features), x), np.inf), np.full((len(features), x), len(self.data)), 0
+        for a, b in strips(len(features), len(self.centre) + int(np.diff(self.first).max(initial=1))):
+            near[a:b], place[a:b], n = self._strip(features[a:b], x, skip[a:b], eps)
+            taken += n
+        return near, place, taken
+
+    def _strip(self, rows: np.ndarray, x: int, skip: np.ndarray, eps) -> tuple[np.ndarray, np.ndarray, int]:
+        gap = distances(rows, self.centre, *self.named)
+        bound = np.maximum(gap - self.most[None], self.least[None] - gap) - 1e-8 * (1 + gap + np.where(np.isfinite(self.most), self.most, 0)[None])
+        turn = np.argsort(bound, axis=1, kind="stable")
+        near, place, taken = np.full((len(rows), x), np.inf), np.full((len(rows), x), len(self.data)), gap.size
+        for step in range(len(self.centre)):
+            group = turn[:, step]
+            held = np.take_along_axis(bound, group[:, None], 1)[:, 0]
+            is_open = np.flatnonzero((held <= near[:, -1]) & (held < np.inf))
+            if not len(is_open):
+                break  # bounds rise from step to step
+            is_open = is_open[np.argsort(group[is_open], kind="stable")]
+            cut = np.flatnonzero(np.diff(group[is_open])) + 1
+            for own in np.split(is_open, cut):
+                g = group[own[0]]
+                members = self.member[self.first[g] : self.first[g + 1]]
+                d = distances(rows[own], self.data[members], *self.named) + (eps if np.isscalar(eps) else eps[members][None])
+                d[members[None] == skip[own, None]] = np.inf
+                taken += d.size
+                both, at = np.concatenate([near[own], d], 1), np.concatenate([place[own], np.broadcast_to(members, d.shape)], 1)
+                order = np.lexsort((at, np.round(both, 9)), axis=-1)[:, :x]
+                near[own], place[own] = np.take_along_axis(both, order, 1), np.take_along_axis(at, order, 1)
+        return near, place, taken
+
+
+def places(oid: np.ndarray, idx: np.ndarray) -> np.ndarray:
+    """The place in ``oid`` of each index, or -1."""
+    if not len(oid):
+        return np.full(len(idx), -1)
+    order = np.argsort(oid, kind="stable")
+    at = order[np.minimum(np.searchsorted(oid, idx, sorter=order), len(oid) - 1)]
+    return np.where(oid[at] == idx, at, -1)
+
+
 # --- observers
 
 
@@ -217,7 +298,10 @@ def nearest(batch: pd.DataFrame, s: State, p: Parameters, act: np.ndarray, tempo
     near, order = np.zeros((len(batch), x)), np.zeros((len(batch), x), np.int64)
     eps = p.perturb * ((s.oid[act] % MODULUS * STEP + p.seed) % MODULUS / MODULUS)[None] if p.perturb else 0.0
     waves = s.waves[act] / np.maximum(np.abs(s.waves[act][:, :1]), 1e-12)
-    for a, b in strips(len(batch), len(act)):
+    pruned = len(act) >= PIVOTED and named[0] in TRIANGLE and not (temporal and p.freq_bins > 1)
+    if pruned:
+        near, order, _ = Pivots.of(s.data[act], named).nearest(features, x, places(s.oid[act], idx), eps[0] if p.perturb else 0.0)
+    for a, b in [] if pruned else strips(len(batch), len(act)):
         d = distances(features[a:b], s.data[act], *named) + eps
         d[idx[a:b, None] == s.oid[act][None]] = np.inf
         rank = d

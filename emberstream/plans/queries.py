@@ -488,7 +488,8 @@ def large_model_nearest(spark, sf_dir):
     """The nearest of 2,000 observers of each event: the bounds of pivots leave few distances to be taken."""
     pts = sources.valid(sources.from_events(spark, sf_dir))
     near = neighbours.nearest(pts, sampling.first_observers(pts, LARGE), X)
-    return near.select("idx", "oid", F.round("d", 6).alias("d"), "rk")
+    # distances are multiples of 1e-9: a tenth of that keeps a sixth digit from being rounded at halves
+    return near.select("idx", "oid", F.round(F.col("d") + 1e-10, 6).alias("d"), "rk")
 
 
 _PTS = "pts AS (SELECT vec_id AS idx, CAST(vec_id AS DOUBLE) AS t, CAST(embedding AS DOUBLE[]) AS f, label AS truth FROM embeddings)"
@@ -661,7 +662,7 @@ SELECT key, idx, CASE WHEN (rn // size + 1) * size <= m THEN rn // size ELSE -1
 UNION ALL SELECT idx % {KEYS}, idx, CASE WHEN late THEN -3 ELSE -2 END FROM e WHERE late OR ms >= passed"""),
     "large_model_nearest": (large_model_nearest, f"""WITH pts AS ({_EVENTS}), obs AS (SELECT idx AS oid, f[1] AS a, f[2] AS b FROM pts ORDER BY (idx % 1000003 * 7919 + 13) % 1000003, idx LIMIT {LARGE}),
 gap AS (SELECT idx, oid, round(sqrt((f[1] - a) * (f[1] - a) + (f[2] - b) * (f[2] - b)), 9) AS d FROM pts JOIN obs ON idx <> oid)
-SELECT idx, oid, round(d, 6) AS d, CAST(rk AS INTEGER) AS rk FROM (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY d, oid) AS rk FROM gap) WHERE rk <= {X}"""),
+SELECT idx, oid, round(d + CAST(1e-10 AS DOUBLE), 6) AS d, CAST(rk AS INTEGER) AS rk FROM (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY d, oid) AS rk FROM gap) WHERE rk <= {X}"""),
     "windowed_measures": (windowed_measures, _CLOSED.format(answer=_model_sql(_RANKED, horizon=86400.0)) + _MEASURES),
     "csv_fit_predict": (csv_fit_predict, _model_sql(_CSV, horizon=86400.0, blocks=_QUARTERS)),
 }

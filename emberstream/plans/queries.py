@@ -404,7 +404,7 @@ def _keyed(spark, sf_dir):
     each step; a buffer holds three eighths of a key's rows, so that groups end within steps and some rows wait at the end. Returns where
     the scores and the checkpoint are."""
     pts, many = _keyed_points(spark, sf_dir)
-    steps = [pts.where(F.floor(F.col("n") * 3 / F.lit(max(1, many))) == part).drop("n").coalesce(1) for part in range(3)]
+    steps = [pts.where(F.floor(F.col("n") * 3 / F.lit(max(1, many))) == part).drop("n") for part in range(3)]
     return _fed(spark, steps, lambda stream: keyed.score_by_key(stream, "key", input_buffer=max(1, many * 3 // (8 * KEYS)), **_OF_KEYS))
 
 

@@ -1,16 +1,18 @@
 """A model for each key of a stream, with its input buffer, in the state store.
 
-Rows of a key wait in a list state until ``input_buffer`` of them have come; each full group is
-learned and scored by the model's real steps on arrays, one matrix for each group, and its rows leave
-with the number of their group. What waits is state like the model: a restart goes on with it, and a
-processing-time timer (``wait_ms``) hands out the rest of a key that gets no more rows. Every row
-leaves once. A query with timers never ends by itself, so it needs a processing-time trigger.
+Rows of a key wait in the state until ``input_buffer`` of them have come; each full group is learned
+and scored by the model's real steps on arrays, and its rows leave with the number of their group.
+What waits is state like the model: a restart goes on with it, and a processing-time timer
+(``wait_ms``) hands out the rest of a key that gets no more rows. Every row leaves once. A query with
+timers never ends by itself, so it needs a processing-time trigger.
 
 The model is a map state from observer to its numbers and its color map, and one clock, so that the
 ``statestore`` reader shows the models of any batch as tables (``observers``, ``waiting``).
 
-Within a micro-batch the rows of a key are ordered by (t, idx); they are held in memory, so a trigger
-should be limited (``maxFilesPerTrigger``, ``maxBytesPerTrigger``) as for any stateful operator.
+Within a micro-batch the rows of a key are ordered by (t, idx). A task holds ``HELD`` rows of a key at
+most, however many a micro-batch, a buffer or a group has: more are sorted as runs in the state, which
+are merged block by block, and a group is read from its blocks three times, to draw observers, to count
+hits and to score.
 
 ``score_in_order`` orders rows over micro-batches, too: they are held until the watermark has passed
 them. What is learned then does not depend on the order in which rows come, as long as none comes
@@ -19,7 +21,8 @@ later than the delay; those that do are scored, marked and counted, and not lear
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,15 +36,124 @@ from ..operators.steps import Parameters, State
 
 _OBSERVER = "features array<double>, observations double, added double, touched double, label int, cutoff double, colors array<int>, weights array<double>, colored array<double>"
 _CLOCK = "version bigint, rows bigint, next_color bigint"
-_POINT = "idx bigint, t double, features array<double>"
+_BLOCK = "idx array<bigint>, t array<double>, features array<array<double>>"
 _SCORED = "key {}, grp bigint, idx bigint, label int, score double"
 _COLUMNS = ["key", "grp", "idx", "label", "score"]
+_POINT = ["idx", "t", "features"]
+
+#: The most rows of a key that a task sorts at once, and those of a block of its state.
+HELD, BLOCK = 1 << 17, 1 << 12
+
+
+class Blocks:
+    """Rows of a key as blocks of ``BLOCK`` rows in a map state, in runs of adjacent blocks. The rows of a
+    run are ordered by (t, idx), if those that are added are, and are taken in that order over all runs."""
+
+    def __init__(self, handle: StatefulProcessorHandle, name: str, more: str = ""):
+        self.state = handle.getMapState(name, "block bigint", _BLOCK + more)
+        self.index = handle.getValueState(f"{name}_index", "first array<bigint>, last array<bigint>, rows bigint")
+        self.columns = [c.split()[0] for c in (_BLOCK + more).split(", ")]
+
+    def _runs(self) -> tuple[list[int], list[int], int]:
+        """The first block of each run, the one behind its last, and the number of rows."""
+        first, last, rows = self.index.get() if self.index.exists() else ([], [], 0)
+        return list(first), list(last), rows
+
+    def __len__(self) -> int:
+        return self._runs()[2]
+
+    def _read(self, block: int) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(self.columns, self.state.getValue((block,)), strict=True)))
+
+    def _write(self, block: int, rows: pd.DataFrame) -> None:
+        lists = (rows[c].tolist() if c != "features" else [np.asarray(f, float).tolist() for f in rows[c]] for c in self.columns)
+        self.state.updateValue((block,), tuple(lists))
+
+    def add(self, rows: pd.DataFrame, ordered: bool = True) -> None:
+        """A run of its own if ``ordered``; a short one joins a short one before it."""
+        if not len(rows):
+            return
+        first, last, many = self._runs()
+        many += len(rows)
+        at = max(last, default=0)
+        if len(rows) < BLOCK and first and last[-1] == at and (not ordered or at - first[-1] == 1):
+            short = self._read(at - 1)
+            if len(short) + len(rows) <= BLOCK:
+                rows, at = pd.concat([short, rows], ignore_index=True), at - 1
+                rows = _sorted(rows) if ordered else rows
+                if first[-1] == at:
+                    first, last = first[:-1], last[:-1]
+                else:
+                    last[-1] = at
+        for a in range(0, len(rows), BLOCK):
+            self._write(at + a // BLOCK, rows.iloc[a : a + BLOCK])
+        end = at + -(-len(rows) // BLOCK)
+        if first and not ordered:
+            last[-1] = end
+        else:
+            first, last = [*first, at], [*last, end]
+        self.index.update((first, last, many))
+
+    def __iter__(self) -> Iterator[pd.DataFrame]:
+        for a, b in zip(*self._runs()[:2], strict=True):
+            for block in range(a, b):
+                yield self._read(block)
+
+    def take(self, until: int | None = None) -> Iterator[pd.DataFrame]:
+        """Merges the runs and removes what it yields: all rows, or those with ``ms`` before ``until``. One block of each run is held."""
+        first, last, many = self._runs()
+        at_hand: list[pd.DataFrame | None] = [None] * len(first)
+        whole = [True] * len(first)
+        while True:
+            for r in range(len(first)):
+                if at_hand[r] is None and first[r] < last[r]:
+                    at_hand[r], whole[r] = self._read(first[r]), True
+            live = [r for r, rows in enumerate(at_hand) if rows is not None]
+            # up to the least of the last rows of runs that go on, all rows are at hand
+            end = min(((at_hand[r]["t"].iat[-1], at_hand[r]["idx"].iat[-1]) for r in live if first[r] + 1 < last[r]), default=None)
+            parts = []
+            for r in live:
+                t, idx = at_hand[r]["t"].to_numpy(), at_hand[r]["idx"].to_numpy()
+                near = np.ones(len(t), bool) if end is None else (t < end[0]) | ((t == end[0]) & (idx <= end[1]))
+                if until is not None:
+                    near &= at_hand[r]["ms"].to_numpy() < until
+                n = int(near.sum())
+                if n:
+                    parts.append(at_hand[r].iloc[:n])
+                    at_hand[r], whole[r] = at_hand[r].iloc[n:], False
+                if not len(at_hand[r]):
+                    self.state.removeKey((first[r],))
+                    at_hand[r], first[r] = None, first[r] + 1
+            if not parts:
+                break
+            rows = parts[0] if len(parts) == 1 else _sorted(pd.concat(parts, ignore_index=True))
+            many -= len(rows)
+            yield rows
+        for r, rows in enumerate(at_hand):
+            if rows is not None and not whole[r]:
+                self._write(first[r], rows)
+        kept = [r for r in range(len(first)) if first[r] < last[r]]
+        if kept:
+            self.index.update(([first[r] for r in kept], [last[r] for r in kept], many))
+        else:
+            self.index.clear()
+
+    def least(self, column: str):
+        """The least number of ``column`` that the first rows of runs have."""
+        return min(self._read(block)[column].iloc[0] for block in self._runs()[0])
+
+    def clear(self) -> None:
+        self.state.clear()
+        self.index.clear()
 
 
 class KeyedClusterer(StatefulProcessor):
     """``StreamClusterer`` for each key. Rows with a null or non-finite number, or of another dimension
     than the key's model, leave at once with label -1, no score and no group."""
 
+    #: What a row that is sorted has beside its point.
+    more = ""
+
     def __init__(self, parameters: Parameters, wait_ms: int | None = None):
         self.params, self.wait_ms = parameters, wait_ms
 
@@ -49,68 +161,120 @@ class KeyedClusterer(StatefulProcessor):
         self.handle = handle
         self.observers = handle.getMapState("observers", "oid bigint", _OBSERVER)
         self.clock = handle.getValueState("clock", _CLOCK)
-        self.waiting = handle.getListState("waiting", _POINT)
+        self.waiting, self.early = Blocks(handle, "waiting"), Blocks(handle, "early", self.more)
 
     # --- rows
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        yield from self._accept(key, pd.concat([r[["idx", "t", "features"]] for r in rows]).sort_values(["t", "idx"], kind="stable"))
-        if self.wait_ms is not None and self.waiting.exists():
+        rest = yield from self._sorted_runs(self._finite(key, rows))
+        if len(self.early):
+            self.early.add(rest)
+            yield from self._accept(key, self.early.take())
+        else:
+            yield from self._accept(key, [rest])
+        if self.wait_ms is not None and len(self.waiting):
             for timer in self.handle.listTimers():
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.wait_ms)
 
-    def _accept(self, key, new: pd.DataFrame) -> Iterator[pd.DataFrame]:
+    def _finite(self, key, rows: Iterable[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, bool]]:
+        """Each frame of rows, and whether it goes on: those with odd numbers leave at once."""
+        for frame in rows:
+            good = _widths(frame) > 0
+            if not good.all():
+                yield self._odd(key, frame[~good]), False
+            yield frame[good], True
+
+    def _sorted_runs(self, frames: Iterator[tuple[pd.DataFrame, bool]]) -> Iterator[pd.DataFrame]:
+        """Puts the rows that go on into sorted runs of ``HELD`` rows, hands the others out and returns, sorted, those of the last, short run."""
+        held, many = [], 0
+        for frame, goes_on in frames:
+            if not goes_on:
+                yield frame
+                continue
+            held.append(frame)
+            many += len(frame)
+            if many >= HELD:
+                self.early.add(_sorted(pd.concat(held, ignore_index=True)))
+                held, many = [], 0
+        return _sorted(pd.concat(held, ignore_index=True)) if held else pd.DataFrame(columns=self.early.columns)
+
+    def _accept(self, key, chunks: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Puts ordered rows into the buffer and learns the groups that are full with them."""
-        held = pd.DataFrame(list(self.waiting.get()), columns=["idx", "t", "features"]) if self.waiting.exists() else new[:0]
-        state = None
-        wide = len(held["features"].iloc[0]) if len(held) else None
+        size, many = max(1, self.params.input_buffer), len(self.waiting)
+        state, before, learned = None, set(), False
+        wide = len(next(iter(self.waiting))["features"].iloc[0]) if many else None
         if wide is None and self.clock.exists():
             state = self._load()
-            wide = state.data.shape[1] if len(state.oid) else None
-        good = _good(new, wide)
-        if not good.all():
-            bad = new[~good]
-            yield self._out(key, None, bad["idx"], np.full(len(bad), -1), np.full(len(bad), np.nan))
-        new = new[good]
-        size = max(1, self.params.input_buffer)
-        if len(held) + len(new) < size:
+            before, wide = set(state.oid.tolist()), state.data.shape[1] if len(state.oid) else None
+        tail: list[pd.DataFrame] = []
+        for new in chunks:
+            own = _widths(new)
+            wide = wide or next(iter(own[own > 0].tolist()), None)
+            good = (own > 0) & (own == wide)
+            if not good.all():
+                yield self._odd(key, new[~good])
+            new = new.loc[good, _POINT]
+            while many + len(new) >= size:
+                if state is None:
+                    state = self._load()
+                    before = set(state.oid.tolist())
+                full, new = new.iloc[: size - many], new.iloc[size - many :]
+                state = yield from self._learn(key, state, [*tail, full])
+                tail, many, learned = [], 0, True
             if len(new):
-                self.waiting.appendList(_rows(new))
-        else:
-            state = state or self._load()
-            before, both = set(state.oid.tolist()), pd.concat([held, new], ignore_index=True)
-            full = len(both) // size * size
-            for at in range(0, full, size):
-                group = both.iloc[at : at + size]
-                state, out = self._learn(key, state, group)
-                yield out
+                tail.append(new)
+                many += len(new)
+                if sum(map(len, tail)) >= BLOCK:
+                    self.waiting.add(pd.concat(tail, ignore_index=True), ordered=False)
+                    tail = []
+        if tail:
+            self.waiting.add(pd.concat(tail, ignore_index=True), ordered=False)
+        if learned:
             self._store(state, before)
-            if full < len(both):
-                self.waiting.put(_rows(both.iloc[full:]))
-            else:
-                self.waiting.clear()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """The rest of a key that has waited long enough is a group of its own."""
-        if self.waiting.exists():
+        if len(self.waiting):
             state = self._load()
             before = set(state.oid.tolist())
-            state, out = self._learn(key, state, pd.DataFrame(list(self.waiting.get()), columns=["idx", "t", "features"]))
+            state = yield from self._learn(key, state, [])
             self._store(state, before)
-            self.waiting.clear()
-            yield out
-
-    def _learn(self, key, s: State, group: pd.DataFrame) -> tuple[State, pd.DataFrame]:
-        """Sample, count, rebuild and score, as the model of a whole stream does."""
-        p, number = self.params, s.version
-        s = steps.admit(s, p, steps.drawn(group, p, first=not number))
-        now = max(float(group["t"].max()), s.now)
-        counted, waves = steps.hits(group, s, p, steps.active(s, p, now), False, p.named, now)
-        s = steps.update(steps.absorb(s, p, counted, waves, now, len(group)), p)
+
+    def _learn(self, key, s: State, last: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sample, count, rebuild and score, as the model of a whole stream does, the group of what waits
+        and the ``last`` rows, block by block. Returns the state; nothing waits any more."""
+        p, number, held, drawn, latest, many = self.params, s.version, len(self.waiting), None, -np.inf, 0
+        parts = self._parts(held, last)
+        for part in parts():
+            drawn = steps.drawn(part if drawn is None else pd.concat([drawn, part], ignore_index=True), p, first=not number)
+            latest, many = max(latest, float(part["t"].max())), many + len(part)
+        s = steps.admit(s, p, drawn)
+        now = max(latest, s.now)
+        act, counted, waves = steps.active(s, p, now), 0, 0
+        for part in parts():
+            c, w = steps.hits(part, s, p, act, False, p.named, now)
+            counted, waves = counted + c, waves + w
+        s = steps.update(steps.absorb(s, p, counted, waves, now, many), p)
         s.version += 1
-        label, score = steps.score(group, s, p, steps.active(s, p, s.now), False, p.named)
-        return s, self._out(key, number, group["idx"], label, score)
+        act = steps.active(s, p, s.now)
+        for part in parts():
+            label, score = steps.score(part, s, p, act, False, p.named)
+            yield self._out(key, number, part["idx"], label, score)
+        if held:
+            self.waiting.clear()
+        return s
+
+    def _parts(self, held: int, last: list[pd.DataFrame]) -> Callable[[], Iterable[pd.DataFrame]]:
+        """Reads the ``held`` rows that wait and the ``last`` ones, a block at a time, as often as it is called; few rows are kept."""
+        short = [rows.iloc[a : a + BLOCK] for rows in last for a in range(0, len(rows), BLOCK)]
+        if held <= HELD:
+            short = [*(self.waiting if held else ()), *short]
+            return lambda: short
+        return lambda: chain(self.waiting, short)
+
+    def _odd(self, key, rows: pd.DataFrame) -> pd.DataFrame:
+        return self._out(key, None, rows["idx"], np.full(len(rows), -1), np.full(len(rows), np.nan))
 
     def _out(self, key, number, idx, label, score) -> pd.DataFrame:
         name, missing = key
@@ -159,41 +323,46 @@ class OrderedClusterer(KeyedClusterer):
     State is what came within the delay, beside the model and its buffer.
     """
 
+    more = ", ms array<bigint>"
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.early = handle.getListState("early", f"{_POINT}, ms bigint")
         self.passed = handle.getValueState("passed", "ms bigint, late bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat([r[["idx", "t", "features", "ms"]] for r in rows])
-        good = new["ms"].notna().to_numpy() & np.array([bool(_width(t, f)) for t, f in zip(new["t"], new["features"], strict=True)], bool)
-        if not good.all():
-            bad = new[~good]
-            yield self._out(key, None, bad["idx"], np.full(len(bad), -1), np.full(len(bad), np.nan))
-        new = new[good]
+        least: list[int] = []
+        rest = yield from self._sorted_runs(self._in_time(key, rows, least))
+        self.early.add(rest)
+        if least:
+            self._wake(max(min(least), timerValues.getCurrentWatermarkInMs()) + 1)
+
+    def _in_time(self, key, rows: Iterable[pd.DataFrame], least: list[int]) -> Iterator[tuple[pd.DataFrame, bool]]:
+        """Each frame of rows, and whether it goes on: odd rows and late ones do not. The least times of those that do are noted."""
         until, many = self._passed()
-        late = new["ms"].to_numpy() < until
-        if late.any():
-            self.passed.update((until, many + int(late.sum())))
-            yield self._behind(key, new[late])
-        new = new[~late]
-        if len(new):
-            self.early.appendList(_rows(new))
-            self._wake(max(int(new["ms"].min()), timerValues.getCurrentWatermarkInMs()) + 1)
+        model, before = None, many
+        for frame in rows:
+            timed = frame["ms"].notna().to_numpy() & (_widths(frame) > 0)
+            if not timed.all():
+                yield self._odd(key, frame[~timed]), False
+            new = frame[timed].astype({"ms": "int64"})
+            late = new["ms"].to_numpy() < until
+            if late.any():
+                model, many = model or self._load(), many + int(late.sum())
+                yield self._behind(key, model, new[late]), False
+            if not late.all():
+                new = new[~late]
+                least.append(int(new["ms"].min()))
+                yield new, True
+        if many > before:
+            self.passed.update((until, many))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """What lies before the watermark is learned, the rest is held further."""
         until = timerValues.getCurrentWatermarkInMs()
-        held = pd.DataFrame(list(self.early.get()) if self.early.exists() else [], columns=["idx", "t", "features", "ms"])
-        due = held["ms"].to_numpy() < until
         self.passed.update((max(until, self._passed()[0]), self._passed()[1]))
-        if due.all():
-            self.early.clear()
-        else:
-            self.early.put(_rows(held[~due]))
-            self.handle.registerTimer(int(held["ms"][~due].min()) + 1)
-        if due.any():
-            yield from self._accept(key, held.loc[due, ["idx", "t", "features"]].sort_values(["t", "idx"], kind="stable"))
+        yield from self._accept(key, self.early.take(until))
+        if len(self.early):
+            self.handle.registerTimer(int(self.early.least("ms")) + 1)
 
     def _passed(self) -> tuple[int, int]:
         """The time before which rows of this key have gone on, and how many came after that."""
@@ -207,10 +376,10 @@ class OrderedClusterer(KeyedClusterer):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(ms)
 
-    def _behind(self, key, rows: pd.DataFrame) -> pd.DataFrame:
-        s, p = self._load(), self.params
+    def _behind(self, key, s: State, rows: pd.DataFrame) -> pd.DataFrame:
+        p = self.params
         label, score = np.full(len(rows), -1), np.full(len(rows), np.nan)
-        good = _good(rows, s.data.shape[1]) if len(s.oid) else np.zeros(len(rows), bool)
+        good = _widths(rows) == s.data.shape[1] if len(s.oid) else np.zeros(len(rows), bool)
         if good.any():
             label[good], score[good] = steps.score(rows[good], s, p, steps.active(s, p, s.now), False, p.named)
         return super()._out(key, None, rows["idx"], label, score).assign(late=True)
@@ -219,26 +388,21 @@ class OrderedClusterer(KeyedClusterer):
         return super()._out(key, number, idx, label, score).assign(late=False)
 
 
-def _width(t, features) -> int:
-    """How many numbers a row has; 0 if it has none, or one that is null or not finite, or no time."""
-    if features is None or t is None or not np.isfinite(t):
-        return 0
-    values = np.array([np.nan if v is None else v for v in features], float)
-    return len(values) if np.isfinite(values).all() else 0
+def _widths(rows: pd.DataFrame) -> np.ndarray:
+    """How many numbers each row has; 0 if it has none, or one that is null or not finite, or no time."""
+    timed = np.isfinite(rows["t"].to_numpy(float, na_value=np.nan))
+    try:
+        values = np.array(rows["features"].tolist(), float)
+    except (TypeError, ValueError):  # nulls, or rows of several dimensions
+        own = (np.array([] if f is None else [np.nan if v is None else v for v in f], float) for f in rows["features"])
+        return np.where(timed, np.array([len(v) if np.isfinite(v).all() else 0 for v in own], np.int64), 0)
+    if values.ndim != 2:
+        return np.zeros(len(rows), np.int64)
+    return np.where(timed & np.isfinite(values).all(1), values.shape[1], 0)
 
 
-def _good(rows: pd.DataFrame, wide: int | None) -> np.ndarray:
-    """Rows with finite numbers only, all of one dimension: the model's or, without one, the first such row's."""
-    good = np.zeros(len(rows), bool)
-    for i, (t, features) in enumerate(zip(rows["t"], rows["features"], strict=True)):
-        own = _width(t, features)
-        wide = wide or own
-        good[i] = own > 0 and own == wide
-    return good
-
-
-def _rows(points: pd.DataFrame) -> list[tuple]:
-    return [(int(i), float(t), [float(v) for v in f], *map(int, ms)) for i, t, f, *ms in points.itertuples(index=False)]
+def _sorted(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.sort_values(["t", "idx"], kind="stable", ignore_index=True)
 
 
 def score_by_key(stream: DataFrame, key: str, wait_ms: int | None = None, **parameters) -> DataFrame:
@@ -290,14 +454,19 @@ def observers(spark: SparkSession, checkpoint: str, T: float, time: float | None
     return rows.select("key", "oid", "features", "label", count.alias("observations"), (count / decay.age(now, F.col("added"), T)).alias("av_observations"))
 
 
+def _blocks(spark: SparkSession, checkpoint: str, variable: str, batch: int | None, *columns: str) -> DataFrame:
+    rows = _state(spark, checkpoint, variable, batch).select("key", "user_map_value.*")
+    return rows.select("key", F.inline(F.arrays_zip(*columns)))
+
+
 def waiting(spark: SparkSession, checkpoint: str, batch: int | None = None) -> DataFrame:
     """(key, idx, t, features): the rows of all keys that have not been learned after a batch."""
-    return _state(spark, checkpoint, "waiting", batch).select("key", "list_element.*")
+    return _blocks(spark, checkpoint, "waiting", batch, *_POINT)
 
 
 def early(spark: SparkSession, checkpoint: str, batch: int | None = None) -> DataFrame:
     """(key, idx, t, features, ms): the rows of all keys that the watermark has not passed after a batch."""
-    return _state(spark, checkpoint, "early", batch).select("key", "list_element.*")
+    return _blocks(spark, checkpoint, "early", batch, *_POINT, "ms")
 
 
 def late(spark: SparkSession, checkpoint: str, batch: int | None = None) -> DataFrame:

@@ -112,7 +112,7 @@ def fed(kind, place):
     return scores, sorted(k for (k,), _ in processor.observers.iterator()), peak
 
 
-@pytest.mark.parametrize("kind", [keyed.KeyedClusterer])
+@pytest.mark.parametrize("kind", [keyed.KeyedClusterer, keyed.OrderedClusterer])
 def test_rows_beyond_a_block_are_sorted_and_learned_through_the_state(kind, tmp_path, monkeypatch):
     whole, observers, _ = fed(kind, tmp_path / "whole")
     monkeypatch.setattr(keyed, "HELD", 4000, raising=False)

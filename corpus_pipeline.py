@@ -14,13 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from emberstream.llm import byte_bpe, content_sort, mixing, shingle_join, toxicity
 from emberstream.llm.queries import table, tokenizer
-from emberstream.llm.workspace import materialize
+from emberstream.llm.workspace import bounded_batches, materialize
 
 #: What near copies are in the pipeline: five words, a similarity of 0.8 or more.
 NEAR = shingle_join.Rule(words=5, num=80, den=100)
 
+#: Bytes of an Arrow batch, unless the session says otherwise: workers of three stages in a row keep the most that any needs.
+BATCH = "1m"
+
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark, BATCH)
     return toxicity.reject(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
@@ -29,6 +33,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark, BATCH)
     return shingle_join.drop_near_copies(docs, NEAR)
 
 
@@ -37,6 +42,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark, BATCH)
     path, pattern = tokenizer("byte_bpe_50k.tiktoken")
     return byte_bpe.digests(docs, path, pattern)
 

@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from functools import cached_property
 from pathlib import Path
 
 import numpy as np
@@ -46,13 +47,20 @@ def read_ranks(path: str) -> bytes:
 
 class ByteBPE:
     def __init__(self, ranks: bytes, pattern: str):
+        self._ranks = ranks
+        self._encoding = self._library("ranks", pattern)
+        self._run = re.compile(_WHITE + "{%d,}" % (WHITE + 1))
+
+    def _library(self, name: str, pattern: str):
         import tiktoken
 
-        table = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in ranks.splitlines() if line)}
-        self._encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=table, special_tokens={})
-        self._one = tiktoken.Encoding("one match", pat_str="(?s).+", mergeable_ranks=table, special_tokens={})
-        self._run = re.compile(_WHITE + "{%d,}" % (WHITE + 1))
-        self._bytes = {rank: token for token, rank in table.items()}
+        table = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in self._ranks.splitlines() if line)}
+        return tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=table, special_tokens={})
+
+    @cached_property
+    def _one(self):
+        """Takes all that it gets as one match. Made when first needed: workers hold each engine's tables."""
+        return self._library("one match", "(?s).+")
 
     @staticmethod
     def stretches(text: str) -> Iterator[str]:
@@ -89,7 +97,7 @@ class ByteBPE:
         return [i for part in self.stretches(text) for i in self._encoding.encode_ordinary(part)]
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self._bytes.__getitem__, ids))
+        return self._encoding.decode_bytes(ids)
 
 
 def _codec(ranks: bytes, pattern: str) -> ByteBPE:
@@ -115,6 +123,8 @@ def _with_columns(df: DataFrame, source: str, makers: dict, without: tuple = ())
                 made.append(pa.array([make(v) for v in values], pa.binary()))
                 values = (v.as_py() for v in made[-1])
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in places] + made, names=[*kept, *makers])
+            made, values = None, None
+            pa.default_memory_pool().release_unused()  # else a worker keeps what arrays grew through
 
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(name, T.BinaryType()) for name in makers])
     return df.mapInArrow(run, schema)

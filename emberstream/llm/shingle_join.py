@@ -44,7 +44,7 @@ from .textbytes import LOWER, flat, mix64, slices, word_hashes, word_spans
 from .workspace import bounded_batches, column, connected_components, fresh, materialize, sliced_join
 
 #: Bytes of text that are cut into words together; rows of segments that a task combines at once.
-SLICE, COMBINE = 1 << 20, 1 << 19
+SLICE, COMBINE = 1 << 18, 1 << 19
 #: Sets of a block, and n-grams of all its sets together.
 BLOCK_SETS, BLOCK_GRAMS = 1024, 1 << 20
 #: Rows and bytes of whole tasks that are worked on at once; pairs of numbers compared at once.

@@ -26,12 +26,13 @@ def test_second_engine_is_made_for_long_white_space_only():
 def test_shingles_of_many_texts_hold_a_slice_at_a_time():
     rng = np.random.default_rng(1)
     texts = pa.array([" ".join(map(str, rng.integers(0, 10**6, 2000))) for _ in range(150)])
+    sum(1 for _ in shingle_join.shingles(texts, 5))  # what the first pass makes once does not count
     tracemalloc.start()
     made = sum(len(grams) for _, _, grams in shingle_join.shingles(texts, 5))
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert made == 150 * 1996
-    assert peak < 12e6, peak
+    assert peak < 10e6, peak
 
 
 def test_stages_bound_their_batches(spark, monkeypatch):
